@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, sentencepiece_viterbi, substring_dedup, suffix_dedup, token_counts
+from . import decontaminate, jaccard_join, quality, sentencepiece_viterbi, substring_dedup, suffix_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,20 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out_of_fold = F.pmod(toxicity.fold(), F.lit(5)) == 0
+    labels = table(spark, sf_dir, "labels").where(~out_of_fold)
+    out = toxicity.score_toxicity(table(spark, sf_dir, "documents"), labels)
+    return out.select("doc_id", F.coalesce(out_of_fold, F.lit(False)).alias("held_out"), "score", "predicted", "votes")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out_of_fold = F.pmod(toxicity.fold(), F.lit(4)) == 2
+    labels = table(spark, sf_dir, "labels").where(~out_of_fold)
+    out = quality.score_quality(table(spark, sf_dir, "documents"), labels)
+    return out.select("doc_id", F.coalesce(out_of_fold, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
