@@ -30,11 +30,14 @@ SENT = "slice int, bucket int, keys binary"
 ANSWER = "slice int, bucket int, other binary, lower binary"
 
 
-def sliced(docs: DataFrame, slice_bytes: int = SLICE_BYTES) -> tuple[DataFrame, int, int]:
-    """(slice, doc_id, text) of every row, the number of slices, and the bytes of all texts (counted, not guessed)."""
+def sliced(docs: DataFrame, slice_bytes: int = SLICE_BYTES, carry: list[str] | None = None) -> tuple[DataFrame, int, int]:
+    """(slice, doc_id, text) of every row, the number of slices, and the bytes of all texts (counted, not guessed).
+
+    ``carry``: columns to take along, as one struct, so that their names can't clash.
+    """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / slice_bytes))
-    one = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("slice"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    one = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("slice"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*carry).alias("carry")] if carry else []))
     return one, n, total
 
 

@@ -25,6 +25,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 100_000
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``docs`` that have no equal ``keys`` (null equals null) in ``gone``; ``gone`` is broadcast if it is short."""
+    gone = written(gone.select(*[F.col(k).alias(f"gone_{k}") for k in keys]).distinct())
+    small = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    on = [F.col(k).eqNullSafe(F.col(f"gone_{k}")) for k in keys]
+    return docs.join(small, on, "left_anti")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b).
 

@@ -89,6 +89,12 @@ class Embeddings:
                 self.vectors[bucket] -= lr * np.minimum(share * 50, 1)[:, None] * back
         self.compile()
 
+    @classmethod
+    def scorer(cls, weight: np.ndarray, offset: float) -> Embeddings:
+        self = cls.__new__(cls)
+        self.weight, self.offset = weight, offset
+        return self
+
     def compile(self) -> None:
         self.weight = (self.vectors @ (self.layer[:, 1] - self.layer[:, 0])).astype(np.float32)
         self.offset = float(self.bias[1] - self.bias[0])
@@ -119,13 +125,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sa
     gets the score of the bias; a null doc_id is kept; repeated rows score
     alike; without labelled rows every score is 0.5; an empty table gives no rows.
     """
-    sample = training_sample(docs, labels, "quality", sample_rows).sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    model = Embeddings(buckets(sample["text"]), np.asarray(sample["label"].to_numpy(), np.int64))
-    shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.offset))
+    shared = _fitted(docs, labels, sample_rows)
 
     def score(batches):
-        model = Embeddings.__new__(Embeddings)
-        model.weight, model.offset = shared.value
+        model = Embeddings.scorer(*shared.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
@@ -134,3 +137,23 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sa
 
     one = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     return one.mapInArrow(score, "doc_id long, score double, predicted int")
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, sample_rows: int):
+    sample = training_sample(docs, labels, "quality", sample_rows).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    model = Embeddings(buckets(sample["text"]), np.asarray(sample["label"].to_numpy(), np.int64))
+    return docs.sparkSession.sparkContext.broadcast((model.weight, model.offset))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores at least ``threshold``; no row moves. Cases as in score_quality."""
+    shared = _fitted(docs, labels, sample_rows)
+
+    def keep(batches):
+        model = Embeddings.scorer(*shared.value)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                yield part.filter(pa.array(model.score(part.column("text")) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -64,10 +64,11 @@ class _Slice:
         return start, row, a[first], b[first], self.ids[row[first]], number
 
 
-def dedup_substrings(docs: DataFrame, width: int = 13, slice_bytes: int = R.SLICE_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, width: int = 13, slice_bytes: int = R.SLICE_BYTES, carry: list[str] | None = None) -> DataFrame:
     """Removes each word covered by a ``width``-word window that also starts in a document with a smaller id.
 
-    Takes columns doc_id and text (others are left out); returns doc_id, text,
+    Takes columns doc_id and text (others are left out, but for those named in
+    ``carry``, which come back as a struct of that name); returns doc_id, text,
     n_words, n_removed and kept (the words left, joined by one space).
     Windows are judged on the input. Words are maximal runs without ASCII white
     space, unchanged. A null text has no words and kept "" and its text stays
@@ -76,7 +77,7 @@ def dedup_substrings(docs: DataFrame, width: int = 13, slice_bytes: int = R.SLIC
     table gives no rows.
     """
     period = period_for(width)
-    slices, _, total = R.sliced(docs, slice_bytes)
+    slices, _, total = R.sliced(docs, slice_bytes, carry)
     n_anchor, n_window = R.buckets_for(total / 14), R.buckets_for(total / 28)
 
     def anchors(number, table):
@@ -104,9 +105,10 @@ def dedup_substrings(docs: DataFrame, width: int = 13, slice_bytes: int = R.SLIC
         for text, n, e, r in zip(table["text"], s.counts, ends, removed, strict=True):
             words = (text.as_py() or "").encode().split()
             kept.append(b" ".join(words if not r else [w for w, k in zip(words, stays[e - n : e], strict=True) if k]).decode())
-        return pa.table([table["doc_id"], table["text"].cast(pa.string()), pa.array(s.counts), pa.array(removed), pa.array(kept, pa.string())], schema=_OUT_ARROW)
+        out = pa.table([table["doc_id"], table["text"].cast(pa.string()), pa.array(s.counts), pa.array(removed), pa.array(kept, pa.string())], schema=_OUT_ARROW)
+        return out.append_column("carry", table["carry"]) if carry else out
 
     first = R.compare(R.ask(slices, anchors), ["u8"], False)
     second = R.compare(R.with_answers(slices, first, extended, R.SENT), ["u8", "u4", "i8"], True)
     both = first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
-    return R.with_answers(slices, both, cut, _OUT)
+    return R.with_answers(slices, both, cut, f"{_OUT}, carry {slices.schema['carry'].dataType.simpleString()}" if carry else _OUT)
