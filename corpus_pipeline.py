@@ -1 +1,68 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: from raw documents to token ids.
+
+Five stages, each one of the operators of the llm subpackage. A stage takes all
+that its predecessor kept, and all but the last return the columns of
+documents. Between stages the rows lie as Parquet in the shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cladewise.llm import decontaminate, jaccard_join, quality, sentencepiece_viterbi, substring_dedup, toxicity
+from cladewise.llm._shared import without, written
+
+#: SQL twin of run(): none, as a trained classifier and a tokenizer are no SQL.
+ORACLE_SQL = None
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that the quality classifier scores 0.7 or more."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.pmod(toxicity.fold(), F.lit(4)) != 2)
+    return quality.keep_quality(docs, labels)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
+    classes = jaccard_join.jaccard_components(docs, n=5, num=80, den=100)
+    return without(docs, classes.where("component_id < doc_id"), ["doc_id"])
+
+
+def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts word sequences that an earlier document has; a document of which nothing is left goes."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    out = substring_dedup.dedup_substrings(docs, carry=others)
+    out = out.where("n_removed = 0 or n_removed < n_words").withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
+    columns = {c: F.col(f"carry.{c}") for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more lies in benchmark windows go."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
+    return without(docs.withColumn("text_hash", F.xxhash64("text")), found, ["doc_id", "text_hash"]).drop("text_hash")
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with the proof that they decode to its text."""
+    return sentencepiece_viterbi.encode(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("substring dedup", substring_dedup_stage),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("SentencePiece encoding and decoding", sentencepiece),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents, one after the other."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs)
+    return docs
