@@ -65,3 +65,7 @@ def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+
+
+#: SQL twins, for DuckDB.
+ORACLE: dict[str, str] = {}
