@@ -15,7 +15,11 @@ PRE_TOKEN = re.compile(" *[^ ]+| +")
 
 @dataclass
 class Vocabulary:
-    """Pieces with integer scores; a character that is no piece costs ``unknown`` and becomes bytes."""
+    """Pieces with integer scores; a character that is no piece costs ``unknown`` and becomes bytes.
+
+    ``endings`` has every ending of a piece, with the score of those that are
+    pieces themselves: a text that is not in it ends no longer piece either.
+    """
 
     score: dict[str, int]
     ids: dict[str, int]
@@ -23,7 +27,7 @@ class Vocabulary:
     texts: list[bytes] = field(repr=False)
     unknown: int
     longest: int
-    prefixes: frozenset[str] = field(repr=False)
+    endings: dict[str, int | None] = field(repr=False)
 
 
 def vocabulary(model_file: str = MODEL_FILE) -> Vocabulary:
@@ -43,10 +47,10 @@ def vocabulary(model_file: str = MODEL_FILE) -> Vocabulary:
             piece = piece.replace(MARK, " ")
             score[piece], ids[piece] = round(p.get_score(i)), i
             texts.append(piece.encode())
-    prefixes = frozenset(piece[:n] for piece in score for n in range(1, len(piece) + 1))
+    endings = {piece[k:]: None for piece in score for k in range(len(piece))} | score
     if any(" " in piece.lstrip(" ") for piece in score):
         raise ValueError("a piece of this model crosses from a letter to a space")
-    return Vocabulary(score, ids, byte_ids, texts, min(score.values()) - 10, max(map(len, score)), prefixes)
+    return Vocabulary(score, ids, byte_ids, texts, min(score.values()) - 10, max(map(len, score)), endings)
 
 
 def pre_tokens(text: str | None) -> list[str]:

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 
 from .pieces import MODEL_FILE, Vocabulary, pre_tokens, vocabulary
 
-#: Pre-tokens whose ids a task remembers.
-REMEMBERED = 200_000
+#: Pre-tokens whose ids a worker remembers, in each of two generations.
+REMEMBERED = 300_000
 
 
 class StreamingViterbi:
@@ -33,18 +33,23 @@ class StreamingViterbi:
 
     def feed(self, characters: str) -> list[int]:
         out: list[int] = []
-        longest, score, unknown = self.v.longest, self.v.score, self.v.unknown
-        for c in characters:
-            self.text += c
-            end = len(self.text)
-            top, start = self.best[end - 1] + score.get(c, unknown), end - 1
-            for n in range(2, min(longest, end) + 1):
-                s = score.get(self.text[end - n :])
-                if s is not None and self.best[end - n] + s >= top:
-                    top, start = self.best[end - n] + s, end - n
-            self.best.append(top)
-            self.back.append(start)
-            if end >= 2 * longest:
+        ending, unknown, window = self.v.endings.get, self.v.unknown, 2 * self.v.longest
+        for a in range(0, len(characters), window):
+            text = self.text + characters[a : a + window]
+            best, back = self.best, self.back
+            for end in range(len(self.text) + 1, len(text) + 1):
+                start = end - 1
+                s = ending(text[start], 1)
+                top, cut = best[start] + (unknown if s is None or s == 1 else s), start
+                while start and s != 1:
+                    start -= 1
+                    s = ending(text[start:end], 1)
+                    if s is not None and s != 1 and best[start] + s >= top:
+                        top, cut = best[start] + s, start
+                best.append(top)
+                back.append(cut)
+            self.text = text
+            if len(text) >= window:
                 out += self._commit()
         return out
 
@@ -79,7 +84,7 @@ class StreamingViterbi:
 
     def finish(self) -> list[int]:
         ids = self._path(len(self.text))
-        self.__init__(self.v)
+        self.base, self.text, self.best, self.back = 0, "", [0], [0]
         return ids
 
 
@@ -96,21 +101,33 @@ class Encoder:
     """Encodes texts pre-token by pre-token, where all paths meet anyway, and remembers the ids of frequent ones."""
 
     def __init__(self, v: Vocabulary):
-        self.search, self.seen = StreamingViterbi(v), {}
+        self.v, self.search, self.seen, self.older = v, StreamingViterbi(v), {}, {}
 
     def _ids(self, token: str) -> tuple[int, ...]:
-        if len(self.seen) >= REMEMBERED:
-            self.seen.clear()
-        ids = tuple(self.search.feed(token) + self.search.finish())
+        ids = self.older.get(token)
+        if ids is None:
+            ids = tuple(self.search.feed(token) + self.search.finish())
         if len(token) <= 64:
             self.seen[token] = ids
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
+        if len(self.seen) >= REMEMBERED:
+            self.seen, self.older = {}, self.seen
         seen = self.seen
         return np.fromiter(chain.from_iterable([seen.get(t) or self._ids(t) for t in pre_tokens(text)]), np.int32)
 
 
+_ENCODER: list[Encoder] = []
+
+
+def encoder(v: Vocabulary) -> Encoder:
+    """The worker's encoder for a vocabulary; later tasks find what earlier ones remembered."""
+    if not _ENCODER or _ENCODER[0].v is not v:
+        _ENCODER[:] = [Encoder(v)]
+    return _ENCODER[0]
+
+
 def decode(v: Vocabulary, ids) -> str:
     """The text of ids: pieces and bytes joined, without the space the model put first."""
     return b"".join([v.texts[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
@@ -131,12 +148,12 @@ def encode(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
 
     def run(batches):
         v = shared.value
-        encoder = Encoder(v)
+        own = encoder(v)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 texts = part.column("text").to_pylist()
-                ids = [encoder.encode(t) for t in texts]
+                ids = [own.encode(t) for t in texts]
                 n = np.array([len(i) for i in ids], np.int32)
                 offsets = pa.array(np.append(0, np.cumsum(n)).astype(np.int32), mask=np.array([t is None for t in texts] + [False]))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))
