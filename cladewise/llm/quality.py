@@ -140,7 +140,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sa
 
 
 def _fitted(docs: DataFrame, labels: DataFrame, sample_rows: int):
-    sample = training_sample(docs, labels, "quality", sample_rows).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    sample = training_sample(docs, labels, "quality", sample_rows).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     model = Embeddings(buckets(sample["text"]), np.asarray(sample["label"].to_numpy(), np.int64))
     return docs.sparkSession.sparkContext.broadcast((model.weight, model.offset))
 

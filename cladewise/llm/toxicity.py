@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import written
 from ._text import LOWER, NON_ALNUM, flat, pieces, span_hashes, word_hashes, word_spans, _BYTE
 
 #: Most training rows that are gathered to mine lexicons and to fit the classifier.
-SAMPLE_ROWS = 8_000
-#: Bytes of a word beginning, voters mined of each kind, and most features of the classifier.
-BEGINNING, MINED, FEATURES = 5, 4, 4096
+SAMPLE_ROWS = 16_000
+#: Bytes of a word beginning, voters mined (of words and beginnings alike), and most features mined or selected.
+BEGINNING, MINED, FEATURES = 5, 8, 4096
 
 #: Common insults in three groups.
 LEXICONS = (
@@ -29,7 +30,7 @@ LEXICONS = (
     ("trash", "scum", "garbage", "filth", "vermin", "worthless"),
     ("loser", "clown", "pathetic", "disgusting", "ugly", "hate"),
 )
-VOTERS = len(LEXICONS) + 2 * MINED + 2
+VOTERS = len(LEXICONS) + MINED + 2
 
 _SALT = np.uint64(0x5BD1E9955BD1E995)
 
@@ -80,14 +81,13 @@ class Lookup:
 class Voters:
     """The lexicons as one lookup; a document's votes are the bits of an integer."""
 
-    def __init__(self, mined_words: np.ndarray, mined_beginnings: np.ndarray):
+    def __init__(self, mined: np.ndarray):
         keys, voter = [], []
         for k, terms in enumerate(LEXICONS):
             keys.append(_hash_words(terms))
             voter.append(np.full(len(terms), k))
-        for kind, mined in enumerate((mined_words, mined_beginnings)):
-            keys.append(mined)
-            voter.append(len(LEXICONS) + kind * MINED + (mined % np.uint64(MINED)).astype(np.int64))
+        keys.append(mined)
+        voter.append(len(LEXICONS) + (mined % np.uint64(MINED)).astype(np.int64))
         self.lookup, self.voter = Lookup(np.concatenate(keys)), np.concatenate(voter)
 
     def votes(self, features) -> np.ndarray:
@@ -109,12 +109,12 @@ def distinct_pairs(features: np.ndarray, row: np.ndarray):
     return key, pair // rows, pair % rows
 
 
-def mine(features: np.ndarray, row: np.ndarray, toxic: np.ndarray, support: int = 5, precision: float = 0.85) -> np.ndarray:
-    """Features that occur in ``support`` rows or more, of which at least ``precision`` (with one clean row added) are toxic."""
-    key, number, row = distinct_pairs(features, row)
+def tally(features, weight: np.ndarray) -> pa.RecordBatch:
+    """For each word and beginning of a batch: rows that have it, and the sum of their weights."""
+    row, whole, begin, _ = features
+    key, number, row = distinct_pairs(np.concatenate([whole, begin]), np.concatenate([row, row]))
     n = np.bincount(number, minlength=len(key))
-    t = np.bincount(number, toxic[row], len(key))
-    return key[(n >= support) & (t >= precision * (n + 1))]
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n), pa.array(np.bincount(number, weight[row], len(key)))], names=["feature", "n", "t"])
 
 
 class LabelModel:
@@ -154,44 +154,41 @@ class LabelModel:
 class Classifier:
     """Logistic regression on the presence of selected words and beginnings."""
 
-    def __init__(self, row, whole, begin, q: np.ndarray, epochs: int = 20, seed: int = 1):
-        key, number, doc = distinct_pairs(np.concatenate([whole, begin]), np.concatenate([row, row]))
-        n, t = np.bincount(number, minlength=len(key)), np.bincount(number, q[doc], len(key))
-        lift = (t + 0.05) / (n + 1)
-        good = np.flatnonzero((n >= 3) & (lift > max(0.5, 3 * q.mean())))
-        good = good[np.argsort(-lift[good] * np.log1p(n[good]), kind="stable")][:FEATURES]
-        self.lookup = Lookup(key[good])
-        column = np.full(len(key), -1)
-        column[good] = np.arange(len(good))
-        use = column[number] >= 0
-        doc, column = doc[use], column[number[use]]
-        order = np.argsort(doc, kind="stable")
-        doc, column = doc[order], column[order]
-        edge = np.searchsorted(doc, np.arange(len(q) + 1))
-        self.weight, self.bias = np.zeros(len(good)), 0.0
-        rng, square, batch = np.random.default_rng(seed), np.ones(len(good)), 32
+    def __init__(self, keys: np.ndarray, bias: float = -2.0):
+        self.lookup, self.weight, self.bias = Lookup(keys), np.zeros(len(keys)), bias
+
+    def present(self, features) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and features of all distinct (row, selected feature) of a batch, by row."""
+        row, whole, begin, _ = features
+        rows, numbers = [], []
+        for values in (whole, begin):
+            at, number = self.lookup(values)
+            rows.append(row[at])
+            numbers.append(number)
+        width = len(self.weight) + 1
+        pair = np.unique(np.concatenate(rows) * width + np.concatenate(numbers))
+        return pair // width, pair % width
+
+    def fit(self, docs: list[np.ndarray], q: np.ndarray, epochs: int = 20, seed: int = 1) -> None:
+        """Stochastic gradient descent on posterior labels, in batches of 32, with steps scaled by past gradients."""
+        size = np.array([len(d) for d in docs])
+        edge, column = np.concatenate([[0], np.cumsum(size)]), np.concatenate([*docs, np.zeros(0, np.int32)]).astype(np.int64)
+        rng, square = np.random.default_rng(seed), np.ones(len(self.weight))
         for _ in range(epochs):
-            for part in np.array_split(rng.permutation(len(q)), max(1, len(q) // batch)):
-                n = edge[part + 1] - edge[part]
+            for part in np.array_split(rng.permutation(len(q)), max(1, len(q) // 32)):
+                n = size[part]
                 owner = np.repeat(np.arange(len(part)), n)
                 on = column[np.repeat(edge[part], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
                 z = self.bias + np.bincount(owner, self.weight[on], len(part))
                 g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - q[part]
                 self.bias -= 0.02 * g.sum()
-                step = np.bincount(on, g[owner], len(good))
+                step = np.bincount(on, g[owner], len(self.weight))
                 square += step * step
                 self.weight -= 0.5 * step / np.sqrt(square) + 1e-5 * self.weight
 
     def score(self, features) -> np.ndarray:
-        row, whole, begin, patterns = features
-        rows, numbers = [], []
-        for values in (whole, begin):
-            at, number = self.lookup(values)
-            rows.append(row[at])
-            numbers.append(number)
-        rows, numbers = np.concatenate(rows), np.concatenate(numbers)
-        pair = np.unique(rows * (len(self.weight) + 1) + numbers)
-        z = self.bias + np.bincount(pair // (len(self.weight) + 1), self.weight[pair % (len(self.weight) + 1)], len(patterns))
+        row, number = self.present(features)
+        z = self.bias + np.bincount(row, self.weight[number], len(features[3]))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -200,27 +197,45 @@ def fold(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> pa.Table:
-    """At most ``rows`` labelled rows (those of the smallest hashes of doc_id), with their texts."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """doc_id, text, label of at most ``rows`` labelled rows (those of the smallest hashes of doc_id), in the shared folder."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "label").toArrow()
+    return written(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "label"))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def _tallies(sample: DataFrame, weigh) -> DataFrame:
+    """feature, n, t over the sample: batches are summed up before they are shuffled. ``weigh``: weights of a batch from its features and labels."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                features = word_features(part.column("text"))
+                yield tally(features, weigh(features, np.asarray(part.column("label"))))
+
+    return sample.select("text", "label").mapInArrow(run, "feature long, n long, t double").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
+def _keys(rows) -> np.ndarray:
+    return np.sort(np.array([r[0] for r in rows], np.int64)).view(np.uint64)
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, support: int = 5, precision: float = 0.85) -> DataFrame:
     """doc_id, score, predicted (score >= 0.5) and votes (bits of the voters that fired) for every row of ``docs``.
 
     ``labels`` (doc_id, toxic) are the rows to learn from; the caller leaves out
-    held-out ones. Scores depend on the text alone. A null or empty text scores
-    as a text in which nothing fires; a null doc_id is kept; repeated rows score
-    alike; without labels or documents only the fixed lexicons are known.
+    held-out ones. Lexicons are mined from what occurs in ``support`` sample
+    rows or more, ``precision`` of them (with one clean row added) toxic.
+    Scores depend on the text alone. A null or empty text scores as a text in
+    which nothing fires; a null doc_id is kept; repeated rows score alike;
+    without labels only the fixed lexicons are known; an empty table gives no rows.
     """
-    sample = training_sample(docs, labels, "toxic", sample_rows).sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    toxic = np.asarray(sample["label"].to_numpy(), float)
-    features = word_features(sample["text"])
-    row, whole, begin, _ = features
-    voters = Voters(mine(whole, row, toxic), mine(begin, row, toxic))
     spark = docs.sparkSession
+    sample = training_sample(docs, labels, "toxic", sample_rows)
+    mined = _tallies(sample, lambda features, label: label).where((F.col("n") >= support) & (F.col("t") >= precision * (F.col("n") + 1)))
+    mined = _keys(mined.orderBy(F.desc("t"), "feature").limit(FEATURES).select("feature").collect())
+    voters = Voters(mined)
     shared = spark.sparkContext.broadcast(voters)
     one = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
 
@@ -231,16 +246,39 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
                 yield pa.RecordBatch.from_arrays([pa.array(votes.astype(np.int32))], names=["votes"])
 
     # 2**13 patterns at most come to the driver
-    patterns = one.select("text").mapInArrow(vote, "votes int").groupBy("votes").count().collect()
+    patterns = one.select("text").mapInArrow(vote, "votes int").groupBy("votes").count().orderBy("votes").collect()
     masks, counts = np.array([r[0] for r in patterns] or [0]), np.array([r[1] for r in patterns] or [1], float)
-    model = LabelModel(masks, counts, float(np.clip(toxic.mean() if len(toxic) else 0.1, 0.02, 0.5)))
-    own = voters.votes(features)
-    if len(own):
-        classifier = Classifier(row, whole, begin, model.posterior(own))
+    prior = sample.agg(F.avg("label")).first()[0]
+    model = LabelModel(masks, counts, float(np.clip(0.1 if prior is None else prior, 0.02, 0.5)))
+    q = spark.sparkContext.broadcast(dict(zip(masks.tolist(), model.posterior(masks).tolist(), strict=True)))
+
+    def posterior(features, label):
+        return np.array([q.value.get(int(v), 0.0) for v in shared.value.votes(features)])
+
+    lift = (F.col("t") + 0.05) / (F.col("n") + 1)
+    share = float(counts @ model.posterior(masks) / counts.sum())
+    chosen = _tallies(sample, posterior).where((F.col("n") >= 3) & (lift > max(0.5, min(0.9, 3 * share))))
+    chosen = _keys(chosen.orderBy(F.desc(lift * F.log1p("n")), "feature").limit(FEATURES).select("feature").collect())
+    classifier = Classifier(chosen)
+    blank = spark.sparkContext.broadcast(classifier)
+
+    def present(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                features = word_features(part.column("text"))
+                row, number = blank.value.present(features)
+                edge = np.searchsorted(row, np.arange(part.num_rows + 1))
+                on = [number[x:y].astype(np.int32).tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(on, pa.binary()), pa.array(posterior(features, None))], names=["doc_id", "on", "q"])
+
+    rows = sample.select("doc_id", "text", "label").mapInArrow(present, "doc_id long, on binary, q double").orderBy("doc_id", "on").collect()
+    if rows and len(chosen):
+        classifier.fit([np.frombuffer(r[1], np.int32) for r in rows], np.array([r[2] for r in rows]))
     else:
         terms = _hash_words([t for group in LEXICONS for t in group])
-        classifier = Classifier(np.repeat(np.arange(4), len(terms)), np.tile(terms, 4), np.tile(terms, 4) ^ _SALT, np.ones(4))
-        classifier.bias = -2.0
+        classifier = Classifier(terms)
+        classifier.weight += 4.0
     final = spark.sparkContext.broadcast(classifier)
 
     def score(batches):
