@@ -33,14 +33,16 @@ class CountTrie:
 
     def _forward(self, token: str, end: int, path: list[int], score, count) -> tuple[int, int]:
         """Best score and token count of ``token[:end]``, from the nodes of its shorter prefixes."""
-        v, c = self.v, token[end - 1]
-        s = v.score.get(c)
-        top = score[path[end - 1]] + (v.unknown if s is None else s)
-        n = count[path[end - 1]] + (len(c.encode()) if s is None else 1)
-        for size in range(2, min(v.longest, end) + 1):
-            s = v.score.get(token[end - size : end])
-            if s is not None and score[path[end - size]] + s >= top:
-                top, n = score[path[end - size]] + s, count[path[end - size]] + 1
+        ending, start = self.v.endings.get, end - 1
+        s = ending(token[start], 1)
+        known = s is not None and s != 1
+        top = score[path[start]] + (s if known else self.v.unknown)
+        n = count[path[start]] + (1 if known else len(token[start].encode()))
+        while start and s != 1:
+            start -= 1
+            s = ending(token[start:end], 1)
+            if s is not None and s != 1 and score[path[start]] + s >= top:
+                top, n = score[path[start]] + s, count[path[start]] + 1
         return top, n
 
     def insert(self, token: str) -> int:
