@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 
 from .pieces import MODEL_FILE, Vocabulary, pre_tokens, vocabulary
 
-#: Pre-tokens whose ids a worker remembers, in each of two generations.
-REMEMBERED = 300_000
+#: Pre-tokens whose ids a task remembers, in each of two generations.
+REMEMBERED = 120_000
 
 
 class StreamingViterbi:
@@ -31,25 +31,28 @@ class StreamingViterbi:
         self.best: list[int | None] = [0]
         self.back = [0]
 
+    def _extend(self, text: str, done: int) -> None:
+        """Best scores and cuts of the boundaries after ``done``."""
+        ending, unknown, best, back = self.v.endings.get, self.v.unknown, self.best, self.back
+        for end in range(done + 1, len(text) + 1):
+            start = cut = end - 1
+            s = ending(text[start], 1)
+            top = best[start] + (unknown if s is None or s == 1 else s)
+            while start and s != 1:
+                start -= 1
+                s = ending(text[start:end], 1)
+                if s is not None and s != 1 and best[start] + s >= top:
+                    top, cut = best[start] + s, start
+            best.append(top)
+            back.append(cut)
+        self.text = text
+
     def feed(self, characters: str) -> list[int]:
         out: list[int] = []
-        ending, unknown, window = self.v.endings.get, self.v.unknown, 2 * self.v.longest
+        window = 2 * self.v.longest
         for a in range(0, len(characters), window):
-            text = self.text + characters[a : a + window]
-            best, back = self.best, self.back
-            for end in range(len(self.text) + 1, len(text) + 1):
-                start = end - 1
-                s = ending(text[start], 1)
-                top, cut = best[start] + (unknown if s is None or s == 1 else s), start
-                while start and s != 1:
-                    start -= 1
-                    s = ending(text[start:end], 1)
-                    if s is not None and s != 1 and best[start] + s >= top:
-                        top, cut = best[start] + s, start
-                best.append(top)
-                back.append(cut)
-            self.text = text
-            if len(text) >= window:
+            self._extend(self.text + characters[a : a + window], len(self.text))
+            if len(self.text) >= window:
                 out += self._commit()
         return out
 
@@ -72,14 +75,17 @@ class StreamingViterbi:
         return ids
 
     def _path(self, end: int) -> list[int]:
-        cuts = [end]
-        while cuts[-1]:
-            cuts.append(self.back[cuts[-1]])
         ids: list[int] = []
-        for a, b in zip(cuts[:0:-1], cuts[-2::-1], strict=True):
-            piece = self.text[a:b]
+        while end:
+            start = self.back[end]
+            piece = self.text[start:end]
             known = self.v.ids.get(piece)
-            ids += [known] if known is not None else [self.v.byte_ids[x] for x in piece.encode()]
+            if known is not None:
+                ids.append(known)
+            else:
+                ids += [self.v.byte_ids[x] for x in reversed(piece.encode())]
+            end = start
+        ids.reverse()
         return ids
 
     def finish(self) -> list[int]:
@@ -118,16 +124,6 @@ class Encoder:
         return np.fromiter(chain.from_iterable([seen.get(t) or self._ids(t) for t in pre_tokens(text)]), np.int32)
 
 
-_ENCODER: list[Encoder] = []
-
-
-def encoder(v: Vocabulary) -> Encoder:
-    """The worker's encoder for a vocabulary; later tasks find what earlier ones remembered."""
-    if not _ENCODER or _ENCODER[0].v is not v:
-        _ENCODER[:] = [Encoder(v)]
-    return _ENCODER[0]
-
-
 def decode(v: Vocabulary, ids) -> str:
     """The text of ids: pieces and bytes joined, without the space the model put first."""
     return b"".join([v.texts[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
@@ -148,7 +144,7 @@ def encode(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
 
     def run(batches):
         v = shared.value
-        own = encoder(v)
+        own = Encoder(v)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
