@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.numeric import finite
+from ..plans.settled import settled
 
 
 def running_counts(values: DataFrame, keys: list[str], value: str, buckets: int = 64) -> DataFrame:
@@ -97,6 +98,7 @@ def quantile_map(df: DataFrame, x: str, y: str, out: str) -> DataFrame:
     m = df.where(finite(F.col(y))).agg(F.count(F.lit(1)).alias("_ny"))
     ranked = average_rank(df, y, out="_r").join(F.broadcast(n)).join(F.broadcast(m))
     ranked = ranked.withColumn("_pos", (F.col("_nx") - 1) * (F.col("_r") - 0.5) / F.col("_ny")).withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
+    ranked = settled(ranked)  # read three times below
     points = ranked.select(F.explode(F.array("_lo", "_hi")).alias("pos")).where("pos is not null").distinct()
     at = _values_at(x_runs, points)
     lo, hi = at.select(F.col("pos").alias("_lo"), F.col("xv").alias("_xlo")), at.select(F.col("pos").alias("_hi"), F.col("xv").alias("_xhi"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ieee_div, rate
+from ..plans.settled import settled
 from .ranking import quantile_map
 
 
@@ -25,7 +26,11 @@ def add_convergence_divergence(cb: DataFrame, prefix: str = "OCN") -> DataFrame:
 
 
 def calibrate(cb: DataFrame, stats: list[str]) -> DataFrame:
-    """Lifts dSC to the distribution of dNC by quantiles and renews omegaC; the former values stay as *_nocalib."""
+    """Lifts dSC to the distribution of dNC by quantiles and renews omegaC; the former values stay as *_nocalib.
+
+    Ranks, cuts and positions all read the table, so it is settled first.
+    """
+    cb = settled(cb)
     for s in stats:
         cb = quantile_map(cb, f"dNC{s}", f"dSC{s}", "_mapped")
         cb = cb.withColumns({f"dSC{s}_nocalib": F.col(f"dSC{s}"), f"omegaC{s}_nocalib": F.col(f"omegaC{s}"), f"dSC{s}": F.col("_mapped")}).drop("_mapped")
