@@ -9,6 +9,8 @@ scoring is a gather and a sum.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,10 +44,9 @@ def _word_buckets(part: np.ndarray, offsets: np.ndarray):
     return np.concatenate([row, row[1:][inside]]), (np.concatenate([h, two[inside]]) >> _SHIFT).astype(np.int32)
 
 
-def buckets(column) -> list[np.ndarray]:
-    """All feature buckets of each text (a few thousand rows at most: for training)."""
+def buckets(column) -> Iterator[np.ndarray]:
+    """All feature buckets of each text, one text after the other (a few thousand rows at most: for training)."""
     data, offsets = flat(column)
-    out = []
     for a, b in pieces(offsets):
         part, bounds = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         row, word = _word_buckets(part, bounds)
@@ -55,20 +56,19 @@ def buckets(column) -> list[np.ndarray]:
         grams = [_gram_buckets(part, n) for n in GRAMS]
         for i in range(b - a):
             own = [g[bounds[i] : max(bounds[i], bounds[i + 1] - n + 1)] for g, n in zip(grams, GRAMS, strict=True)]
-            out.append(np.concatenate([word[edge[i] : edge[i + 1]], *own]))
-    return out
+            yield np.concatenate([word[edge[i] : edge[i + 1]], *own])
 
 
 class Embeddings:
     """Vectors of buckets and a softmax layer over two classes."""
 
-    def __init__(self, texts: list[np.ndarray], label: np.ndarray, epochs: int = 3, rate: float = 0.4, seed: int = 7):
+    def __init__(self, texts: Iterable[np.ndarray], label: np.ndarray, epochs: int = 3, rate: float = 0.4, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
         self.layer = np.zeros((DIM, 2), np.float32)
         self.bias = np.zeros(2, np.float32)
-        bags = [np.unique(t, return_counts=True) for t in texts]
-        bags = [(b, (c / c.sum()).astype(np.float32)) for b, c in bags]
+        # each text is counted as it comes: only its distinct buckets stay
+        bags = [(b, (c / c.sum()).astype(np.float32)) for b, c in (np.unique(t, return_counts=True) for t in texts)]
         steps, done = max(1, epochs * len(bags)), 0
         for _ in range(epochs):
             for i in rng.permutation(len(bags)):
