@@ -122,12 +122,19 @@ def wallenius_inclusion(weights: np.ndarray, draws: int) -> np.ndarray:
 
 
 def inclusion(weights: DataFrame, draws: DataFrame, law: str = "fisher") -> DataFrame:
-    """branch_id, site, weight: inclusion probabilities per branch of an urn with a whole number of draws (branch_id, n)."""
+    """branch_id, site, weight: inclusion probabilities per branch of an urn with n draws (branch_id, n).
+
+    A fractional n is the mixture of its floor and the next whole number.
+    """
     function = {"fisher": fisher_inclusion, "wallenius": wallenius_inclusion}[law]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("site")
-        return pdf[["branch_id", "site"]].assign(weight=function(pdf["weight"].to_numpy(), int(pdf["n"].iloc[0])))
+        w, n = pdf["weight"].to_numpy(), max(float(pdf["n"].iloc[0]), 0.0)
+        p = function(w, int(n))
+        if n % 1:
+            p = (1 - n % 1) * p + n % 1 * function(w, int(n) + 1)
+        return pdf[["branch_id", "site"]].assign(weight=p)
 
     kinds = ", ".join(f"{c} {weights.schema[c].dataType.simpleString()}" for c in ("branch_id", "site"))
     return weights.join(F.broadcast(draws), "branch_id").groupBy("branch_id").applyInPandas(run, f"{kinds}, weight double")
@@ -138,12 +145,16 @@ def permuted_overlaps(weights: DataFrame, draws: DataFrame, pairs: DataFrame, ro
 
     Each (branch, round) draws from a stream seeded by the seed, branch and
     round, so the result doesn't depend on partitions. Sampling is by
-    exponential keys, in Spark: the n smallest of -ln(u) / w.
+    exponential keys, in Spark: the n smallest of -ln(u) / w. A fractional n is
+    rounded anew each round, up as often as its fraction says; no branch draws
+    more than its sites of positive weight.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "branch_id", "site", "round"), F.lit(2**40)) + 0.5) / float(2**40)
+    uniform = lambda *c: (F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(2**40)) + 0.5) / float(2**40)
+    u, up = uniform("branch_id", "site", "round"), uniform("branch_id", "round", F.lit("size"))
+    size = F.floor("n") + (up < F.col("n") - F.floor("n")).cast("long")
     drawn = weights.where("weight > 0").withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("key", -F.ln(u) / F.col("weight"))
     order = Window.partitionBy("branch_id", "round").orderBy("key", "site")
-    drawn = drawn.withColumn("r", F.row_number().over(order)).join(F.broadcast(draws), "branch_id").where("r <= n").select("branch_id", "round", "site")
+    drawn = drawn.withColumn("r", F.row_number().over(order)).join(F.broadcast(draws), "branch_id").where(F.col("r") <= size).select("branch_id", "round", "site")
     x, y = drawn.withColumnRenamed("branch_id", "branch_id_1"), drawn.withColumnRenamed("branch_id", "branch_id_2")
     both = x.join(y, ["round", "site"]).join(F.broadcast(pairs), ["branch_id_1", "branch_id_2"]).groupBy("branch_id_1", "branch_id_2", "round").agg(F.count(F.lit(1)).alias("overlap"))
     every = pairs.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))

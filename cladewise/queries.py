@@ -467,18 +467,22 @@ def empirical_pvalues(spark, sf):
     return rates.empirical_p(o, p, ["o_orderkey"], "x").select("o_orderkey", "ge", "n", r("p"))
 
 
+def draws(spark, sf):
+    """branch_id, n: each branch's own number of substitutions (rounded, so that a sum's last bits don't make a draw)."""
+    return ev.branch_totals(events(spark, sf), branches(spark, sf)).select("branch_id", F.round("sub", 9).alias("n"))
+
+
 @query()
-def permuted_overlap(spark, sf):
-    """Null distribution of shared sites by weighted draws (seeded; no SQL twin)."""
+def permuted_overlap(spark, sf, rounds: int = 20):
+    """Null distribution of shared sites of all independent pairs by weighted draws of each branch's own number (seeded; no SQL twin)."""
     bs = events(spark, sf).groupBy("branch_id", "site").agg(F.sum("pp").alias("sub"))
     w = expected.site_weights(bs, SITES).select("branch_id", "site", "weight")
-    draws = branches(spark, sf).select("branch_id", F.lit(10).alias("n"))
-    return expected.permuted_overlaps(w, draws, free_pairs(spark, sf).where("branch_id_1 < 3"), 20).groupBy(*combine.ids(2)).agg(F.avg("overlap").alias("mean_overlap"))
+    return expected.permuted_overlaps(w, draws(spark, sf), free_pairs(spark, sf), rounds).groupBy(*combine.ids(2)).agg(F.avg("overlap").alias("mean_overlap"))
 
 
 @query()
 def urn_inclusion(spark, sf):
-    """Inclusion probabilities of Fisher's urn per branch (no SQL twin)."""
+    """Inclusion probabilities of Fisher's urn with each branch's own number of draws (no SQL twin)."""
     bs = events(spark, sf).groupBy("branch_id", "site").agg(F.sum("pp").alias("sub"))
     w = expected.site_weights(bs, SITES).select("branch_id", "site", "weight")
-    return expected.inclusion(w, branches(spark, sf).select("branch_id", F.lit(12).alias("n"))).select("branch_id", "site", r("weight"))
+    return expected.inclusion(w, draws(spark, sf)).select("branch_id", "site", r("weight"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladewise import queries
-from cladewise.operators import combine
+from cladewise.operators import expected
 
 
 @pytest.fixture(scope="module")
@@ -30,3 +30,24 @@ def test_triples_are_all_counted(spark, tables):
     every = [c for c in combinations(range(12), 3) if len({i % 4 for i in c}) == 3]
     assert set(got) == set(every) and any(c[0] >= 8 for c in every)
     assert all(np.isclose(got[c], np.prod(x[list(c)], axis=0).sum(), atol=1e-6) for c in every)
+
+
+def test_null_draws_follow_each_branch(spark, tables):
+    total, sites = {}, {}
+    for r in queries.events(spark, tables).collect():
+        total[r.branch_id] = total.get(r.branch_id, 0) + r.pp
+        sites.setdefault(r.branch_id, set()).add(r.site)
+    mass = {r[0]: r[1] for r in queries.urn_inclusion(spark, tables).groupBy("branch_id").agg(F.sum("weight")).collect()}
+    assert all(np.isclose(mass[b], min(total[b], len(sites[b])), atol=1e-4) for b in total) and len(mass) == 12
+    got = {tuple(r[:2]): r[2] for r in queries.permuted_overlap(spark, tables).collect()}
+    assert set(got) == {c for c in combinations(range(12), 2) if c[0] % 4 != c[1] % 4}
+    assert got[8, 11] > got[0, 1]
+
+
+def test_fractional_draws_are_rounded_each_round(spark):
+    w = spark.createDataFrame([(b, s, 0.1) for b in range(2) for s in range(10)], "branch_id int, site int, weight double")
+    n = spark.createDataFrame([(0, 2.25), (1, 40.0)], "branch_id int, n double")
+    pairs = spark.createDataFrame([(0, 1)], "branch_id_1 int, branch_id_2 int")
+    # branch 1 draws all ten sites, so the overlap is branch 0's number of draws
+    got = [r.overlap for r in expected.permuted_overlaps(w, n, pairs, 400).collect()]
+    assert set(got) == {2, 3} and abs(np.mean(got) - 2.25) < 0.08
