@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import DoubleType
 
+from ..plans.settled import settled
+
 
 @F.pandas_udf(DoubleType())
 def log_gamma(x: pd.Series) -> pd.Series:
@@ -65,15 +67,57 @@ def tilted_weights(weights: DataFrame, score: str, beta: float, clip: float) ->
     return w.withColumn("weight", F.col("_t") / F.nullif(F.sum("_t").over(Window.partitionBy("branch_id")), F.lit(0.0))).drop("_t")
 
 
-def fit_tilt(counts: DataFrame, score: str, clip: float, folds: int = 5, grid=tuple(x / 10 for x in range(-20, 21))) -> float:
-    """The tilt of the best held-out log-likelihood: counts (branch_id, site, n, weight), sites dealt to folds by their number.
+#: The reference's tilts.
+TILTS = (-3.0, -2.5, *(x / 100 for x in range(-200, 201)), 2.5, 3.0)
+
+
+def best_tilt(p: DataFrame) -> float:
+    """The beta of the largest sum of n * ln(p); ties go to the beta nearest 0."""
+    best = p.groupBy("beta").agg(F.sum(F.col("n") * F.ln("p")).alias("ll")).orderBy(F.desc(F.round("ll", 9)), F.abs("beta")).first()
+    return float(best.beta) if best else 0.0
 
-    The held-out likelihood of a beta doesn't depend on the other folds, as beta
-    is the only parameter, so one pass over rows times grid gives all sums; ties go to the beta nearest 0.
+
+def fit_tilt(counts: DataFrame, score: str, clip: float, folds: int = 5, grid=TILTS) -> float:
+    """The tilt of the best likelihood under given weights: counts (branch_id, site, n, weight), sites dealt to folds by their number.
+
+    Nothing is trained here, so the weights must come from elsewhere: under
+    weights of the same events 0 is the trivial best. For those use held_out_tilt.
     """
     rows = counts.withColumn("beta", F.explode(F.array(*[F.lit(float(b)) for b in grid]))).withColumn("fold", F.pmod("site", F.lit(folds)))
     t = F.greatest(F.least(F.col("beta") * F.col(score), F.lit(clip)), F.lit(-clip))
     w = Window.partitionBy("branch_id", "fold", "beta")
-    p = rows.withColumn("_t", F.col("weight") * F.exp(t)).withColumn("_p", F.col("_t") / F.nullif(F.sum("_t").over(w), F.lit(0.0))).where("n > 0 and _p > 0")
-    best = p.groupBy("beta").agg(F.sum(F.col("n") * F.ln("_p")).alias("ll")).orderBy(F.desc(F.round("ll", 9)), F.abs("beta")).first()
-    return float(best.beta) if best else 0.0
+    return best_tilt(rows.withColumn("_t", F.col("weight") * F.exp(t)).withColumn("p", F.col("_t") / F.nullif(F.sum("_t").over(w), F.lit(0.0))).where("n > 0 and p > 0"))
+
+
+def held_out_priors(counts: DataFrame, folds: int = 5, alpha: float = 1.0, tol: float = 1e-12) -> DataFrame:
+    """branch_id, site, fold, weight, and the columns of counts (branch_id, site, n): each active branch's weights from the branches of the other folds.
+
+    Branches with counts are dealt to at most ``folds`` folds in the order of
+    their ids. A fold's prior is the sites' total counts less the fold's own,
+    plus alpha, over the sites that a branch has; even where that is nothing.
+    """
+    total = counts.groupBy("branch_id").agg(F.sum("n").alias("m")).where(F.col("m") > tol).select("branch_id")
+    dealt = total.withColumn("_i", F.row_number().over(Window.orderBy("branch_id")) - 1)  # a tree's branches are few
+    k = dealt.count()
+    # with fewer than two there is nothing to hold out, and no rows
+    dealt = dealt.select("branch_id", F.pmod("_i", F.lit(max(min(folds, k), 1))).alias("fold")).where(F.lit(k >= 2))
+    rows = counts.join(F.broadcast(dealt), "branch_id")
+    own = rows.groupBy("fold", "site").agg(F.sum("n").alias("_own"))
+    prior = own.withColumn("_prior", F.greatest(F.sum("_own").over(Window.partitionBy("site")) - F.col("_own"), F.lit(0.0)) + alpha).drop("_own")
+    w = Window.partitionBy("branch_id")
+    rows = rows.join(prior, ["fold", "site"]).withColumns({"_s": F.sum("_prior").over(w), "_k": F.count(F.lit(1)).over(w)})
+    return rows.withColumn("weight", F.when(F.col("_s") > tol, F.col("_prior") / F.col("_s")).otherwise(1 / F.col("_k"))).drop("_prior", "_s", "_k")
+
+
+def held_out_tilt(counts: DataFrame, score: str, clip: float, folds: int = 5, alpha: float = 1.0, grid=TILTS, tol: float = 1e-12) -> float:
+    """The tilt of the best likelihood of branches under priors of the other folds' branches: counts (branch_id, site, n, score).
+
+    A row is a site that its branch has, also where n is 0. As in the reference,
+    a beta of 0 or less leaves the prior alone; such betas score as 0 and come out as 0.
+    """
+    betas = sorted({max(float(b), 0.0) for b in grid})
+    rows = settled(held_out_priors(counts.select("branch_id", "site", "n", score), folds, alpha, tol)).withColumn("beta", F.explode(F.array(*[F.lit(b) for b in betas])))
+    t = F.greatest(F.least(F.col("beta") * F.col(score), F.lit(clip)), F.lit(-clip))
+    tilted = rows.withColumn("_t", F.col("weight") * F.exp(t)).withColumn("_z", F.sum("_t").over(Window.partitionBy("branch_id", "beta")))
+    p = F.when(F.col("_z") > tol, F.col("_t") / F.col("_z")).otherwise(F.col("weight"))
+    return best_tilt(tilted.where("n > 0").withColumn("p", F.least(F.greatest(p, F.lit(tol)), F.lit(1.0))))

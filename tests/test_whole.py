@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladewise import queries
-from cladewise.operators import expected
+from cladewise.operators import expected, nulls
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +51,26 @@ def test_fractional_draws_are_rounded_each_round(spark):
     # branch 1 draws all ten sites, so the overlap is branch 0's number of draws
     got = [r.overlap for r in expected.permuted_overlaps(w, n, pairs, 400).collect()]
     assert set(got) == {2, 3} and abs(np.mean(got) - 2.25) < 0.08
+
+
+def test_tilt_is_fitted_on_other_branches(spark):
+    rng, z = np.random.default_rng(8), np.random.default_rng(7).normal(size=40)
+    side = np.array([1.0, -1.0, 0.5, -0.5, 1.5, -1.5, 0.0])
+    n = np.array([rng.multinomial(300, np.exp(1.3 * c * z) / np.exp(1.3 * c * z).sum()) for c in side])
+    has = rng.random(n.shape) < 0.9
+    n = np.where(has, n, 0)
+    score = side[:, None] * z
+    fold, ll = np.arange(7) % 5, {}
+    for beta in np.arange(0, 201) / 100:
+        ll[beta] = 0.0
+        for b in range(7):
+            p = np.where(has[b], n[fold != fold[b]].sum(axis=0) + 1.0, 0) * np.exp(np.clip(beta * score[b], -3, 3))
+            ll[beta] += (n[b] * np.log(np.clip(p / p.sum(), 1e-12, 1))).sum()
+    best = max(ll, key=ll.get)
+    rows = [(b, s, float(n[b, s]), float(score[b, s])) for b in range(7) for s in range(40) if has[b, s]]
+    t = spark.createDataFrame(rows, "branch_id int, site int, n double, z double")
+    assert 0.5 < best < 2 and nulls.held_out_tilt(t, "z", 3.0) == best
+    # under the events' own weights the tilt is lost
+    own = expected.site_weights(t.withColumnRenamed("n", "sub"), 40).withColumnRenamed("sub", "n")
+    assert nulls.fit_tilt(own, "z", 3.0) == 0
+    assert nulls.held_out_tilt(t.where("branch_id = 0"), "z", 3.0) == 0
