@@ -6,6 +6,8 @@ small and broadcast; branches and sites are what Spark spreads.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -102,7 +104,10 @@ def fisher_inclusion(weights: np.ndarray, draws: int) -> np.ndarray:
 
 
 def wallenius_inclusion(weights: np.ndarray, draws: int) -> np.ndarray:
-    """Approximate inclusion probabilities of sequential draws: 1 - exp(-w * x) with x such that they sum to ``draws``."""
+    """Inclusion probabilities of sequential draws: exact for one draw and for small urns, as in the reference.
+
+    Else approximate: 1 - exp(-w * x) with x such that they sum to ``draws``.
+    """
     w = np.asarray(weights, float)
     out, positive = np.zeros(len(w)), w > 0
     v = w[positive]
@@ -111,6 +116,12 @@ def wallenius_inclusion(weights: np.ndarray, draws: int) -> np.ndarray:
     if draws >= len(v):
         out[positive] = 1
         return out
+    if draws == 1:
+        out[positive] = v / v.sum()
+        return out
+    if len(v) <= 20 and math.comb(len(v), draws) <= 250_000:
+        out[positive] = _sequential_inclusion(v, draws)
+        return out
     low, high = 0.0, 1.0
     while (1 - np.exp(-v * high)).sum() < draws:
         high *= 2
@@ -121,6 +132,19 @@ def wallenius_inclusion(weights: np.ndarray, draws: int) -> np.ndarray:
     return out
 
 
+def _sequential_inclusion(v: np.ndarray, draws: int) -> np.ndarray:
+    """Exact, by the probability of each set (bit mask) of items drawn so far, one draw at a time."""
+    bits = np.arange(len(v))
+    masks, probability = np.zeros(1, np.int64), np.ones(1)
+    for _ in range(draws):
+        free = (masks[:, None] >> bits & 1) == 0
+        # summed over the free items: a difference from the total would lose small weights
+        step = probability[:, None] * np.where(free, v, 0) / np.where(free, v, 0).sum(axis=1, keepdims=True)
+        masks, where = np.unique((masks[:, None] | 1 << bits)[free], return_inverse=True)
+        probability = np.bincount(where, step[free], len(masks))
+    return probability @ (masks[:, None] >> bits & 1)
+
+
 def inclusion(weights: DataFrame, draws: DataFrame, law: str = "fisher") -> DataFrame:
     """branch_id, site, weight: inclusion probabilities per branch of an urn with n draws (branch_id, n).
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import DoubleType
 
+from ..functions.numeric import finite
 from ..plans.settled import settled
 
 
@@ -47,17 +48,27 @@ def dispersion_by_moments(df: DataFrame, observed: str, mean: str, least: int =
     return min(max(med, 0.0), most) if n >= least else 0.0
 
 
-def empirical_alpha(df: DataFrame, observed: str, expected: str, low: float = 1e-3, high: float = 1e3, points: int = 61) -> float:
-    """The pseudocount of the best Gamma-Poisson likelihood: observed ~ Poisson(l * expected), l ~ Gamma(alpha, alpha), on a log grid.
+def empirical_alpha(df: DataFrame, observed: str, expected: str, low: float = 1e-4, high: float = 1e2, points: int = 121, refined: int = 81) -> float:
+    """The pseudocount of the best Gamma-Poisson likelihood: observed ~ Poisson(l * expected), l ~ Gamma(alpha, alpha).
 
-    All grid points are summed in one pass: rows times points, no join.
+    A log grid first, then ``refined`` points between the best one's neighbours.
+    All points of a grid are summed in one pass: rows times points, no join.
     """
-    grid = np.geomspace(low, high, points).tolist()
-    a, o, e = F.col("alpha"), F.col(observed), F.col(expected)
-    rows = df.where((e > 0) & (o >= 0)).select(observed, expected, F.explode(F.array(*[F.lit(g) for g in grid])).alias("alpha"))
+    a, o, e = F.col("alpha"), F.col(observed), F.greatest(F.col(expected), F.lit(1e-12))
+    valid = df.where(finite(F.col(observed)) & finite(F.col(expected)) & (F.col(observed) >= 0) & (F.col(expected) >= 0)).select(observed, expected)
     ll = log_gamma(o + a) - log_gamma(a) + a * F.ln(a) - (o + a) * F.ln(e + a) + o * F.ln(e)
-    best = rows.groupBy("alpha").agg(F.sum(ll).alias("ll")).orderBy(F.desc("ll"), "alpha").first()
-    return float(best.alpha) if best else 0.0
+
+    def best(grid):
+        rows = valid.withColumn("alpha", F.explode(F.array(*[F.lit(g) for g in grid])))
+        return rows.groupBy("alpha").agg(F.sum(ll).alias("ll")).orderBy(F.desc("ll"), "alpha").first()
+
+    grid = np.geomspace(low, high, points).tolist()
+    first = best(grid)
+    if not first or points < 3:
+        return float(first.alpha) if first else 0.0
+    i = int(np.argmin(np.abs(np.array(grid) - first.alpha)))
+    second = best(np.geomspace(grid[max(i - 1, 0)], grid[min(i + 1, points - 1)], refined).tolist())
+    return float(second.alpha if second.ll >= first.ll else first.alpha)
 
 
 def tilted_weights(weights: DataFrame, score: str, beta: float, clip: float) -> DataFrame:
