@@ -15,8 +15,8 @@ from ..functions.numeric import finite
 from ..plans.settled import settled
 
 
-def running_counts(values: DataFrame, keys: list[str], value: str, buckets: int = 64) -> DataFrame:
-    """keys, value, n (rows of that value), below (rows with a smaller value).
+def running_counts(values: DataFrame, keys: list[str], value: str, buckets: int = 64, ranges: bool = False) -> DataFrame:
+    """keys, value, n (rows of that value), below (rows with a smaller value); with ``ranges`` also part, the number of its range.
 
     Rows are counted per value, values are cut into ``buckets`` ranges by
     approximate quantiles, and a window runs over each (keys, range): no task
@@ -29,7 +29,7 @@ def running_counts(values: DataFrame, keys: list[str], value: str, buckets: int
     whole = placed.groupBy(*keys, "part").agg(F.sum("n").alias("m"))
     offsets = whole.withColumn("offset", F.sum("m").over((Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("part")) - F.col("m")).drop("m")
     within = F.sum("n").over(Window.partitionBy(*keys, "part").orderBy(value)) - F.col("n")
-    return placed.withColumn("within", within).join(F.broadcast(offsets), [*keys, "part"]).select(*keys, value, "n", (F.col("offset") + F.col("within")).alias("below"))
+    return placed.withColumn("within", within).join(F.broadcast(offsets), [*keys, "part"]).select(*keys, value, "n", (F.col("offset") + F.col("within")).alias("below"), *(["part"] if ranges else []))
 
 
 def average_rank(df: DataFrame, value: str, keys: list[str] | None = None, out: str = "avg_rank") -> DataFrame:
@@ -49,13 +49,21 @@ def rank_quantile(df: DataFrame, value: str, keys: list[str] | None = None, out:
 
 
 def bh_qvalues(df: DataFrame, p: str, keys: list[str] | None = None, out: str = "q") -> DataFrame:
-    """Benjamini-Hochberg q-values among finite p, overall or within ``keys``: a suffix minimum of p * n / rank over distinct p."""
+    """Benjamini-Hochberg q-values among finite p, overall or within ``keys``: a suffix minimum of p * n / rank over distinct p.
+
+    The minimum runs within each range of running_counts; those of the later
+    ranges, one row each, are joined to it.
+    """
     keys = keys or []
-    r = running_counts(df.where(finite(F.col(p))).select(*keys, p), keys, p)
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    raw = F.col(p) * F.sum("n").over(part) / (F.col("below") + F.col("n"))
-    q = F.min("raw").over(part.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
-    q = r.withColumn("raw", raw).withColumn(out, F.least(q, F.lit(1.0))).select(*keys, p, out)
+    r = running_counts(df.where(finite(F.col(p))).select(*keys, p), keys, p, ranges=True)
+    r = settled(r.withColumn("raw", F.col(p) / (F.col("below") + F.col("n"))))  # read twice, with the same ranges
+    parts = r.groupBy(*keys, "part").agg(F.sum("n").alias("_m"), F.min("raw").alias("_least"))
+    every = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    later = F.min("_least").over(every.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*keys, "part", F.sum("_m").over(every).alias("_n"), later.alias("_later"))
+    within = F.min("raw").over(Window.partitionBy(*keys, "part").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
+    q = r.withColumn("_within", within).join(F.broadcast(parts), [*keys, "part"])
+    q = q.select(*keys, p, F.least(F.least("_within", "_later") * F.col("_n"), F.lit(1.0)).alias(out))
     return df.join(q, [*keys, p], "left")
 
 

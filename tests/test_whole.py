@@ -1,6 +1,7 @@
 """Queries and fits that once did less than the whole job."""
 
 import math
+import re
 from itertools import combinations, permutations
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladewise import queries
-from cladewise.operators import expected, nulls
+from cladewise.operators import expected, nulls, ranking
 
 
 @pytest.fixture(scope="module")
@@ -101,3 +102,19 @@ def test_small_urns_are_exact():
         assert np.allclose(expected.wallenius_inclusion(w, draws), brute, atol=1e-12)
     many = expected.wallenius_inclusion(np.arange(1, 21.0), 10)
     assert np.isclose(many.sum(), 10) and (np.diff(many) > 0).all()
+
+
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_q_values_sort_no_whole_column(spark, keys):
+    rng = np.random.default_rng(5)
+    p = rng.random(3000) ** 3
+    df = spark.createDataFrame([(i, i % 2, float(x)) for i, x in enumerate(p)], "i int, g int, p double")
+    q = ranking.bh_qvalues(df, "p", keys)
+    got = np.array([r.q for r in q.orderBy("i").collect()])
+    for part in [np.arange(3000) % 2 == g for g in (0, 1)] if keys else [np.ones(3000, bool)]:
+        x, order = p[part], np.argsort(p[part])
+        want = np.empty(len(x))
+        want[order] = np.minimum(1, np.minimum.accumulate((x[order] * len(x) / np.arange(1, len(x) + 1))[::-1])[::-1])
+        assert np.allclose(got[part], want)
+    by = re.findall(r"windowspecdefinition\(([^()]*?)p#\d+ DESC", q._jdf.queryExecution().executedPlan().toString())
+    assert by and all("part#" in x for x in by)
