@@ -1,6 +1,6 @@
 """Question-and-answer rounds: which of my keys does another slice hold too?
 
-Documents are dealt into slices (a few MB of text each, by a hash of doc_id).
+Documents are dealt into slices (a few MB of text each, by a hash of doc_id and text).
 A slice packs its distinct keys into one binary per bucket, each bucket
 compares what all slices sent, and a slice gets back bits in the order of the
 keys it sent. So a key that a third of all rows hold costs one entry a slice,
@@ -37,7 +37,7 @@ def sliced(docs: DataFrame, slice_bytes: int = SLICE_BYTES, carry: list[str] | N
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / slice_bytes))
-    one = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("slice"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*carry).alias("carry")] if carry else []))
+    one = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("slice"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*carry).alias("carry")] if carry else []))
     return one, n, total
 
 

@@ -41,7 +41,8 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    out = jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    return out.select("doc_id", "n_shingles", "component_id")
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,3 +38,11 @@ def test_near_duplicates_and_cuts(spark):
     assert {r.doc_id for r in one.collect()} == {1, 3, 4, 5}
     cut = {r.doc_id: r for r in P.substring_dedup_stage(spark, one, "").collect()}
     assert cut[1].text == text and cut[3].text == "other tail" and cut[3].n_chars == 10 and cut[4].text == rows[3][1] and cut[5].text is None
+
+
+def test_near_duplicates_keep_other_texts_of_an_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(1, a, "en", "s", 1), (2, a, "en", "s", 1), (2, b, "en", "s", 1), (2, b, "en", "s", 1), (None, a, "en", "s", 1), (4, "", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r.doc_id or 0, r.text) for r in P.ngram_jaccard_join(spark, docs, "").collect())
+    assert kept == sorted([(0, a), (1, a), (2, b), (2, b), (4, "")])
