@@ -24,9 +24,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
+    """Of each class of near duplicates (five-word shingles, similarity 0.8 or more) the document smallest by doc_id and text hash stays.
+
+    Documents without words and those with a null doc_id stay; rows equal in
+    doc_id and text are one document and stay or go together; different texts
+    of one doc_id are judged apart. An empty table stays empty.
+    """
     classes = jaccard_join.jaccard_components(docs, n=5, num=80, den=100)
-    return without(docs, classes.where("component_id < doc_id"), ["doc_id"])
+    return without(docs.withColumn("_text_hash", F.xxhash64("text")), classes.where("not leads").withColumnRenamed("text_hash", "_text_hash"), ["doc_id", "_text_hash"]).drop("_text_hash")
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
