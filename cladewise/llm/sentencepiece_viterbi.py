@@ -9,10 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .pieces import MODEL_FILE, Vocabulary, pre_tokens, vocabulary
+from .pieces import MODEL_FILE, PRE_TOKEN, Vocabulary, vocabulary
 
 #: Pre-tokens whose ids a task remembers, in each of two generations.
 REMEMBERED = 120_000
+#: Characters that are fed to the search at once.
+CHUNK = 1 << 16
 
 
 class StreamingViterbi:
@@ -20,15 +22,25 @@ class StreamingViterbi:
 
     Only boundaries within the longest piece of the last one can still start a
     piece. Whenever the best paths to all of them run through one boundary,
-    what lies before it is final: its ids are committed and forgotten. The
-    score is the sum of piece scores; of equal ones the longer last piece wins.
+    what lies before it is final: its ids are committed and forgotten. Where a
+    pre-token ends no piece goes on, so all paths meet there and everything is
+    committed; within a longer one the search walks the frontier's paths back
+    until they meet. The score is the sum of piece scores; of equal ones the
+    longer last piece wins. What is searched between two such boundaries depends
+    on nothing else, so the ids of frequent pre-tokens are remembered.
     """
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self.base = 0  # boundary that the window starts at
-        self.text = ""  # characters behind it
-        self.best: list[int | None] = [0]
+        self.seen: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.tail = ""  # the open pre-token, while it is short
+        self.inside = self.blank = False  # the open pre-token is in the window, and has only spaces so far
+        self._clear()
+
+    def _clear(self) -> None:
+        self.text = ""  # characters since the last commit
+        self.best: list[int] = [0]
         self.back = [0]
 
     def _extend(self, text: str, done: int) -> None:
@@ -47,7 +59,8 @@ class StreamingViterbi:
             back.append(cut)
         self.text = text
 
-    def feed(self, characters: str) -> list[int]:
+    def _search(self, characters: str) -> list[int]:
+        """Moves the window over more of a pre-token; returns what is final."""
         out: list[int] = []
         window = 2 * self.v.longest
         for a in range(0, len(characters), window):
@@ -71,7 +84,6 @@ class StreamingViterbi:
         low = self.best[meet]
         self.text, self.best = self.text[meet:], [b - low for b in self.best[meet:]]
         self.back = [0] + [max(b - meet, 0) for b in self.back[meet + 1 :]]
-        self.base += meet
         return ids
 
     def _path(self, end: int) -> list[int]:
@@ -88,40 +100,68 @@ class StreamingViterbi:
         ids.reverse()
         return ids
 
-    def finish(self) -> list[int]:
+    def _close(self) -> list[int]:
+        """The open pre-token has ended: all paths meet at its end."""
         ids = self._path(len(self.text))
-        self.base, self.text, self.best, self.back = 0, "", [0], [0]
+        self.inside = False
+        self._clear()
         return ids
 
-
-def encode_stream(v: Vocabulary, chunks: Iterable[str]) -> Iterator[int]:
-    """Ids of a text that comes in chunks, in memory bounded by the longest piece (and by how far paths stay apart)."""
-    search = StreamingViterbi(v)
-    yield from search.feed(" ")
-    for chunk in chunks:
-        yield from search.feed(chunk)
-    yield from search.finish()
-
-
-class Encoder:
-    """Encodes texts pre-token by pre-token, where all paths meet anyway, and remembers the ids of frequent ones."""
-
-    def __init__(self, v: Vocabulary):
-        self.v, self.search, self.seen, self.older = v, StreamingViterbi(v), {}, {}
-
     def _ids(self, token: str) -> tuple[int, ...]:
         ids = self.older.get(token)
         if ids is None:
-            ids = tuple(self.search.feed(token) + self.search.finish())
+            ids = tuple(self._search(token) + self._close())
         if len(token) <= 64:
             self.seen[token] = ids
         return ids
 
-    def encode(self, text: str | None) -> np.ndarray:
+    def feed(self, characters: str) -> list[int]:
+        """Ids that are final after these characters."""
         if len(self.seen) >= REMEMBERED:
             self.seen, self.older = {}, self.seen
+        parts, out = PRE_TOKEN.findall(self.tail + characters), []
+        if not parts:
+            return out
+        if self.inside and (self.blank or parts[0][0] != " "):
+            on = parts.pop(0)
+            out += self._search(on)
+            self.blank = self.blank and not on.strip(" ")
+            if not parts:
+                return out
+        if self.inside:
+            out += self._close()
+        self.tail = parts.pop()
         seen = self.seen
-        return np.fromiter(chain.from_iterable([seen.get(t) or self._ids(t) for t in pre_tokens(text)]), np.int32)
+        out += chain.from_iterable([seen.get(t) or self._ids(t) for t in parts])
+        if len(self.tail) > 2 * self.v.longest:
+            self.inside, self.blank, characters, self.tail = True, not self.tail.strip(" "), self.tail, ""
+            out += self._search(characters)
+        return out
+
+    def finish(self) -> list[int]:
+        """The ids that were still open; the next characters start another text."""
+        ids = self._close() if self.inside else []
+        if self.tail:
+            tail, self.tail = self.tail, ""
+            ids += self._ids(tail)
+        return ids
+
+
+def encode_stream(v: Vocabulary, chunks: Iterable[str]) -> Iterator[int]:
+    """Ids of a text that comes in chunks, in memory bounded by the longest piece (and by how far paths stay apart)."""
+    search = StreamingViterbi(v)
+    yield from search.feed(" ")
+    for chunk in chunks:
+        yield from search.feed(chunk)
+    yield from search.finish()
+
+
+def encode_text(search: StreamingViterbi, text: str | None) -> np.ndarray:
+    """Ids of a whole text, fed to the search in chunks; none for a null or empty one."""
+    ids = search.feed(" " + text[:CHUNK]) if text else []
+    for a in range(CHUNK, len(text or ""), CHUNK):
+        ids += search.feed(text[a : a + CHUNK])
+    return np.array(ids + search.finish(), np.int32)
 
 
 def decode(v: Vocabulary, ids) -> str:
@@ -144,12 +184,12 @@ def encode(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
 
     def run(batches):
         v = shared.value
-        own = Encoder(v)
+        search = StreamingViterbi(v)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 texts = part.column("text").to_pylist()
-                ids = [own.encode(t) for t in texts]
+                ids = [encode_text(search, t) for t in texts]
                 n = np.array([len(i) for i in ids], np.int32)
                 offsets = pa.array(np.append(0, np.cumsum(n)).astype(np.int32), mask=np.array([t is None for t in texts] + [False]))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))

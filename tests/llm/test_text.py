@@ -27,7 +27,10 @@ def vocab():
 
 def brute_encode(v, text):
     """Best score and ids by plain dynamic programming over the whole text."""
-    t = " " + text if text else ""
+    return plain_encode(v, " " + text if text else "")
+
+
+def plain_encode(v, t):
     best, back = [0] + [None] * len(t), [0] * (len(t) + 1)
     for end in range(1, len(t) + 1):
         for start in range(end - 1, max(0, end - v.longest) - 1, -1):
@@ -62,8 +65,20 @@ def test_stream_in_chunks(vocab):
         ids = list(sentencepiece_viterbi.encode_stream(vocab, [text[k : k + size] for k in range(0, len(text), size)]))
         assert ids == brute_encode(vocab, text)
     search = sentencepiece_viterbi.StreamingViterbi(vocab)
-    search.feed("the of " * 2000)
-    assert len(search.text) < 4 * vocab.longest  # the window stays short
+    assert len(search.feed("the of " * 2000)) > 1900 and not search.text  # committed at each pre-token's end
+    word = "thenöing" * 3000
+    inside = search.finish() and search.feed(word)  # committed within an open pre-token, where paths meet
+    assert len(search.text) < 4 * vocab.longest and len(inside) > 5000
+    assert inside + search.feed("   ") + search.feed("then" * 40) + search.finish() == plain_encode(vocab, word + "   " + "then" * 40)
+    assert search.feed(" " * 300) + search.feed(" " * 300 + "a") + search.feed("b c") + search.finish() == plain_encode(vocab, " " * 600 + "ab c")
+
+
+def test_remembered_ids_change_nothing(vocab, monkeypatch):
+    monkeypatch.setattr(sentencepiece_viterbi, "REMEMBERED", 2)
+    monkeypatch.setattr(sentencepiece_viterbi, "CHUNK", 11)
+    search = sentencepiece_viterbi.StreamingViterbi(vocab)
+    for text in [*TEXTS, *TEXTS]:
+        assert sentencepiece_viterbi.encode_text(search, text).tolist() == brute_encode(vocab, text)
 
 
 def test_counts_equal_encoding(spark, monkeypatch):
