@@ -1,24 +1,32 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame functions only.
 
-The index holds postings of the training words a benchmark needs: how often
-each word of its windows occurs, and, for the rarest word of every window, the
-positions with the words around each (the payload that the other terms' lists
-are intersected with, offset by offset). A window is looked up by its rarest
-term; the shifted neighbours decide between an exact phrase, a proximity match
-(all words within a few more places, in any order) and nothing.
+The index is a stored table of postings: term, document and position, for the
+rarest few words of every benchmark window (rarest in the training documents,
+counted over all of them). A window is looked up by its rarest term; the lists
+of its next rarest terms, moved by their offsets, are intersected with that
+term's positions in the document. What is left is compared with the words that
+the rarest term's posting carries from its neighbourhood, which decides between
+an exact phrase, a proximity match (all words within a few more places, in any
+order) and nothing.
 """
 
 from __future__ import annotations
 
-import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import written
+
 #: The word rule after lower-casing A-Z.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: Posting lists that are intersected for a window: its rarest terms.
+LISTS = 3
+#: Windows of one rarest term in a row of the lookup table.
+LOOKUPS = 64
 #: Terms looked up in one pass over the documents; more are taken in blocks.
 TERMS_A_PASS = 20_000
 #: A table of terms is broadcast only below this many bytes, as counted.
@@ -46,22 +54,31 @@ def frequencies(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return docs.select(F.explode(words(F.col("text"))).alias("word")).join(small, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def rarest_terms(windows: DataFrame, frequency: DataFrame) -> DataFrame:
-    """(term, lookups): for each window whose words all occur its rarest word; lookups hold offset, item_id and window."""
-    each = windows.select("item_id", "window", F.posexplode("window").alias("offset", "word"))
-    known = each.join(frequency, "word").groupBy("item_id", "window").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("n", "word", "offset")).alias("least"))
-    known = known.where(F.col("found") == F.size("window"))
-    return known.groupBy(F.col("least.word").alias("term")).agg(F.collect_list(F.struct(F.col("least.offset").alias("offset"), "item_id", "window")).alias("lookups"))
+def rarest_terms(windows: DataFrame, frequency: DataFrame, lists: int = LISTS) -> DataFrame:
+    """(item_id, window, lists): for each window whose words all occur, its rarest words with the first offset of each, rarest first."""
+    each = windows.select("item_id", "window", F.posexplode("window").alias("offset", "word")).groupBy("item_id", "window", "word").agg(F.min("offset").alias("offset"))
+    known = each.join(frequency, "word").groupBy("item_id", "window").agg(F.array_sort(F.collect_list(F.struct("n", "word", "offset"))).alias("lists"))
+    return known.where(F.size("lists") == F.size(F.array_distinct("window"))).withColumn("lists", F.slice("lists", 1, lists))
+
+
+def lookup_table(ranked: DataFrame) -> DataFrame:
+    """(term, lookups): windows by their rarest term, at most about ``LOOKUPS`` in a row; a lookup holds offset, item_id, window and the other lists."""
+    term = ranked.withColumn("term", F.col("lists")[0]["word"])
+    rows = term.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / LOOKUPS).alias("parts"))
+    term = term.join(rows, "term").withColumn("part", F.pmod(F.xxhash64("item_id", "window"), F.col("parts")))
+    lookup = F.struct(F.col("lists")[0]["offset"].alias("offset"), "item_id", "window", F.slice("lists", 2, LISTS).alias("others"))
+    return term.groupBy("term", "part").agg(F.collect_list(lookup).alias("lookups")).drop("part")
 
 
-def postings(docs: DataFrame, terms: list[str], reach: int) -> DataFrame:
-    """(doc_id, text_hash, term, at, before, around): each position of a term, with ``reach`` words on both sides."""
+def postings(docs: DataFrame, terms: list[str], first: list[str], reach: int) -> DataFrame:
+    """(doc_id, text_hash, term, at, before, around): each position of a term; those of ``first`` with ``reach`` words on both sides."""
     # explode(array(...)) keeps the split from being inlined into the lambda, where it would run once a word
     w = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.array(words(F.col("text")))).alias("words"))
     at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(terms))
     hits = w.where(F.size("words") > 0).select("doc_id", "text_hash", "words", F.explode(at).alias("at"))
-    before = F.least("at", F.lit(reach))
-    return hits.select("doc_id", "text_hash", F.get("words", F.col("at")).alias("term"), "at", before.alias("before"), F.slice("words", F.col("at") - before + 1, before + 1 + reach).alias("around"))
+    before, term = F.least("at", F.lit(reach)), F.get("words", F.col("at"))
+    around = F.when(term.isin(first), F.slice("words", F.col("at") - before + 1, before + 1 + reach))
+    return hits.select("doc_id", "text_hash", term.alias("term"), "at", before.alias("before"), around.alias("around"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, slack: int = 0) -> DataFrame:
@@ -75,18 +92,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, slack: int =
     docs = docs.select(F.col("doc_id"), F.col("text"))
     windows = item_windows(benchmark, width)
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
-    lookups = rarest_terms(windows, frequencies(docs, vocabulary))
-    terms = sorted(r.term for r in lookups.select("term").toLocalIterator())  # of the benchmark, not of the documents
-    reach = width - 1 + slack
-    blocks = [terms[k : k + TERMS_A_PASS] for k in range(0, len(terms), TERMS_A_PASS)] or [[""]]
-    found = postings(docs, blocks[0], reach)
-    for block in blocks[1:]:
-        found = found.union(postings(docs, block, reach))
+    ranked = written(rarest_terms(windows, frequencies(docs, vocabulary)))
+    # terms of the benchmark, not of the documents; those that carry their neighbourhood come first
+    rows = ranked.select(F.posexplode("lists.word").alias("place", "term")).groupBy("term").agg(F.min("place").alias("place")).orderBy("place", "term")
+    terms = [(r.term, r.place == 0) for r in rows.toLocalIterator()]
+    blocks = [terms[k : k + TERMS_A_PASS] for k in range(0, len(terms), TERMS_A_PASS)] or [[("", True)]]
+    stored = None
+    for block in blocks:
+        part = postings(docs, [t for t, _ in block], [t for t, first in block if first] or [""], width - 1 + slack)
+        stored = part if stored is None else stored.union(part)
+    stored = written(stored)
+    # the lists of a document: term and position in one number (a filter only: what passes is compared word by word)
+    lists = stored.groupBy("doc_id", "text_hash").agg(F.collect_set(F.xxhash64("term", "at")).alias("held"))
+    lists = lists.select(F.col("doc_id").alias("list_id"), F.col("text_hash").alias("list_hash"), "held")
+    rarest = stored.where("around is not null").join(lists, F.col("doc_id").eqNullSafe(F.col("list_id")) & (F.col("text_hash") == F.col("list_hash")))
+    found = rarest.join(lookup_table(ranked), "term")
 
     def hit(x: Column) -> Column:
-        from_ = F.col("before") - x["offset"]
-        exact = (from_ >= 0) & (F.slice("around", F.greatest(from_, F.lit(0)) + 1, F.size(x["window"])) == x["window"])
-        return exact
+        from_, start = F.col("before") - x["offset"], F.col("at") - x["offset"]
+        met = F.forall(x["others"], lambda o: F.array_contains("held", F.xxhash64(o["word"], start + o["offset"])))
+        return (from_ >= 0) & met & (F.slice("around", F.greatest(from_, F.lit(0)) + 1, F.size(x["window"])) == x["window"])
 
     exact = F.transform(F.filter("lookups", hit), lambda x: F.struct(x["item_id"].alias("item_id"), (F.col("at") - x["offset"]).alias("start"), F.size(x["window"]).alias("length"), F.lit(True).alias("exact")))
     if slack:
@@ -98,7 +123,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, slack: int =
 
         loose = F.transform(F.filter("lookups", near), lambda x: F.struct(x["item_id"].alias("item_id"), F.greatest(F.col("at") - F.size(x["window"]) - slack + 1, F.lit(0)).alias("start"), (F.size(x["window"]) + slack).alias("length"), F.lit(False).alias("exact")))
         exact = F.concat(exact, loose)
-    joined = found.join(lookups, "term").select("doc_id", "text_hash", exact.alias("m")).where(F.size("m") > 0)
+    joined = found.select("doc_id", "text_hash", exact.alias("m")).where(F.size("m") > 0)
     return joined.select("doc_id", "text_hash", F.explode("m").alias("m")).select("doc_id", "text_hash", "m.*")
 
 
@@ -119,5 +144,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     every = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = every.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    per = math.ceil(1 / share)
-    return out.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (n_hit * per >= F.col("n_words"))).alias("contaminated"))
+    part = Fraction(str(share))  # n_hit / n_words >= share in whole numbers
+    return out.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (n_hit * part.denominator >= F.col("n_words") * part.numerator)).alias("contaminated"))

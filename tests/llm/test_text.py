@@ -166,6 +166,27 @@ def test_proximity(spark):
     assert not any(r.n_hit for r in decontaminate.contamination(d, b.limit(0)).collect())
 
 
+def test_share_is_exact(spark):
+    item = " ".join(f"t{i}" for i in range(13))
+    d = spark.createDataFrame([(n, item + " x" * n) for n in (26, 30, 31, 37)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r.contaminated for r in decontaminate.contamination(d, b, share=0.3).collect()}
+    assert got == {n: 13 >= 0.3 * (13 + n) for n in (26, 30, 31, 37)}
+
+
+def test_lists_are_stored_and_intersected(spark, monkeypatch):
+    """Documents that hold the rarest word and others of a window at other offsets are turned away by the lists."""
+    monkeypatch.setattr(decontaminate, "LOOKUPS", 2)
+    item = "rare one two three four five six seven eight nine ten eleven twelve thirteen"
+    d = spark.createDataFrame([(1, "x " + item + " y"), (2, "rare two one three four"), (3, " ".join(reversed(item.split()))), (4, "twelve " * 20000 + item)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, item), (2, item + " more words")], "item_id long, text string")
+    windows = decontaminate.item_windows(b, 13)
+    ranked = decontaminate.rarest_terms(windows, decontaminate.frequencies(d, windows.select(F.explode("window").alias("word")).distinct())).collect()
+    assert len(ranked) == 4 and all(len(r["lists"]) == 3 and [x.n for x in r["lists"]] == sorted(x.n for x in r["lists"]) and "twelve" not in [x.word for x in r["lists"]] for r in ranked)
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contamination(d, b).collect()}
+    assert got == {1: (14, ["1", "2"]), 2: (0, []), 3: (0, []), 4: (14, ["1", "2"])}
+
+
 def test_archive(spark):
     big, other = "é" * 80, "<p>" + "a\r\n\r\nb" * 40
     rows = [(5, "http://B.example.org/x?q=1", big, 1, 1), (3, "https://a.b.example.org", big, 1, 1), (9, None, big, 1, 1), (4, "http://B.example.org/x?q=1", other, 1, 1), (6, "u", "short", 1, 1), (7, "u", "short", 1, 1), (8, "bad url\r\nX: y", None, 1, 1), (None, "n", big, 1, 1), (10, "http://[bad", "", 1, 1), (10, "http://[bad", "", 1, 1)]
