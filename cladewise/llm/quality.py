@@ -1,92 +1,90 @@
 """Quality classifier: supervised subword embeddings.
 
 A text is the average of learned vectors of its hashed words, word bigrams and
-byte n-grams; a softmax layer on top gives the classes. Vectors and layer are
-trained by stochastic gradient descent in NumPy on a bounded sample. As the
-score is linear in the average, a task needs one number a bucket to score, and
-scoring is a gather and a sum.
+character n-grams (white space counts as a character); a softmax layer on top
+gives the classes. Vectors and layer are trained by
+stochastic gradient descent in NumPy on a bounded sample. As the score is linear
+in the average, a task needs one number a bucket to score, and scoring is a
+gather and a sum.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._text import SPACE, flat, mix, pieces, word_hashes, word_spans
+from ._text import SPACE, _BYTE, flat, mix, pieces, span_hashes, word_hashes, word_spans
 from .toxicity import training_sample
 
-#: Most training rows that are gathered; buckets; length of a vector; byte n-grams.
-SAMPLE_ROWS, BUCKETS, DIM, GRAMS = 4_000, 1 << 18, 8, (3, 5)
+#: Most training rows, and bytes of their texts, that are learned from; buckets; length of a vector; characters of n-grams.
+SAMPLE_ROWS, SAMPLE_BYTES, BUCKETS, DIM, GRAMS = 4_000, 24 << 20, 1 << 18, 8, (3, 5)
+
+#: First learning rates of vectors (a bucket's share of a text scales its gradient down), layer and bias; they fall to 0.
+RATES = (20.0, 0.4, 0.04)
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SAME = np.uint64(0x2545F4914F6CDD1D)
 _SHIFT = np.uint64(64 - 18)
 
 
-def _gram_buckets(data: np.ndarray, n: int) -> np.ndarray:
-    """Bucket of the ``n`` bytes from each position on."""
-    size = max(len(data) - n + 1, 0)
-    x = np.full(size, n, np.uint64)
-    for k in range(n):
-        x = (x << np.uint64(8)) | data[k : k + size]
-    return ((x * _ODD) >> _SHIFT).astype(np.int32)
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> _SHIFT).astype(np.int32)
 
 
-def _word_buckets(part: np.ndarray, offsets: np.ndarray):
-    """Rows and buckets of words and of word bigrams; a word twice in a row is one common bigram."""
+def features(part: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and buckets of words, word bigrams and character n-grams; a word twice in a row is one common bigram."""
     starts, ends, row = word_spans(part, offsets, SPACE)
     h = word_hashes(part, starts, ends)
-    two = np.where(h[1:] == h[:-1], _SAME, mix(h[1:] ^ (h[:-1] * _ODD)))
+    yield row, _bucket(h)
     inside = row[1:] == row[:-1]
-    return np.concatenate([row, row[1:][inside]]), (np.concatenate([h, two[inside]]) >> _SHIFT).astype(np.int32)
-
-
-def buckets(column) -> Iterator[np.ndarray]:
-    """All feature buckets of each text, one text after the other (a few thousand rows at most: for training)."""
+    yield row[1:][inside], _bucket(np.where(h[1:] == h[:-1], _SAME, mix(h[1:] ^ (h[:-1] * _ODD)))[inside])
+    at = np.flatnonzero((part & 0xC0) != 0x80)  # where characters start
+    row = np.searchsorted(offsets, at, "right") - 1
+    edge, codes = np.append(at, len(part)), _BYTE[part]
+    for n in GRAMS:
+        first = np.arange(max(len(at) - n + 1, 0))
+        first = first[row[first] == row[first + n - 1]]
+        yield row[first], _bucket(span_hashes(codes, edge[first], edge[first + n]))
+
+
+def bags(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct buckets of each text and the share of its features in each."""
     data, offsets = flat(column)
     for a, b in pieces(offsets):
-        part, bounds = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        row, word = _word_buckets(part, bounds)
-        order = np.argsort(row, kind="stable")
-        edge = np.searchsorted(row[order], np.arange(b - a + 1))
-        word = word[order]
-        grams = [_gram_buckets(part, n) for n in GRAMS]
-        for i in range(b - a):
-            own = [g[bounds[i] : max(bounds[i], bounds[i + 1] - n + 1)] for g, n in zip(grams, GRAMS, strict=True)]
-            yield np.concatenate([word[edge[i] : edge[i + 1]], *own])
+        found = list(features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+        row, bucket = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        key, count = np.unique(row.astype(np.int64) * BUCKETS + bucket, return_counts=True)
+        edge = np.searchsorted(key, np.arange(b - a + 1) * BUCKETS)
+        for x, y in zip(edge[:-1], edge[1:], strict=True):
+            yield (key[x:y] % BUCKETS).astype(np.int32), (count[x:y] / max(count[x:y].sum(), 1)).astype(np.float32)
 
 
 class Embeddings:
     """Vectors of buckets and a softmax layer over two classes."""
 
-    def __init__(self, texts: Iterable[np.ndarray], label: np.ndarray, epochs: int = 3, rate: float = 0.4, seed: int = 7):
+    def __init__(self, texts: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, epochs: int = 3, rates: tuple[float, float, float] = RATES, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
         self.layer = np.zeros((DIM, 2), np.float32)
         self.bias = np.zeros(2, np.float32)
-        # each text is counted as it comes: only its distinct buckets stay
-        bags = [(b, (c / c.sum()).astype(np.float32)) for b, c in (np.unique(t, return_counts=True) for t in texts)]
-        steps, done = max(1, epochs * len(bags)), 0
+        steps, done = max(1, epochs * len(texts)), 0
         for _ in range(epochs):
-            for i in rng.permutation(len(bags)):
-                bucket, share = bags[i]
-                lr = rate * (1 - done / steps)
+            for i in rng.permutation(len(texts)):
+                bucket, share = texts[i]
+                vectors, layer, bias = (r * (1 - done / steps) for r in rates)
                 done += 1
-                if not len(bucket):
-                    continue
                 hidden = share @ self.vectors[bucket]
                 z = hidden @ self.layer + self.bias
                 e = np.exp(z - z.max())
                 g = e / e.sum()
-                g[label[i]] -= 1
+                g[label[i]] -= 1  # gradient of the cross-entropy by z
                 back = self.layer @ g
-                self.layer -= lr * np.outer(hidden, g)
-                self.bias -= lr * 0.1 * g
-                # each bucket moves by its share, scaled up as a text has thousands of them
-                self.vectors[bucket] -= lr * np.minimum(share * 50, 1)[:, None] * back
+                self.vectors[bucket] -= (vectors * share)[:, None] * back
+                self.layer -= layer * np.outer(hidden, g)
+                self.bias -= bias * g
         self.compile()
 
     @classmethod
@@ -105,14 +103,9 @@ class Embeddings:
         total, count = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
         for a, b in pieces(offsets):
             part, bounds = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            row, word = _word_buckets(part, bounds)
-            total[a:b] += np.bincount(row, self.weight[word], b - a)
-            count[a:b] += np.bincount(row, minlength=b - a)
-            for n in GRAMS:
-                sums = np.concatenate([[0], np.cumsum(self.weight[_gram_buckets(part, n)], dtype=np.float64)])
-                end = np.maximum(bounds[:-1], bounds[1:] - n + 1)
-                total[a:b] += sums[np.minimum(end, len(sums) - 1)] - sums[np.minimum(bounds[:-1], len(sums) - 1)]
-                count[a:b] += end - bounds[:-1]
+            for row, bucket in features(part, bounds):
+                total[a:b] += np.bincount(row, self.weight[bucket], b - a)
+                count[a:b] += np.bincount(row, minlength=b - a)
         z = total / np.maximum(count, 1) + self.offset
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -123,7 +116,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sa
     ``labels`` (doc_id, quality) are the rows to learn from; the caller leaves
     out held-out ones. Scores depend on the text alone. A null or empty text
     gets the score of the bias; a null doc_id is kept; repeated rows score
-    alike; without labelled rows every score is 0.5; an empty table gives no rows.
+    alike; without labelled rows every score is close to 0.5; an empty table gives
+    no rows. Of a labelled doc_id that repeats one text is learned from.
     """
     shared = _fitted(docs, labels, sample_rows)
 
@@ -140,8 +134,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sa
 
 
 def _fitted(docs: DataFrame, labels: DataFrame, sample_rows: int):
-    sample = training_sample(docs, labels, "quality", sample_rows).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    model = Embeddings(buckets(sample["text"]), np.asarray(sample["label"].to_numpy(), np.int64))
+    """Weights by bucket and offset of a model fitted to the sample; tasks turn its texts into buckets and shares."""
+
+    def run(batches):
+        for batch in batches:
+            found = list(bags(batch.column("text")))
+            columns = [pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, batch.column("label")], names=["doc_id", "bucket", "share", "label"])
+
+    sample = training_sample(docs, labels, "quality", sample_rows, SAMPLE_BYTES).mapInArrow(run, "doc_id long, bucket binary, share binary, label double").toArrow().sort_by("doc_id")
+    texts = [(np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for b, s in zip(sample["bucket"].to_pylist(), sample["share"].to_pylist(), strict=True)]
+    model = Embeddings(texts, np.asarray(sample["label"].to_numpy(), np.int64))
     return docs.sparkSession.sparkContext.broadcast((model.weight, model.offset))
 
 

@@ -1,28 +1,30 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: fixed lexicons, lexicons and word beginnings mined
-from labelled training rows, and patterns. Each may vote toxic or abstain. A
-generative label model, fitted by expectation maximisation on the counts of all
-vote patterns of all documents, estimates how often each voter fires on toxic
-and on clean texts and how much voters repeat each other; correlated voters
-count less. A linear classifier over words and word beginnings is trained on the
-posterior labels of a bounded sample and scores every text.
+Voters are distinct sources: three fixed lexicons; words, word beginnings and
+word pairs mined from labelled training rows (words in two grades of precision);
+an insult soon after "you"; a text with several insults; and the shares of
+capitals, of exclamation marks and of stretched letters. Each votes toxic or
+abstains. A generative label model, fitted by expectation maximisation on the
+counts of all vote patterns of all documents, estimates how often each voter
+fires on toxic and on clean texts and how much voters repeat each other;
+correlated voters count less. A linear classifier over words and word beginnings
+is trained on the posterior labels of a bounded sample and scores every text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import written
-from ._text import LOWER, NON_ALNUM, flat, pieces, span_hashes, word_hashes, word_spans, _BYTE
+from ._text import LOWER, NON_ALNUM, flat, mix, pieces, span_hashes, word_hashes, word_spans, _BYTE
 
 #: Most training rows that are gathered to mine lexicons and to fit the classifier.
 SAMPLE_ROWS = 16_000
-#: Bytes of a word beginning, voters mined (of words and beginnings alike), and most features mined or selected.
-BEGINNING, MINED, FEATURES = 5, 8, 4096
+#: Bytes of a word beginning, and most features mined of a kind or selected.
+BEGINNING, FEATURES = 5, 4096
 
 #: Common insults in three groups.
 LEXICONS = (
@@ -30,9 +32,16 @@ LEXICONS = (
     ("trash", "scum", "garbage", "filth", "vermin", "worthless"),
     ("loser", "clown", "pathetic", "disgusting", "ugly", "hate"),
 )
-VOTERS = len(LEXICONS) + MINED + 2
+#: Words that address the reader.
+ADDRESS = ("you", "your", "youre", "u", "ur")
+#: Voters by number: after the lexicons, what is mined (beginnings, pairs, words, words of high precision), then patterns.
+BEGINNINGS, PAIRS, WORDS, SURE, ADDRESSED, SEVERAL, CAPITALS, EXCLAIMED, STRETCHED = range(len(LEXICONS), len(LEXICONS) + 9)
+VOTERS = STRETCHED + 1
+#: Precision from which a mined word counts as sure; words between "you" and an insult; insults that make several.
+SURE_PRECISION, NEAR, MANY = 0.95, 3, 3
 
 _SALT = np.uint64(0x5BD1E9955BD1E995)
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _hash_words(terms) -> np.ndarray:
@@ -41,11 +50,14 @@ def _hash_words(terms) -> np.ndarray:
 
 
 def word_features(column):
-    """For each word of each row: row, hash of the word, hash of its beginning; per row: share of capitals and of exclamation marks."""
+    """For each word of each row: row, hash of the word, hash of its beginning; per row: shares of capitals, exclamation marks and letters that repeat the three before."""
     data, offsets = flat(column)
-    rows, whole, begin, patterns = [], [], [], np.zeros((len(offsets) - 1, 2))
+    rows, whole, begin, patterns = [], [], [], np.zeros((len(offsets) - 1, 3))
     size = np.maximum(np.diff(offsets), 1)
-    for k, hit in enumerate(((data >= 0x41) & (data <= 0x5A), data == 0x21)):
+    stretched = np.zeros(len(data), bool)
+    same = data[1:] == data[:-1]
+    stretched[3:] = same[2:] & same[1:-1] & same[:-2] & ~NON_ALNUM[data[3:]] & ~((data[3:] >= 0x30) & (data[3:] <= 0x39))
+    for k, hit in enumerate(((data >= 0x41) & (data <= 0x5A), data == 0x21, stretched)):
         sums = np.concatenate([[0], np.cumsum(hit)])
         patterns[:, k] = (sums[offsets[1:]] - sums[offsets[:-1]]) / size
     for a, b in pieces(offsets):
@@ -59,6 +71,13 @@ def word_features(column):
     return np.concatenate(rows), np.concatenate(whole), np.concatenate(begin), patterns
 
 
+def word_pairs(features) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every two words that follow each other in a row."""
+    row, whole, *_ = features
+    inside = row[1:] == row[:-1]
+    return mix(whole[1:] ^ (whole[:-1] * _PAIR))[inside], row[1:][inside]
+
+
 class Lookup:
     """Numbers of known 64-bit keys; a bitmap turns most others away."""
 
@@ -79,26 +98,39 @@ class Lookup:
 
 
 class Voters:
-    """The lexicons as one lookup; a document's votes are the bits of an integer."""
+    """The lexicons and mined lists as one lookup, and the patterns; a document's votes are the bits of an integer.
+
+    ``mined``: hashes of mined features and the voter (BEGINNINGS to SURE) of each.
+    """
 
-    def __init__(self, mined: np.ndarray):
-        keys, voter = [], []
+    def __init__(self, mined: np.ndarray, kind: np.ndarray):
+        keys, voter = [mined], [kind]
         for k, terms in enumerate(LEXICONS):
             keys.append(_hash_words(terms))
             voter.append(np.full(len(terms), k))
-        keys.append(mined)
-        voter.append(len(LEXICONS) + (mined % np.uint64(MINED)).astype(np.int64))
-        self.lookup, self.voter = Lookup(np.concatenate(keys)), np.concatenate(voter)
+        distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
+        self.lookup, self.bits = Lookup(distinct), np.zeros(len(distinct), np.int64)
+        np.bitwise_or.at(self.bits, number.ravel(), 1 << np.concatenate(voter).astype(np.int64))
+        self.address = Lookup(_hash_words(ADDRESS))
 
     def votes(self, features) -> np.ndarray:
         row, whole, begin, patterns = features
-        fired = np.zeros((len(patterns), VOTERS), bool)
-        for values in (whole, begin):
+        fired, votes = np.zeros((len(patterns), VOTERS), bool), np.zeros(len(patterns), np.int64)
+        pair, pair_row = word_pairs(features)
+        for values, own in ((begin, row), (pair, pair_row)):
             at, number = self.lookup(values)
-            fired[row[at], self.voter[number]] = True
-        fired[:, VOTERS - 2] = patterns[:, 0] > 0.5
-        fired[:, VOTERS - 1] = patterns[:, 1] > 0.02
-        return fired @ (1 << np.arange(VOTERS))
+            np.bitwise_or.at(votes, own[at], self.bits[number])
+        insults, number = self.lookup(whole)
+        np.bitwise_or.at(votes, row[insults], self.bits[number])
+        you = np.zeros(len(whole), bool)
+        you[self.address(whole)[0]] = True
+        for back in range(1, NEAR + 1):
+            before = np.maximum(insults - back, 0)
+            hit = (insults >= back) & you[before] & (row[before] == row[insults])
+            fired[row[insults[hit]], ADDRESSED] = True
+        fired[:, SEVERAL] = np.bincount(row[insults], minlength=len(patterns)) >= MANY
+        fired[:, CAPITALS], fired[:, EXCLAIMED], fired[:, STRETCHED] = patterns[:, 0] > 0.5, patterns[:, 1] > 0.02, patterns[:, 2] > 0.02
+        return votes | fired @ (1 << np.arange(VOTERS))
 
 
 def distinct_pairs(features: np.ndarray, row: np.ndarray):
@@ -109,12 +141,15 @@ def distinct_pairs(features: np.ndarray, row: np.ndarray):
     return key, pair // rows, pair % rows
 
 
-def tally(features, weight: np.ndarray) -> pa.RecordBatch:
-    """For each word and beginning of a batch: rows that have it, and the sum of their weights."""
+def tally(features, weight: np.ndarray, pairs: bool) -> pa.RecordBatch:
+    """For each word and beginning of a batch (and pair of words): its kind, rows that have it, and the sum of their weights."""
     row, whole, begin, _ = features
-    key, number, row = distinct_pairs(np.concatenate([whole, begin]), np.concatenate([row, row]))
-    n = np.bincount(number, minlength=len(key))
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n), pa.array(np.bincount(number, weight[row], len(key)))], names=["feature", "n", "t"])
+    kinds = [(WORDS, whole, row), (BEGINNINGS, begin, row)] + ([(PAIRS, *word_pairs(features))] if pairs else [])
+    out = []
+    for kind, values, own in kinds:
+        key, number, own = distinct_pairs(values, own)
+        out.append((np.full(len(key), kind, np.int32), key.view(np.int64), np.bincount(number, minlength=len(key)), np.bincount(number, weight[own], len(key))))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["kind", "feature", "n", "t"])
 
 
 class LabelModel:
@@ -123,7 +158,7 @@ class LabelModel:
     def __init__(self, masks: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 30):
         votes = (masks[:, None] >> np.arange(VOTERS)) & 1
         self.rate = np.stack([np.full(VOTERS, 0.01), np.full(VOTERS, 0.3)])
-        self.rate[:, -2:] = [[0.02], [0.04]]  # patterns alone say little to begin with
+        self.rate[:, CAPITALS:] = [[0.02], [0.04]]  # patterns alone say little to begin with
         self.prior, self.weight = prior, np.ones(VOTERS)
         for _ in range(rounds):
             q = self.posterior(masks)
@@ -197,24 +232,36 @@ def fold(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """doc_id, text, label of at most ``rows`` labelled rows (those of the smallest hashes of doc_id), in the shared folder."""
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes: int | None = None) -> DataFrame:
+    """doc_id, text, label of at most ``rows`` labelled ids (those of the smallest hashes), one text of each, in the shared folder.
+
+    ``most_bytes``: of those, in the same order, the ones whose texts fit into so many bytes together.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return written(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "label"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    sample = written(found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label")))
+    if most_bytes is None:
+        return sample
+    left, taken = most_bytes, []
+    for r in sample.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r.n <= left:
+            left -= r.n
+            taken.append((r.doc_id,))
+    return sample.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long")), "doc_id")
 
 
-def _tallies(sample: DataFrame, weigh) -> DataFrame:
-    """feature, n, t over the sample: batches are summed up before they are shuffled. ``weigh``: weights of a batch from its features and labels."""
+def _tallies(sample: DataFrame, weigh, pairs: bool = False) -> DataFrame:
+    """kind, feature, n, t over the sample: batches are summed up before they are shuffled. ``weigh``: weights of a batch from its features and labels."""
 
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 features = word_features(part.column("text"))
-                yield tally(features, weigh(features, np.asarray(part.column("label"))))
+                yield tally(features, weigh(features, np.asarray(part.column("label"))), pairs)
 
-    return sample.select("text", "label").mapInArrow(run, "feature long, n long, t double").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    return sample.select("text", "label").mapInArrow(run, "kind int, feature long, n long, t double").groupBy("kind", "feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 
 def _keys(rows) -> np.ndarray:
@@ -233,9 +280,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     """
     spark = docs.sparkSession
     sample = training_sample(docs, labels, "toxic", sample_rows)
-    mined = _tallies(sample, lambda features, label: label).where((F.col("n") >= support) & (F.col("t") >= precision * (F.col("n") + 1)))
-    mined = _keys(mined.orderBy(F.desc("t"), "feature").limit(FEATURES).select("feature").collect())
-    voters = Voters(mined)
+    mined = _tallies(sample, lambda features, label: label, pairs=True).where((F.col("n") >= support) & (F.col("t") >= precision * (F.col("n") + 1)))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("t"), "feature"))
+    sure = F.when((F.col("kind") == WORDS) & (F.col("t") >= SURE_PRECISION * F.col("n")), SURE).otherwise(F.col("kind"))
+    mined = mined.withColumn("place", place).where(F.col("place") <= FEATURES).select("feature", sure.alias("kind")).orderBy("kind", "feature").collect()
+    voters = Voters(np.array([r[0] for r in mined], np.int64).view(np.uint64), np.array([r[1] for r in mined], np.int64))
     shared = spark.sparkContext.broadcast(voters)
     one = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
 
@@ -245,7 +294,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
                 votes = shared.value.votes(word_features(batch.column("text").slice(a, 1024)))
                 yield pa.RecordBatch.from_arrays([pa.array(votes.astype(np.int32))], names=["votes"])
 
-    # 2**13 patterns at most come to the driver
+    # 2**12 patterns at most come to the driver
     patterns = one.select("text").mapInArrow(vote, "votes int").groupBy("votes").count().orderBy("votes").collect()
     masks, counts = np.array([r[0] for r in patterns] or [0]), np.array([r[1] for r in patterns] or [1], float)
     prior = sample.agg(F.avg("label")).first()[0]
@@ -257,7 +306,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
 
     lift = (F.col("t") + 0.05) / (F.col("n") + 1)
     share = float(counts @ model.posterior(masks) / counts.sum())
-    chosen = _tallies(sample, posterior).where((F.col("n") >= 3) & (lift > max(0.5, min(0.9, 3 * share))))
+    chosen = _tallies(sample, posterior).drop("kind").where((F.col("n") >= 3) & (lift > max(0.5, min(0.9, 3 * share))))
     chosen = _keys(chosen.orderBy(F.desc(lift * F.log1p("n")), "feature").limit(FEATURES).select("feature").collect())
     classifier = Classifier(chosen)
     blank = spark.sparkContext.broadcast(classifier)

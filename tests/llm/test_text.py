@@ -4,12 +4,15 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cladewise.llm import decontaminate, permutation_index, quality, sentencepiece_viterbi, token_counts, toxicity, warc
+from cladewise.llm._text import flat, mix, word_hashes
 from cladewise.llm.pieces import MARK, vocabulary
 
 SCHEMA = "doc_id long, text string, score string, votes string, word string"
@@ -118,6 +121,65 @@ def test_classifiers(spark, kind):
         assert {i for i in range(400) if i % 4} <= kept and not {i for i in range(400) if i % 4 == 0} & kept
 
 
+def test_quality_scores_equal_plain_ones():
+    """Features and scores of a trained model against words, bigrams and characters in plain Python."""
+    texts = [t for t in TEXTS] + ["Ünï çode ünï", "a a a b", "x\ty  z"]
+
+    def one(piece, second=None):
+        data, offsets = flat(pa.array([piece] if second is None else [piece, second], pa.string()))
+        h = word_hashes(data, offsets[:-1], offsets[1:])
+        if second is not None:
+            h = np.array([quality._SAME]) if piece == second else mix(h[1:] ^ (h[:1] * quality._ODD))
+        return int(quality._bucket(h)[0])
+
+    model = quality.Embeddings(list(quality.bags(pa.array(texts, pa.string()))), np.arange(len(texts)) % 2)
+    scores = model.score(pa.array(texts, pa.string()))
+    for text, score, (bucket, share) in zip(texts, scores, quality.bags(pa.array(texts, pa.string())), strict=True):
+        t = text or ""
+        w = [x.decode() for x in t.encode().split()]
+        found = [one(x) for x in w] + [one(a, b) for a, b in zip(w, w[1:])] + [one(t[k : k + n]) for n in quality.GRAMS for k in range(len(t) - n + 1)]
+        z = sum(float(model.weight[b]) for b in found) / max(len(found), 1) + model.offset
+        assert math.isclose(score, 1 / (1 + math.exp(-z)), rel_tol=1e-5)
+        assert dict(zip(bucket.tolist(), (share * len(found)).round().astype(int).tolist())) == dict(Counter(found))
+
+
+def test_toxicity_votes_and_scores_equal_plain_ones():
+    """Votes and linear scores against plain Python on words of a text."""
+    insults = {k: set(terms) for k, terms in enumerate(toxicity.LEXICONS)}
+    mined, begin, pair = ["gnarl", "idiot"], "blarg", ("foul", "play")
+    key = np.concatenate([toxicity._hash_words(mined), toxicity._hash_words([begin]) ^ toxicity._SALT, toxicity.word_pairs(toxicity.word_features(pa.array([" ".join(pair)])))[0]])
+    voters = toxicity.Voters(key, np.array([toxicity.WORDS, toxicity.SURE, toxicity.BEGINNINGS, toxicity.PAIRS]))
+    texts = ["You are such an Idiot", "you one two three idiot", "blargness gnarl", "foul play", "play foul", "scum, trash! SCUM", "NOOOOOO WAY", "hey!!!!", "", None, "plain words", "you", "scum gnarl", "u GNARL", "idiot\nidiot idiot", "7777777"]
+    got = voters.votes(toxicity.word_features(pa.array(texts, pa.string())))
+    classifier = toxicity.Classifier(np.concatenate([key[:3], toxicity._hash_words(["scum"])]))
+    classifier.weight[:] = [1.0, 2.0, 4.0, 8.0]
+    scores = classifier.score(toxicity.word_features(pa.array(texts, pa.string())))
+    for text, votes, score in zip(texts, got, scores, strict=True):
+        t = text or ""
+        w, n = [x.decode() for x in plain_words(t)], max(len(t), 1)
+        bad = [x in mined or any(x in v for v in insults.values()) for x in w]
+        on = {k for k, v in insults.items() if v & set(w)} | ({toxicity.WORDS} if "gnarl" in w else set()) | ({toxicity.SURE} if "idiot" in w else set())
+        on |= ({toxicity.BEGINNINGS} if any(x[:5] == begin for x in w) else set()) | ({toxicity.PAIRS} if pair in zip(w, w[1:]) else set())
+        on |= {toxicity.ADDRESSED} if any(b and set(w[max(0, i - 3) : i]) & set(toxicity.ADDRESS) for i, b in enumerate(bad)) else set()
+        on |= {toxicity.SEVERAL} if sum(bad) >= 3 else set()
+        on |= ({toxicity.CAPITALS} if sum(c.isupper() for c in t) / n > 0.5 else set()) | ({toxicity.EXCLAIMED} if t.count("!") / n > 0.02 else set())
+        on |= {toxicity.STRETCHED} if sum(c.isalpha() and t[k - 3 : k] == c * 3 for k, c in enumerate(t)) / n > 0.02 else set()
+        assert int(votes) == sum(1 << k for k in on), text
+        z = classifier.bias + ("gnarl" in w) + 2 * ("idiot" in w) + 4 * any(x[:5] == begin for x in w) + 8 * ("scum" in w)
+        assert math.isclose(score, 1 / (1 + math.exp(-z)))
+
+
+def test_classifiers_learn_from_one_text_of_an_id(spark):
+    """A labelled id that repeats, rows equal or not, counts once; repeated rows score alike; the sample's bytes are bounded."""
+    d, labels = labelled(spark, "quality")
+    again = d.where("doc_id < 40").unionByName(d.where("doc_id < 40")).unionByName(d.where("doc_id < 40").withColumn("text", F.lit("other words")))
+    sample = toxicity.training_sample(again, labels, "quality", 30, 4000).collect()
+    assert len({r.doc_id for r in sample}) == len(sample) <= 30 and 0 < sum(len(r.text) for r in sample) <= 4000
+    for f in (quality.score_quality, toxicity.score_toxicity):
+        rows = f(again, labels.withColumnRenamed("quality", "toxic") if f is toxicity.score_toxicity else labels).collect()
+        assert len(rows) == 120 and len({(r.doc_id, r.score) for r in rows}) <= 80
+
+
 def test_classifiers_without_rows(spark):
     for f, c in ((toxicity.score_toxicity, "toxic"), (quality.score_quality, "quality")):
         none = spark.createDataFrame([], f"doc_id long, {c} int")
