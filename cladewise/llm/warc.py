@@ -1,13 +1,16 @@
 """WARC archives with a two-level capture index, written and read by Spark.
 
 Records are written as text rows with CRLF CRLF between them, which is the WARC
-format. The capture index sorts lines by reversed-host key into zlib-compressed
-blocks of fixed length; a sparse directory has one line for each block, and a
-lookup searches the directory, then the block, then reads the record's range.
+format; files are bounded in bytes. The capture index sorts lines by
+reversed-host key into zlib-compressed blocks of fixed length, one after the
+other in block files; a sparse directory has the first and last key of each
+block and its range in its file. A lookup binary-searches the directory, reads
+the range of a block, searches that, and reads the range of the record.
 """
 
 from __future__ import annotations
 
+import base64
 import bisect
 import hashlib
 import json
@@ -20,8 +23,12 @@ from pyspark.sql import functions as F
 
 from ._shared import shared_dir
 
-#: Smallest payload that is revisited; records of a file; lines of an index block; bytes of a map that is broadcast.
-LEAST, FILE_RECORDS, BLOCK_LINES, BROADCAST_BYTES = 100, 4000, 1024, 8 << 20
+#: Smallest payload that is revisited; lines of an index block; blocks of a file; bytes of a map that is broadcast.
+LEAST, BLOCK_LINES, FILE_BLOCKS, BROADCAST_BYTES = 100, 1024, 256, 8 << 20
+#: Most bytes of payloads in an archive file (a larger record has a file of its own), and the size classes of records it holds for.
+FILE_BYTES, CLASSES = 64 << 20, (16 << 10, 512 << 10, 8 << 20)
+#: Lines of a directory that is searched in memory; a longer one is searched by its sorted row groups.
+DIRECTORY_LINES = 1_000_000
 
 _END = "\r\n\r\n"
 _RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload string, file string, offset long, length long"
@@ -38,6 +45,8 @@ def write_archive(pages: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z
     Of rows with equal payloads of at least 100 bytes the smallest page_id is the
     response; the others (other page_ids) revisit it. A null html is an empty
     payload, a null url an empty target; a row with a null page_id is a response.
+    Records of like size share a file, so that no file exceeds ``FILE_BYTES`` of
+    payloads unless one record does.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\x00-\x20]", "%20").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("n", F.octet_length("html").cast("long")).withColumn("digest", F.sha2("html", 256))
@@ -61,7 +70,13 @@ def write_archive(pages: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
     record = F.concat(F.concat_ws("\r\n", *head), F.lit(_END), block)
-    p.select(record.alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    kind = F.lit(0)
+    for most in CLASSES:
+        kind = kind + (F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit(""))) > most).cast("int")
+    for k in sorted(r[0] for r in pages.select(kind.alias("kind")).distinct().collect()) or [0]:
+        records = max(1, FILE_BYTES // CLASSES[k]) if k < len(CLASSES) else 1
+        low, high = CLASSES[k - 1] if k else -1, CLASSES[k] if k < len(CLASSES) else 1 << 62
+        p.where((F.col("n") > low) & (F.col("n") <= high)).select(record.alias("value")).write.mode("append").option("lineSep", _END).option("maxRecordsPerFile", records).text(path)
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -103,8 +118,7 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
                 if rows:
                     yield from pa.Table.from_pylist(rows, schema=_ARROW).to_batches()
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(run, _RECORD)
+    return _files(spark, path).mapInArrow(run, _RECORD)
 
 
 _ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
@@ -124,7 +138,12 @@ _LINE = ("page_id", "record_type", "refers_to", "payload_bytes", "payload_digest
 
 
 def write_index(records: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Sorts captures by URL key and writes compressed blocks and the directory below ``path``."""
+    """Sorts captures by URL key and writes block files and their directory below ``path``.
+
+    A block file is a text file with a line for each block (first key, last
+    key, number of captures, compressed lines). ``partitions``: number of block
+    files, as many as shuffle partitions if it is not given.
+    """
 
     def keyed(batches):
         for batch in batches:
@@ -140,7 +159,8 @@ def write_index(records: DataFrame, path: str, partitions: int | None = None) ->
 
         def block(part):
             blob = zlib.compress("\n".join(f"{k}\t{v}" for k, v in part).encode())
-            return pa.RecordBatch.from_arrays([pa.array([part[0][0]]), pa.array([part[-1][0]]), pa.array([len(part)], pa.int32()), pa.array([hashlib.sha256(blob).hexdigest()]), pa.array([blob], pa.binary())], names=["first_key", "last_key", "captures", "block", "lines"])
+            line = json.dumps([part[0][0], part[-1][0], len(part)]) + "\t" + base64.b64encode(blob).decode()
+            return pa.RecordBatch.from_arrays([pa.array([line])], names=["value"])
 
         for batch in batches:
             held += zip(batch.column("key").to_pylist(), batch.column("line").to_pylist(), strict=True)
@@ -150,42 +170,107 @@ def write_index(records: DataFrame, path: str, partitions: int | None = None) ->
         if held:
             yield block(held)
 
-    packed = spread.sortWithinPartitions(*order).mapInArrow(blocks, "first_key string, last_key string, captures int, block string, lines binary")
-    packed.write.parquet(f"{path}/blocks")
-    records.sparkSession.read.parquet(f"{path}/blocks").select("first_key", "last_key", "captures", "block").write.parquet(f"{path}/directory")
+    spread.sortWithinPartitions(*order).mapInArrow(blocks, "value string").write.text(f"{path}/blocks")
+
+    def ranges(batches):
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                at, rows = 0, []
+                for line in content.as_py().splitlines(keepends=True):
+                    head, _, blob = line.partition(b"\t")
+                    first, last, captures = json.loads(head)
+                    rows.append({"first_key": first, "last_key": last, "captures": captures, "file": file, "offset": at + len(head) + 1, "length": len(blob.rstrip(b"\n"))})
+                    at += len(line)
+                yield from pa.Table.from_pylist(rows, schema=_DIRECTORY).to_batches()
+
+    spark = records.sparkSession
+    found = _files(spark, f"{path}/blocks").mapInArrow(ranges, "first_key string, last_key string, captures int, file string, offset long, length long")
+    found.sort("first_key", "last_key", "file", "offset").write.parquet(f"{path}/directory")
+
+
+_DIRECTORY = pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("captures", pa.int32()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of the files that Spark wrote; each is bounded in bytes."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+
+
+def _unpacked(blob: bytes) -> list[str]:
+    return zlib.decompress(base64.b64decode(blob)).decode().split("\n")
 
 
 def index_lines(spark: SparkSession, path: str) -> DataFrame:
-    """All captures of an index, from its blocks."""
+    """All captures of an index, from the blocks that its directory names."""
 
     def run(batches):
         for batch in batches:
-            for blob in batch.column("lines"):
-                rows = [dict(zip(_LINE, json.loads(line.split("\t", 1)[1]), strict=True)) | {"key": line.split("\t", 1)[0]} for line in zlib.decompress(blob.as_py()).decode().split("\n")]
-                yield from pa.Table.from_pylist(rows, schema=pa.schema([_ARROW.field(c) for c in _LINE] + [pa.field("key", pa.string())])).to_batches()
+            for blocks, content in zip(batch.column("blocks").to_pylist(), batch.column("content"), strict=True):
+                content = content.as_py()
+                for b in blocks:
+                    rows = [dict(zip(_LINE, json.loads(line.split("\t", 1)[1]), strict=True)) | {"key": line.split("\t", 1)[0]} for line in _unpacked(content[b["offset"] : b["offset"] + b["length"]])]
+                    yield from pa.Table.from_pylist(rows, schema=pa.schema([_ARROW.field(c) for c in _LINE] + [pa.field("key", pa.string())])).to_batches()
 
-    return spark.read.parquet(f"{path}/blocks").select("lines").mapInArrow(run, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, file string, offset long, length long, key string")
+    blocks = spark.read.parquet(f"{path}/directory").groupBy(F.col("file").alias("path")).agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("blocks"))
+    found = _files(spark, f"{path}/blocks").join(F.broadcast(blocks) if _short(spark, path) else blocks, "path")
+    return found.select("blocks", "content").mapInArrow(run, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, file string, offset long, length long, key string")
 
 
-def lookup(spark: SparkSession, path: str, url: str) -> list[dict]:
-    """Captures of one URL: directory, then a binary search in each block whose keys enclose the URL's."""
-    key = url_key(url)
-    near = spark.read.parquet(f"{path}/directory").where((F.col("first_key") <= key) & (F.col("last_key") >= key)).select("block")
-    names = [r[0] for r in near.toLocalIterator()]
-    out = []
-    for row in spark.read.parquet(f"{path}/blocks").where(F.col("block").isin(names)).select("lines").toLocalIterator() if names else ():
-        lines = zlib.decompress(row[0]).decode().split("\n")
-        at = bisect.bisect_left(lines, f"{key}\t", key=lambda x: x.split("\t", 1)[0] + "\t")
-        while at < len(lines) and lines[at].startswith(f"{key}\t"):
-            out.append(dict(zip(_LINE, json.loads(lines[at].split("\t", 1)[1]), strict=True)))
+def _short(spark: SparkSession, path: str) -> bool:
+    return spark.read.parquet(f"{path}/directory").count() <= DIRECTORY_LINES // 10
+
+
+def read_bytes(spark: SparkSession, file: str, offset: int, length: int) -> bytes:
+    """A range of a file of any store that Spark can read; nothing else of it is read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        stream.seek(offset)
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length))
+    finally:
+        stream.close()
+
+
+class CaptureIndex:
+    """An index opened for lookups: the directory in memory where it is short, else searched by its sorted row groups."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.directory = spark, spark.read.parquet(f"{path}/directory")
+        self.blocks = None
+        if self.directory.count() <= DIRECTORY_LINES:
+            self.blocks = sorted(self.directory.select("first_key", "last_key", "file", "offset", "length").collect())
+            self.last_keys = sorted(b.last_key for b in self.blocks)  # as ordered as the first keys: blocks don't overlap
+
+    def _enclosing(self, key: str):
+        if self.blocks is None:
+            near = self.directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key))
+            yield from near.select("first_key", "last_key", "file", "offset", "length").toLocalIterator()
+            return
+        at = bisect.bisect_left(self.last_keys, key)
+        while at < len(self.blocks) and self.blocks[at].first_key <= key:
+            yield self.blocks[at]
             at += 1
-    return sorted(out, key=lambda r: (r["page_id"] is None, r["page_id"], r["file"], r["offset"]))
+
+    def captures(self, url: str) -> list[dict]:
+        """Captures of one URL."""
+        key, out = url_key(url), []
+        for b in self._enclosing(key):
+            lines = _unpacked(read_bytes(self.spark, b.file, b.offset, b.length))
+            at = bisect.bisect_left(lines, f"{key}\t", key=lambda x: x.split("\t", 1)[0] + "\t")
+            while at < len(lines) and lines[at].startswith(f"{key}\t"):
+                out.append(dict(zip(_LINE, json.loads(lines[at].split("\t", 1)[1]), strict=True)))
+                at += 1
+        return sorted(out, key=lambda r: (r["page_id"] is None, r["page_id"], r["file"], r["offset"]))
+
+
+def lookup(spark: SparkSession, path: str, url: str) -> list[dict]:
+    """Captures of one URL: directory, then the blocks whose keys enclose the URL's, each read as a range."""
+    return CaptureIndex(spark, path).captures(url)
 
 
 def read_range(spark: SparkSession, file: str, offset: int, length: int) -> tuple[dict, bytes]:
     """Fields and payload of the record at a range of an archive file."""
-    part = spark.read.format("binaryFile").load(file).select(F.substring("content", offset + 1, length)).first()[0]
-    fields, _, payload, *_ = next(parse(bytes(part)))
+    fields, _, payload, *_ = next(parse(read_bytes(spark, file, offset, length)))
     return fields, payload
 
 
@@ -199,5 +284,6 @@ def archive(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     base = shared_dir(spark)
     write_archive(pages, f"{base}/warc")
-    write_index(read_archive(spark, f"{base}/warc", payloads=False), f"{base}/index")
+    files = -(-pages.count() // (BLOCK_LINES * FILE_BLOCKS))
+    write_index(read_archive(spark, f"{base}/warc", payloads=False), f"{base}/index", max(files, 1))
     return index_lines(spark, f"{base}/index")

@@ -267,6 +267,35 @@ def test_archive(spark):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_index_ranges(spark, monkeypatch):
+    """Every record of many blocks and files is found by directory, block and range, and nothing beside the ranges is read."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 7)
+    monkeypatch.setattr(warc, "FILE_BYTES", 4000)
+    monkeypatch.setattr(warc, "CLASSES", (100, 1000, 2000))
+    html = {i: "é" * (i * 37 % 1500) + str(i) for i in range(120)} | {120: "long " * 40000, 121: "", 122: None}
+    url = {i: f"http://h{i % 11}.example.org/p{i % 40}" for i in html} | {5: "http://zz.example/", 6: "http://zz.example/", 121: None}
+    pages = spark.createDataFrame([(i, url[i], h) for i, h in html.items()], "page_id long, url string, html string")
+    base = warc.shared_dir(spark)
+    warc.write_archive(pages, f"{base}/warc")
+    sizes = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{base}/warc").select("length").collect()
+    assert sum(r.length > 60_000 for r in sizes) == 1 and len(sizes) > 5
+    warc.write_index(warc.read_archive(spark, f"{base}/warc", payloads=False), f"{base}/index", 3)
+    read = []
+    ranged = warc.read_bytes
+    monkeypatch.setattr(warc, "read_bytes", lambda s, f, o, n: read.append((f, o, n)) or ranged(s, f, o, n))
+    for in_memory in (1_000_000, 0):
+        monkeypatch.setattr(warc, "DIRECTORY_LINES", in_memory)
+        index = warc.CaptureIndex(spark, f"{base}/index")
+        for u in set(url.values()) if in_memory else ["http://zz.example/", "http://h3.example.org/p3", None]:
+            read.clear()
+            found = index.captures(u)
+            assert [r["page_id"] for r in found] == sorted(i for i in html if url[i] == u) and len(read) <= 3
+            for r in found:
+                fields, payload = warc.read_range(spark, r["file"], r["offset"], r["length"])
+                assert fields["page-id"] == str(r["page_id"]) and (r["record_type"] == "revisit" or payload.decode() == (html[r["page_id"]] or ""))
+    assert {r.page_id for r in warc.index_lines(spark, f"{base}/index").collect()} == set(html)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(600, 16))
