@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import difference
-from .events import FEATURES, project
+from ..plans.settled import settled
+from .events import FEATURES, projections
 
 
 def ids(k: int) -> list[str]:
@@ -68,50 +69,52 @@ def expand(combinations: DataFrame, k: int, dependent: DataFrame | None = None)
     return out if dependent is None else independent(out, dependent, k + 1)
 
 
-def pair_products(projection: DataFrame, features: list[str], combinations: DataFrame | None = None) -> DataFrame:
-    """branch_id_1, branch_id_2, site, v: products of two branches' values at one site and feature, summed over features.
+def _met(projection: DataFrame, features: list[str], combinations: DataFrame, k: int) -> DataFrame:
+    """ids, site, features, v: the product of the members' values wherever all of them have one.
 
-    A self-join on (site, features). With ``combinations`` only those pairs:
-    the few of them are broadcast if small, and filter before the sum.
+    Pairs come from a self-join and are then filtered to the wanted ones; more
+    branches from left-deep joins, so that a branch without mass makes no row.
     """
-    x = projection.select(F.col("branch_id").alias("branch_id_1"), "site", *features, F.col("v").alias("v1"))
-    y = projection.select(F.col("branch_id").alias("branch_id_2"), "site", *features, F.col("v").alias("v2"))
-    both = x.join(y, ["site", *features]).where("branch_id_1 < branch_id_2")
-    if combinations is not None:
-        both = both.join(combinations, ["branch_id_1", "branch_id_2"], "left_semi")
-    return both.groupBy("branch_id_1", "branch_id_2", "site").agg(F.sum(F.col("v1") * F.col("v2")).alias("v"))
-
-
-def products(projection: DataFrame, features: list[str], combinations: DataFrame, k: int) -> DataFrame:
-    """ids, site, v for combinations of k branches: left-deep joins, so a branch without mass makes no row."""
-    out = combinations.select(*ids(k))
-    first = projection.select(F.col("branch_id").alias("branch_id_1"), "site", *features, F.col("v").alias("v_1"))
-    out = out.join(first, "branch_id_1")
-    for i in range(2, k + 1):
-        nxt = projection.select(F.col("branch_id").alias(f"branch_id_{i}"), "site", *features, F.col("v").alias(f"v_{i}"))
-        out = out.join(nxt, [f"branch_id_{i}", "site", *features])
-    value = reduce(lambda a, b: a * b, [F.col(f"v_{i}") for i in range(1, k + 1)])
-    return out.groupBy(*ids(k), "site").agg(F.sum(value).alias("v"))
+    side = lambda i: projection.select(F.col("branch_id").alias(f"branch_id_{i}"), "site", *features, F.col("v").alias(f"v_{i}"))
+    if k == 2:
+        out = side(1).join(side(2), ["site", *features]).where("branch_id_1 < branch_id_2").join(combinations, ids(2), "left_semi")
+    else:
+        out = combinations.select(*ids(k)).join(side(1), "branch_id_1")
+        for i in range(2, k + 1):
+            out = out.join(side(i), [f"branch_id_{i}", "site", *features])
+    return out.select(*ids(k), "site", *features, reduce(lambda a, b: a * b, [F.col(f"v_{i}") for i in range(1, k + 1)]).alias("v"))
 
 
-def counts(events: DataFrame, combinations: DataFrame, k: int = 2, prefix: str = "OCN", stats=tuple(FEATURES), by: tuple[str, ...] | None = None) -> DataFrame:
-    """Convergence counts of each combination, one column for each statistic, 0 where nothing meets.
+def counts_of(projections: DataFrame, combinations: DataFrame, k: int = 2, prefix: str = "OCN", stats=tuple(FEATURES), by: tuple[str, ...] | None = None) -> DataFrame:
+    """Convergence counts from the projections of all statistics (as events.projections gives them), one column for each, 0 where nothing meets.
 
+    One join for all statistics, which are told apart by their key, and one sum.
     ``by``: grouping of the result; the combination's ids for the cb table, plus
     'site' for cbs, only 'site' for cs.
     """
     keys = list(by) if by else ids(k)
-    out = None
-    for stat in stats:
-        p = project(events, stat)
-        v = pair_products(p, FEATURES[stat], combinations) if k == 2 else products(p, FEATURES[stat], combinations, k)
-        v = v.groupBy(*keys).agg(F.sum("v").alias(f"{prefix}{stat}"))
-        out = v if out is None else out.join(v, keys, "full")
+    met = _met(projections, ["stat", *FEATURES["spe2spe"]], combinations, k)
+    out = met.groupBy(*keys).agg(*[F.sum(F.when(F.col("stat") == s, F.col("v"))).alias(f"{prefix}{s}") for s in stats])
     if by is None:
         out = combinations.select(*keys).join(out, keys, "left")
     return out.fillna(0.0, [f"{prefix}{s}" for s in stats])
 
 
+def counts(events: DataFrame, combinations: DataFrame, k: int = 2, prefix: str = "OCN", stats=tuple(FEATURES), by: tuple[str, ...] | None = None) -> DataFrame:
+    """Convergence counts of each combination from events; columns and ``by`` as in counts_of."""
+    return counts_of(settled(projections(events, stats)), combinations, k, prefix, stats, by)
+
+
+def nan_below_root(cb: DataFrame, below_root: DataFrame, k: int, prefix: str = "E") -> DataFrame:
+    """Columns that start with ``prefix`` become NaN where a member is one of the branches (branch_id) right below the root."""
+    columns = [c for c in cb.columns if c.startswith(prefix)]
+    hit = F.lit(False)
+    for i in range(1, k + 1):
+        cb = cb.join(F.broadcast(below_root.select(F.col("branch_id").alias(f"branch_id_{i}"), F.lit(True).alias(f"_below_{i}"))), f"branch_id_{i}", "left")
+        hit = hit | F.coalesce(f"_below_{i}", F.lit(False))
+    return cb.withColumns({c: F.when(hit, F.lit(float("nan"))).otherwise(F.col(c)) for c in columns}).drop(*[f"_below_{i}" for i in range(1, k + 1)])
+
+
 def add_differences(cb: DataFrame, prefix: str) -> DataFrame:
     """The derived statistics any2dif, spe2dif, dif2any, dif2spe and dif2dif."""
     c = lambda s: F.col(f"{prefix}{s}")

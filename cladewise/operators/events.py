@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions.numeric import significant
+
 #: Features that each statistic keeps of (grp, a, d).
 FEATURES = {"any2any": ["grp"], "spe2any": ["grp", "a"], "any2spe": ["grp", "d"], "spe2spe": ["grp", "a", "d"]}
 
@@ -40,6 +42,14 @@ def project(events: DataFrame, stat: str) -> DataFrame:
     return events.groupBy("branch_id", "site", *FEATURES[stat]).agg(F.sum("pp").alias("v"))
 
 
+def projections(events: DataFrame, stats=tuple(FEATURES)) -> DataFrame:
+    """branch_id, site, stat, grp, a, d, v: the sums of ``project`` for several statistics in one pass; states a statistic doesn't tell apart are ''."""
+    whole = events.groupBy("branch_id", "site", "grp", F.col("a").cast("string").alias("a"), F.col("d").cast("string").alias("d")).agg(F.sum("pp").alias("pp"))
+    kept = F.array(*[F.struct(F.lit(s).alias("stat"), *[(F.col(c) if c in FEATURES[s] else F.lit("")).alias(c) for c in "ad"]) for s in stats])
+    each = whole.select("branch_id", "site", "grp", "pp", F.explode(kept).alias("k"))
+    return each.groupBy("branch_id", "site", F.col("k.stat").alias("stat"), "grp", F.col("k.a").alias("a"), F.col("k.d").alias("d")).agg(F.sum("pp").alias("v"))
+
+
 def branch_totals(events: DataFrame, branches: DataFrame | None = None, name: str = "sub") -> DataFrame:
     """Total per branch; with ``branches`` (branch_id), also of those without events."""
     t = events.groupBy("branch_id").agg(F.sum("pp").alias(name))
@@ -73,9 +83,9 @@ def sitewise_changes(events: DataFrame, min_pp: float = 0.5) -> DataFrame:
 
 
 def state_distribution(events: DataFrame, keys: list[str], state: str) -> DataFrame:
-    """'A:1.9,G:0.7' per key: mass of each state, largest first."""
+    """'A:1.9,G:0.7' per key: mass of each state in at most six significant digits, largest first."""
     m = events.groupBy(*keys, state).agg(F.sum("pp").alias("m"))
-    one = F.struct((-F.col("m")).alias("n"), F.col(state).alias("s"), F.format_string("%s:%.3f", F.col(state), F.col("m")).alias("x"))
+    one = F.struct((-F.col("m")).alias("n"), F.col(state).alias("s"), F.concat(F.col(state).cast("string"), F.lit(":"), significant(F.col("m"))).alias("x"))
     return m.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda s: s.x), ",").alias("distribution"))
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .events import FEATURES
+
 
 def reversible(exchange: np.ndarray, pi: np.ndarray) -> np.ndarray:
     """Rate matrix of symmetric exchangeabilities and stationary frequencies, scaled to one change per unit time."""
@@ -49,16 +51,31 @@ def expected_states(parents: DataFrame, q: np.ndarray, pi: np.ndarray) -> DataFr
     return parents.where("t >= 1e-9").select("branch_id", "site", "p", "t", "rate").mapInPandas(run, "branch_id int, site int, p array<double>")
 
 
-def closed_form_projections(parent: DataFrame, child: DataFrame) -> DataFrame:
-    """any2any of state vectors without the states-squared table: sum(p) * sum(c) - sum(p * c) per (branch, site, grp).
+def closed_form_projections(parent: DataFrame, child: DataFrame, stats=tuple(FEATURES)) -> DataFrame:
+    """branch_id, site, stat, grp, a, d, v of the events p(a) * c(d), a <> d, from state vectors, as events.projections gives them.
 
-    parent and child: branch_id, site, grp, state, p.
+    parent and child: branch_id, site, grp, state, p. any2any is sum(p) * sum(c)
+    - sum(p * c), spe2any p * (sum(c) - c), any2spe c * (sum(p) - p); only
+    spe2spe pairs the states.
     """
     keys = ["branch_id", "site", "grp"]
-    sp = parent.groupBy(*keys).agg(F.sum("p").alias("sp"))
-    sc = child.groupBy(*keys).agg(F.sum("p").alias("sc"))
-    both = parent.withColumnRenamed("p", "pp").join(child.withColumnRenamed("p", "pc"), [*keys, "state"]).groupBy(*keys).agg(F.sum(F.col("pp") * F.col("pc")).alias("same"))
-    return sp.join(sc, keys).join(both, keys, "left").select(*keys, (F.col("sp") * F.col("sc") - F.coalesce("same", F.lit(0.0))).alias("v"))
+    state = F.col("state").cast("string").alias("state")
+    up, down = parent.select(*keys, state, F.col("p").alias("pp")), child.select(*keys, state, F.col("p").alias("pc"))
+    both = up.join(down, [*keys, "state"], "full").fillna(0.0, ["pp", "pc"])
+    sums = both.groupBy(*keys).agg(F.sum("pp").alias("sp"), F.sum("pc").alias("sc"), F.sum(F.col("pp") * F.col("pc")).alias("same"))
+    form = lambda stat, a, d, v: F.struct(F.lit(stat).alias("stat"), a.alias("a"), d.alias("d"), v.alias("v"))
+    none, own = F.lit(""), F.col("state")
+    rows = [sums.select(*keys, form("any2any", none, none, F.col("sp") * F.col("sc") - F.col("same")).alias("x"))] if "any2any" in stats else []
+    sided = {"spe2any": form("spe2any", own, none, F.col("pp") * (F.col("sc") - F.col("pc"))), "any2spe": form("any2spe", none, own, F.col("pc") * (F.col("sp") - F.col("pp")))}
+    if any(s in stats for s in sided):
+        rows.append(both.join(sums, keys).select(*keys, F.explode(F.array(*[x for s, x in sided.items() if s in stats])).alias("x")))
+    if "spe2spe" in stats:
+        to = down.withColumnRenamed("state", "to")
+        rows.append(up.join(to, keys).where("state <> to").select(*keys, form("spe2spe", own, F.col("to"), F.col("pp") * F.col("pc")).alias("x")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.select("branch_id", "site", "x.stat", "grp", "x.a", "x.d", "x.v").where("v > 0")
 
 
 def site_weights(totals: DataFrame, sites: int, alpha: float = 0.0) -> DataFrame:

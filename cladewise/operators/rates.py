@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import ieee_div, rate
+from ..functions.numeric import chi2_sf, ieee_div, rate
 from ..plans.settled import settled
+from .combine import counts, counts_of, ids, nan_below_root
+from .expected import closed_form_projections
 from .ranking import quantile_map
 
 
@@ -20,6 +22,24 @@ def add_rates(cb: DataFrame, stats: list[str], alpha: float = 0.0) -> DataFrame:
     return cb
 
 
+def observed_and_expected(observed: dict[str, DataFrame], vectors: dict[str, tuple[DataFrame, DataFrame]], combinations: DataFrame, k: int, stats, below_root: DataFrame | None = None) -> DataFrame:
+    """The cb table from events and state vectors of the channels: OCN, OCS, ECN and ECS of each statistic.
+
+    observed: events by channel; vectors: (parent, expected child) by channel,
+    as for expected.closed_form_projections, so no table of all pairs of states
+    is made unless spe2spe is asked for. Site categories are groups of the
+    vectors and are summed over. Expected counts of combinations with a branch
+    right below the root (``below_root``) are NaN.
+    """
+    cb = combinations.select(*ids(k))
+    for channel, events in observed.items():
+        cb = cb.join(counts(events, combinations, k, f"OC{channel}", stats), ids(k))
+    for channel, (parent, child) in vectors.items():
+        expected = settled(closed_form_projections(parent, child, stats))
+        cb = cb.join(counts_of(expected, combinations, k, f"EC{channel}", stats), ids(k))
+    return cb if below_root is None else nan_below_root(cb, below_root, k)
+
+
 def add_convergence_divergence(cb: DataFrame, prefix: str = "OCN") -> DataFrame:
     """Convergent over divergent counts: any2spe / any2dif."""
     return cb.withColumn(f"{prefix}CoD", ieee_div(F.col(f"{prefix}any2spe"), F.col(f"{prefix}any2dif")))
@@ -45,10 +65,22 @@ def regression_residual(df: DataFrame, x: str, y: str, out: str) -> DataFrame:
 
 
 def g_test(n1, s1, n2, s2):
-    """Log-likelihood ratio statistic of the 2x2 table ((n1, s1), (n2, s2)) as a Column."""
+    """Log-likelihood ratio statistic of the 2x2 table ((n1, s1), (n2, s2)) as a Column, corrected for continuity.
+
+    Each count is moved by up to 0.5 towards its expectation; 0 where the first row has no counts.
+    """
     total = n1 + s1 + n2 + s2
+    shift = F.least(F.lit(0.5), F.abs(n1 - (n1 + s1) * (n1 + n2) / total)) * F.signum((n1 + s1) * (n1 + n2) / total - n1)
+    first = n1 + s1
+    n1, s1, n2, s2 = n1 + shift, s1 - shift, n2 - shift, s2 + shift
     term = lambda o, r, c: F.when(o > 0, o * F.ln(o * total / (r * c))).otherwise(0.0)
-    return 2 * (term(n1, n1 + s1, n1 + n2) + term(s1, n1 + s1, s1 + s2) + term(n2, n2 + s2, n1 + n2) + term(s2, n2 + s2, s1 + s2))
+    g = 2 * (term(n1, n1 + s1, n1 + n2) + term(s1, n1 + s1, s1 + s2) + term(n2, n2 + s2, n1 + n2) + term(s2, n2 + s2, s1 + s2))
+    return F.when(first > 0, g).otherwise(0.0)
+
+
+def g_test_p(n1, s1, n2, s2):
+    """p of g_test with one degree of freedom; 1 where the first row has no counts."""
+    return F.when(n1 + s1 > 0, chi2_sf(g_test(n1, s1, n2, s2))).otherwise(1.0)
 
 
 def empirical_p(observed: DataFrame, permuted: DataFrame, keys: list[str], value: str, smoothed: bool = True) -> DataFrame:

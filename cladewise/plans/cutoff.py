@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -12,23 +13,36 @@ from ..functions.numeric import at_least
 
 
 def parse(text: str) -> list[tuple[str, float]]:
-    """Pattern and least value of each clause; '|' within brackets, parentheses or after a backslash belongs to a pattern."""
-    clauses, depth, escaped, current = [], 0, False, ""
+    """Pattern and least value of each clause; quotes and empty clauses are left out.
+
+    '|' within brackets, braces, parentheses or after a backslash belongs to a
+    pattern. Values must be finite.
+    """
+    clauses, open_, escaped, current = [], dict.fromkeys(")]}", 0), False, ""
     for c in text:
-        if c == "|" and not depth and not escaped:
+        if c == "|" and not any(open_.values()) and not escaped:
             clauses.append(current)
             current = ""
             continue
-        depth += (c in "([") - (c in ")]") if not escaped else 0
+        if not escaped and c in "([{":
+            open_[")]}"["([{".index(c)]] += 1
+        elif not escaped and open_.get(c):
+            open_[c] -= 1
         escaped = c == "\\" and not escaped
         current += c
     out = []
-    for clause in [*clauses, current]:
-        pattern, comma, value = clause.rpartition(",")
-        if not comma or not pattern.strip():
+    for clause in [x.replace("'", "").replace('"', "").strip() for x in [*clauses, current]]:
+        if not clause:
+            continue
+        pattern, comma, value = (x.strip() for x in clause.rpartition(","))
+        if not comma or not pattern or not value:
             raise ValueError(f"cut-off {clause!r} is not 'regex,value'")
         re.compile(pattern)
-        out.append((pattern.strip(), float(value)))
+        if not math.isfinite(least := float(value)):
+            raise ValueError(f"cut-off {clause!r} needs a finite value")
+        out.append((pattern, least))
+    if not out:
+        raise ValueError(f"no cut-off in {text!r}")
     return out
 
 

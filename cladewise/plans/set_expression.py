@@ -8,16 +8,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"\s*(\d+|[A|&^()-])")
+_TOKEN = re.compile(r"\s*(\d+|[Aa|&^()-])")
 
 
 @dataclass(frozen=True)
 class Value:
-    """Whether a site is in the set, and with what probability."""
+    """Whether a site is in the set, and with what probability; outside it that is 0."""
 
     member: Column
     probability: Column
 
+    def __post_init__(self):
+        inside = F.coalesce(self.member, F.lit(False))
+        object.__setattr__(self, "probability", F.when(inside & ~F.isnan(self.probability), self.probability).otherwise(0.0))
+        object.__setattr__(self, "member", inside)
+
 
 def tokens(text: str) -> list[str]:
     out, at = [], 0
@@ -26,7 +31,7 @@ def tokens(text: str) -> list[str]:
         m = _TOKEN.match(text, at)
         if not m:
             raise ValueError(f"unexpected {text[at:]!r}")
-        out.append(m[1])
+        out.append(m[1].upper())
         at = m.end()
     if not out:
         raise ValueError("empty set expression")

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import numeric, sequence
-from .operators import combine, events as ev, expected, ranking, rates, scan, sites, traits
+from .operators import combine, events as ev, expected, ranking, rates, scan, sites, states as st, traits
 from .plans import cutoff, set_expression
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,11 +163,11 @@ def cs_sites(spark, sf):
     return combine.counts(events(spark, sf), free_pairs(spark, sf), stats=("any2spe", "spe2spe"), by=("site",)).select("site", r("OCNany2spe"), r("OCNspe2spe"))
 
 
-@query(f"""WITH {EV}, {_proj('p', 'd')}, tri AS (SELECT x.n_nationkey b1, y.n_nationkey b2, z.n_nationkey b3 FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey AND x.n_regionkey <> y.n_regionkey JOIN nation z ON y.n_nationkey < z.n_nationkey AND z.n_regionkey <> x.n_regionkey AND z.n_regionkey <> y.n_regionkey WHERE x.n_nationkey < 8),
+@query(f"""WITH {EV}, {_proj('p', 'd')}, tri AS (SELECT x.n_nationkey b1, y.n_nationkey b2, z.n_nationkey b3 FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey AND x.n_regionkey <> y.n_regionkey JOIN nation z ON y.n_nationkey < z.n_nationkey AND z.n_regionkey <> x.n_regionkey AND z.n_regionkey <> y.n_regionkey),
  v AS (SELECT b1, b2, b3, sum(x.v * y.v * z.v) AS v FROM tri JOIN p x ON x.branch_id = b1 JOIN p y ON y.branch_id = b2 AND y.site = x.site AND y.d = x.d JOIN p z ON z.branch_id = b3 AND z.site = x.site AND z.d = x.d GROUP BY ALL)
  SELECT b1 AS branch_id_1, b2 AS branch_id_2, b3 AS branch_id_3, round(coalesce(v, 0), 6) AS OCNany2spe FROM tri LEFT JOIN v USING (b1, b2, b3)""")
 def cb_triples(spark, sf):
-    """All independent triples; the twin above still stops at branch 7, so it covers only a part of these rows."""
+    """All independent triples."""
     three = combine.expand(free_pairs(spark, sf), 2, dependent(spark, sf))
     return combine.counts(events(spark, sf), three, 3, stats=("any2spe",)).select(*combine.ids(3), r("OCNany2spe"))
 
@@ -187,8 +188,7 @@ def cutoff_filter(spark, sf):
 
 
 _W = f"""{_CB}, tot AS (SELECT branch_id, sum(pp) AS n FROM ev GROUP BY 1), w AS (SELECT branch_id, site, sum(pp) / sum(sum(pp)) OVER (PARTITION BY branch_id) AS w FROM ev GROUP BY 1, 2),
- e AS (SELECT x.branch_id AS branch_id_1, y.branch_id AS branch_id_2, n1.n * n2.n * sum(x.w * y.w) AS ec FROM w x JOIN w y ON x.site = y.site AND x.branch_id < y.branch_id JOIN tot n1 ON n1.branch_id = x.branch_id JOIN tot n2 ON n2.branch_id = y.branch_id JOIN free ON b1 = x.branch_id AND b2 = y.branch_id GROUP BY x.branch_id, y.branch_id, n1.n, n2.n),
- ra AS (SELECT cb.branch_id_1, cb.branch_id_2, OCNany2any / ec AS dn, OCNany2spe / (0.25 * ec) AS ds FROM cb JOIN e USING (branch_id_1, branch_id_2))"""
+ e AS (SELECT x.branch_id AS branch_id_1, y.branch_id AS branch_id_2, n1.n * n2.n * sum(x.w * y.w) AS ec FROM w x JOIN w y ON x.site = y.site AND x.branch_id < y.branch_id JOIN tot n1 ON n1.branch_id = x.branch_id JOIN tot n2 ON n2.branch_id = y.branch_id JOIN free ON b1 = x.branch_id AND b2 = y.branch_id GROUP BY x.branch_id, y.branch_id, n1.n, n2.n)"""
 
 
 def expected_pairs(spark, sf):
@@ -208,24 +208,78 @@ def urn_expected(spark, sf):
     return expected_pairs(spark, sf).select(*combine.ids(2), r("expected"))
 
 
-def rate_table(spark, sf):
-    cb = combine.counts(events(spark, sf), free_pairs(spark, sf), stats=("any2any", "any2spe")).join(expected_pairs(spark, sf), combine.ids(2))
-    cb = cb.withColumns({"OCNx": F.col("OCNany2any"), "OCSx": F.col("OCNany2spe"), "ECNx": F.col("expected"), "ECSx": 0.25 * F.col("expected")})
-    return rates.add_rates(cb, ["x"])
+#: A tree of nations below regions: a node's posterior at a site are shares of its lineitem prices by state (line number
+#: modulo 4, 'codons' 0 and 1 of one group, 2 and 3 of another). Branch lengths are 0.1, 0.2 or 0.3; all changes are alike.
+_POST = """post AS (SELECT node, site, s, w / sum(w) OVER (PARTITION BY node, site) AS p FROM (SELECT CAST(s_nationkey + k * (100 + n_regionkey - s_nationkey) AS INT) AS node, CAST(l_partkey % 97 AS INT) AS site, CAST(l_linenumber % 4 AS INT) AS s, sum(l_extendedprice) AS w
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey, (VALUES (0), (1)) v(k) GROUP BY ALL)),
+ own AS (SELECT n_nationkey AS branch_id, 100 + n_regionkey AS parent, exp(-4.0 / 3 * (0.1 * (1 + n_nationkey % 3))) AS x FROM nation),
+ up AS (SELECT branch_id, site, s, p FROM own JOIN post ON parent = node), down AS (SELECT branch_id, site, s, p FROM own JOIN post ON branch_id = node),
+ moved AS (SELECT branch_id, site, i AS s, 0.25 + (coalesce(p, 0) - 0.25) * x AS p FROM (SELECT DISTINCT branch_id, site, x FROM up JOIN own USING (branch_id)) g CROSS JOIN range(4) r(i) LEFT JOIN (SELECT branch_id, site, s AS i, p FROM up) u USING (branch_id, site, i))"""
+_AA = "SELECT branch_id, site, 0 AS g, s // 2 AS s, sum(p) AS p FROM {} GROUP BY ALL"
+_SYN = "SELECT branch_id, site, s // 2 AS g, s, p FROM {}"
 
 
-@query(f"{_W} SELECT branch_id_1, branch_id_2, round(dn, 6) AS dNCx, round(ds, 6) AS dSCx, round(dn / ds, 6) AS omegaCx FROM ra")
+def _channel(name: str, child: str, form: str) -> str:
+    ev_ = f"e_{name} AS (SELECT a.branch_id, a.site, a.g, a.s AS a, d.s AS d, a.p * d.p AS pp FROM ({form.format('up')}) a JOIN ({form.format(child)}) d ON a.branch_id = d.branch_id AND a.site = d.site AND a.g = d.g AND a.s <> d.s)"
+    proj = [f"p_{name}_{s} AS (SELECT branch_id, site, g{', ' + k if k else ''}, sum(pp) AS v FROM e_{name} GROUP BY ALL)" for s, k in (("any2any", ""), ("any2spe", "d"))]
+    return ",\n".join([ev_, *proj, *[_pairs(f"c_{name}_{s}", f"p_{name}_{s}", k, s) for s, k in (("any2any", ""), ("any2spe", "d"))]])
+
+
+_OM = f"""WITH {FREE}, {_POST},
+{_channel("ocn", "down", _AA)}, {_channel("ocs", "down", _SYN)}, {_channel("ecn", "moved", _AA)}, {_channel("ecs", "moved", _SYN)},
+ ra AS (SELECT b1 AS branch_id_1, b2 AS branch_id_2, {", ".join(f"coalesce({c}_{s}, 0) AS {c}_{s}" for c in ("ocn", "ocs", "ecn", "ecs") for s in ("any2any", "any2spe"))} FROM free
+ {" ".join(f"LEFT JOIN (SELECT b1, b2, sum({s}) AS {c}_{s} FROM c_{c}_{s} GROUP BY ALL) USING (b1, b2)" for c in ("ocn", "ocs", "ecn", "ecs") for s in ("any2any", "any2spe"))})"""
+
+
+def channels(spark, sf):
+    """Observed events and expected projections of the N (between groups) and S (within a group) channel."""
+    x = t(spark, sf, "lineitem").join(t(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    n = t(spark, sf, "nation")
+    w = x.selectExpr("s_nationkey", "cast(l_partkey % 97 as int) as site", "cast(l_linenumber % 4 as int) as state", "l_extendedprice").groupBy("s_nationkey", "site", "state").agg(F.sum("l_extendedprice").alias("w"))
+    w = w.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.explode(F.array(F.col("s_nationkey").cast("int"), (F.col("n_regionkey") + 100).cast("int"))).alias("node"), "site", "state", "w")
+    post = st.shares(w, ["node", "site"], "state", "w")
+    groups = spark.createDataFrame([(k, k // 2) for k in range(4)], "state int, grp int")
+    aa = st.project_states(post, groups, ["node", "site"])
+    parents = n.selectExpr("cast(n_nationkey as int) as node", "cast(n_regionkey + 100 as int) as parent")
+    own_groups = groups.select(F.col("grp").alias("state"), F.lit(0).alias("grp")).distinct()
+    observed = {"N": ev.substitution_events(aa, parents, own_groups), "S": ev.substitution_events(post, parents, groups)}
+    vectors = st.vectors(post, ["node", "site"], 4).withColumnRenamed("node", "parent")
+    up = parents.join(vectors, "parent").selectExpr("node as branch_id", "site", "p", "0.1D * (1 + node % 3) as t", "1.0D as rate")
+    q = expected.reversible(np.ones((4, 4)), np.full(4, 0.25))
+    long = lambda df: df.select("branch_id", "site", F.posexplode("p").alias("state", "p"))
+    above, moved = long(up), long(expected.expected_states(up, q, np.full(4, 0.25)))
+    n_form = lambda df: st.project_states(df, groups, ["branch_id", "site"]).withColumn("grp", F.lit(0))
+    s_form = lambda df: df.join(F.broadcast(groups), "state")
+    return observed, {"N": (n_form(above), n_form(moved)), "S": (s_form(above), s_form(moved))}
+
+
+STATS = ("any2any", "any2spe")
+
+
+def rate_table(spark, sf, stats=STATS):
+    """From posteriors to omegaC: observed and expected counts of both channels for every independent pair, and their rates."""
+    return rates.add_rates(rates.observed_and_expected(*channels(spark, sf), free_pairs(spark, sf), 2, stats), list(stats))
+
+
+@query(f"{_OM} SELECT branch_id_1, branch_id_2, {', '.join(f'round({c}_{s}, 6) AS {c.upper()}{s}' for c in ('ocn', 'ocs', 'ecn', 'ecs') for s in ('any2any', 'any2spe'))} FROM ra")
+def observed_expected(spark, sf):
+    """Counts of both channels, observed and expected, from posteriors of a tree."""
+    cb = rates.observed_and_expected(*channels(spark, sf), free_pairs(spark, sf), 2, STATS)
+    return cb.select(*combine.ids(2), *[r(f"{c}{s}") for c in ("OCN", "OCS", "ECN", "ECS") for s in STATS])
+
+
+@query(f"{_OM} SELECT branch_id_1, branch_id_2, {', '.join(f'round(ocn_{s} / ecn_{s}, 6) AS dNC{s}, round(ocs_{s} / ecs_{s}, 6) AS dSC{s}, round((ocn_{s} / ecn_{s}) / (ocs_{s} / ecs_{s}), 6) AS omegaC{s}' for s in ('any2any', 'any2spe'))} FROM ra")
 def omega_rates(spark, sf):
-    return rate_table(spark, sf).select(*combine.ids(2), r("dNCx"), r("dSCx"), r("omegaCx"))
+    return rate_table(spark, sf).select(*combine.ids(2), *[r(f"{c}{s}") for s in STATS for c in ("dNC", "dSC", "omegaC")])
 
 
 _RK = "(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0)"
 
 
-@query(f"{_W}, k AS (SELECT *, {_RK.format('round(ds, 6)')} AS rk, count(*) OVER () AS n FROM ra), s AS (SELECT list(round(dn, 6) ORDER BY round(dn, 6)) AS l FROM ra), p AS (SELECT *, (n - 1) * (rk - 0.5) / n AS pos FROM k) SELECT branch_id_1, branch_id_2, round(greatest(round(ds, 6), l[CAST(floor(pos) AS BIGINT) + 1] + (l[CAST(ceil(pos) AS BIGINT) + 1] - l[CAST(floor(pos) AS BIGINT) + 1]) * (pos - floor(pos))), 9) AS dSCx FROM p, s")
+@query(f"{_OM}, rd AS (SELECT branch_id_1, branch_id_2, ocn_any2spe / ecn_any2spe AS dn, ocs_any2spe / ecs_any2spe AS ds FROM ra), k AS (SELECT *, {_RK.format('round(ds, 6)')} AS rk, count(*) OVER () AS n FROM rd), s AS (SELECT list(round(dn, 6) ORDER BY round(dn, 6)) AS l FROM rd), p AS (SELECT *, (n - 1) * (rk - 0.5) / n AS pos FROM k) SELECT branch_id_1, branch_id_2, round(greatest(round(ds, 6), l[CAST(floor(pos) AS BIGINT) + 1] + (l[CAST(ceil(pos) AS BIGINT) + 1] - l[CAST(floor(pos) AS BIGINT) + 1]) * (pos - floor(pos))), 9) AS dSCany2spe FROM p, s")
 def quantile_calibration(spark, sf):
-    cb = rate_table(spark, sf).withColumns({"dNCx": F.round("dNCx", 6), "dSCx": F.round("dSCx", 6)})
-    return rates.calibrate(cb, ["x"]).select(*combine.ids(2), r("dSCx", 9))
+    cb = rate_table(spark, sf, ("any2spe",)).withColumns({c: F.round(c, 6) for c in ("dNCany2spe", "dSCany2spe")})
+    return rates.calibrate(cb, ["any2spe"]).select(*combine.ids(2), r("dSCany2spe", 9))
 
 
 @query(f"{_CB} SELECT branch_id_1, branch_id_2, round(OCNany2spe / nullif(OCNany2any - OCNany2spe, 0), 6) AS OCNCoD FROM cb")
@@ -365,7 +419,8 @@ def state_argmax(spark, sf):
 
 @query(f"""WITH {EV}, x AS (SELECT site, branch_id, sum(pp) AS v FROM ev WHERE branch_id IN (1, 2, 3) GROUP BY ALL), o AS (SELECT site, max(v) AS v FROM (SELECT site, branch_id, sum(pp) AS v FROM ev WHERE branch_id NOT IN (1, 2, 3) GROUP BY ALL) GROUP BY 1),
  p AS (SELECT i AS site, coalesce((SELECT v FROM x WHERE x.site = i AND branch_id = 1), 0) AS v1, coalesce((SELECT v FROM x WHERE x.site = i AND branch_id = 2), 0) AS v2, coalesce((SELECT v FROM x WHERE x.site = i AND branch_id = 3), 0) AS v3, coalesce(o.v, 0) AS va FROM range(97) r(i) LEFT JOIN o ON o.site = i)
- SELECT CAST(site AS INT) AS site, ((round(v1, 9) >= 0.5 OR round(v2, 9) >= 0.5) AND round(v3, 9) >= 0.5) AND NOT (round(va, 9) >= 2) AS member, round(least(greatest(v1, v2), v3), 6) AS probability FROM p""")
+ SELECT CAST(site AS INT) AS site, ((round(v1, 9) >= 0.5 OR round(v2, 9) >= 0.5) AND round(v3, 9) >= 0.5) AND NOT (round(va, 9) >= 2) AS member,
+  CASE WHEN ((round(v1, 9) >= 0.5 OR round(v2, 9) >= 0.5) AND round(v3, 9) >= 0.5) AND NOT (round(va, 9) >= 2) THEN round(least(greatest(CASE WHEN round(v1, 9) >= 0.5 THEN v1 ELSE 0 END, CASE WHEN round(v2, 9) >= 0.5 THEN v2 ELSE 0 END), v3), 6) ELSE 0 END AS probability FROM p""")
 def set_expression_sites(spark, sf):
     s = events(spark, sf).groupBy("site", "branch_id").agg(F.sum("pp").alias("v"))
     named = set_expression.branches("((1|2)&3)-A")
@@ -435,7 +490,7 @@ def substitutions_per_branch(spark, sf):
     return cb.select(*combine.ids(2), r("sub_1"), r("sub_2"))
 
 
-@query(f"WITH {EV} SELECT branch_id, string_agg(x, ',' ORDER BY m DESC, d) AS distribution FROM (SELECT branch_id, d, round(sum(pp), 3) AS m, d || ':' || printf('%.3f', sum(pp)) AS x FROM ev GROUP BY branch_id, d) GROUP BY 1")
+@query(f"WITH {EV} SELECT branch_id, string_agg(x, ',' ORDER BY m DESC, d) AS distribution FROM (SELECT branch_id, d, round(sum(pp), 3) AS m, d || ':' || printf('%.6g', round(sum(pp), 3)) AS x FROM ev GROUP BY branch_id, d) GROUP BY 1")
 def state_distribution(spark, sf):
     e = events(spark, sf).groupBy("branch_id", "d").agg(F.round(F.sum("pp"), 3).alias("pp"))
     return ev.state_distribution(e, ["branch_id"], "d")
@@ -447,19 +502,23 @@ def gap_rate(spark, sf):
     return sites.gap_rates(s, 10).select("site", r("gap_rate"))
 
 
-@query("WITH s AS (SELECT l_partkey AS site, l_suppkey AS tip, l_returnflag AS state, CAST(l_linenumber % 7 <> 0 AS INT) + CAST(l_linenumber = 5 AS INT) AS candidates FROM lineitem) SELECT site FROM s GROUP BY site HAVING count(*) FILTER (candidates = 1) > 0 AND max(candidates) <= 1 AND count(DISTINCT state) FILTER (candidates = 1) = 1")
+@query("WITH s AS (SELECT l_orderkey AS site, l_linenumber AS tip, l_returnflag AS state, CAST(l_linenumber % 7 <> 0 AS INT) + CAST(l_linenumber = 5 AS INT) AS candidates FROM lineitem) SELECT site FROM s GROUP BY site HAVING count(*) FILTER (candidates = 1) > 0 AND max(candidates) <= 1 AND count(DISTINCT state) FILTER (candidates = 1) = 1")
 def tip_invariant_sites(spark, sf):
-    s = t(spark, sf, "lineitem").selectExpr("l_partkey as site", "l_suppkey as tip", "l_returnflag as state", "cast(l_linenumber % 7 <> 0 as int) + cast(l_linenumber = 5 as int) as candidates")
+    s = t(spark, sf, "lineitem").selectExpr("l_orderkey as site", "l_linenumber as tip", "l_returnflag as state", "cast(l_linenumber % 7 <> 0 as int) + cast(l_linenumber = 5 as int) as candidates")
     return ev.invariant_tip_sites(s)
 
 
-@query("SELECT c_mktsegment, round(2 * (n1*ln(n1*(n1+s1+n2+s2)/((n1+s1)*(n1+n2))) + s1*ln(s1*(n1+s1+n2+s2)/((n1+s1)*(s1+s2))) + n2*ln(n2*(n1+s1+n2+s2)/((n2+s2)*(n1+n2))) + s2*ln(s2*(n1+s1+n2+s2)/((n2+s2)*(s1+s2)))), 6) AS g FROM (SELECT c_mktsegment, CAST(count(*) FILTER (c_acctbal > 0) AS DOUBLE) + 1 AS n1, CAST(count(*) FILTER (c_acctbal <= 0) AS DOUBLE) + 1 AS s1, CAST(count(*) FILTER (c_nationkey > 9) AS DOUBLE) + 1 AS n2, CAST(count(*) FILTER (c_nationkey <= 9) AS DOUBLE) + 1 AS s2 FROM customer GROUP BY 1)")
+@query("""WITH c AS (SELECT c_mktsegment, CAST(count(*) FILTER (c_acctbal > 0) AS DOUBLE) AS n1, CAST(count(*) FILTER (c_acctbal <= 0) AS DOUBLE) AS s1, CAST(count(*) FILTER (c_nationkey > 9) AS DOUBLE) AS n2, CAST(count(*) FILTER (c_nationkey <= 9) AS DOUBLE) AS s2 FROM customer GROUP BY 1),
+ e AS (SELECT *, n1 + s1 + n2 + s2 AS t, (n1 + s1) * (n1 + n2) / (n1 + s1 + n2 + s2) AS x FROM c), k AS (SELECT *, sign(x - n1) * least(0.5, abs(x - n1)) AS h FROM e),
+ y AS (SELECT c_mktsegment, t, n1 + h AS a, s1 - h AS b, n2 - h AS c, s2 + h AS d FROM k)
+ SELECT c_mktsegment, round(2 * (a*ln(a*t/((a+b)*(a+c))) + b*ln(b*t/((a+b)*(b+d))) + c*ln(c*t/((c+d)*(a+c))) + d*ln(d*t/((c+d)*(b+d)))), 6) AS g FROM y""")
 def g_test(spark, sf):
-    one = lambda e: F.count_if(F.expr(e)).cast("double") + 1
+    one = lambda e: F.count_if(F.expr(e)).cast("double")
     c = t(spark, sf, "customer").groupBy("c_mktsegment").agg(one("c_acctbal > 0").alias("n1"), one("c_acctbal <= 0").alias("s1"), one("c_nationkey > 9").alias("n2"), one("c_nationkey <= 9").alias("s2"))
     return c.select("c_mktsegment", F.round(rates.g_test(*[F.col(x) for x in ("n1", "s1", "n2", "s2")]), 6).alias("g"))
 
 
+
 @query("SELECT o.o_orderkey, count(l.l_linenumber) FILTER (l.l_extendedprice * 4 >= o.o_totalprice) AS ge, count(l.l_linenumber) AS n, round((count(l.l_linenumber) FILTER (l.l_extendedprice * 4 >= o.o_totalprice) + 1) / (count(l.l_linenumber) + 1.0), 6) AS p FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey, o.o_totalprice")
 def empirical_pvalues(spark, sf):
     o = t(spark, sf, "orders").selectExpr("o_orderkey", "o_totalprice as x")

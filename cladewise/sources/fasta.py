@@ -8,13 +8,23 @@ from pyspark.sql import functions as F
 from ..functions.sequence import IUPAC
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """seq_id, description, sequence of each record; plain or gzipped. Fails on blank and duplicate headers when the rows are used."""
-    r = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
+def read_fasta(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """seq_id, description, sequence of each record; plain or gzipped. Fails on blank headers when the rows are used.
+
+    A record starts at a '>' at the beginning of a line. With ``key`` (seq_id or
+    description) the rows also fail where two records agree in it.
+    """
+    # a record's text runs to the next line break and '>'; the first one still has its own '>'
+    r = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"\A\s*>", "").alias("value")).where("trim(value) <> ''")
     head = F.trim(F.regexp_extract("value", r"\A([^\r\n]*)", 1))
     body = F.regexp_replace(F.regexp_replace("value", r"\A[^\r\n]*", ""), r"\s+", "")
     r = r.select(head.alias("description"), body.alias("sequence"))
-    return r.select(F.when(F.col("description") == "", F.raise_error(F.lit("blank FASTA header"))).otherwise(F.split("description", r"\s+")[0]).alias("seq_id"), "description", "sequence")
+    r = r.select(F.when(F.col("description") == "", F.raise_error(F.lit("blank FASTA header"))).otherwise(F.split("description", r"\s+")[0]).alias("seq_id"), "description", "sequence")
+    if key is None:
+        return r
+    twice = r.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    same = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("duplicate FASTA header: "), F.col(key))).cast("string")).otherwise(F.col(key))
+    return r.join(twice, key).select(*[(same if c == key else F.col(c)).alias(c) for c in r.columns])
 
 
 def duplicate_ids(records: DataFrame, key: str = "seq_id") -> DataFrame:

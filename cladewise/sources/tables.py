@@ -31,10 +31,14 @@ def state_problems(states: DataFrame, expected_sites: int) -> DataFrame:
 
 
 def read_rates(spark: SparkSession, path: str) -> DataFrame:
-    """site (from 0) and rate; column Rate, or C_Rate where there is none."""
+    """site (from 0) and rate; column Rate, or C_Rate where there is none. Fails unless the sites are 1 to n, each once."""
     t = spark.read.option("comment", "#").option("sep", "\t").option("header", True).csv(path)
     column = "Rate" if "Rate" in t.columns else "C_Rate"
-    return t.select((F.col("Site").cast("int") - 1).alias("site"), F.col(column).cast("double").alias("rate"))
+    t = t.select((F.col("Site").cast("int") - 1).alias("site"), F.col(column).cast("double").alias("rate"))
+    n, distinct, low, high = t.agg(F.count(F.lit(1)), F.count_distinct("site"), F.min("site"), F.max("site")).first()
+    if n and (n != distinct or low != 0 or high != n - 1):
+        raise ValueError("the sites of a rate table must be 1 to n, each once")
+    return t
 
 
 def read_foreground(spark: SparkSession, path: str) -> DataFrame:
@@ -50,8 +54,16 @@ def read_foreground(spark: SparkSession, path: str) -> DataFrame:
     return long.where(~background_value(F.col("lineage"))).select("trait", "lineage", F.col("name").alias("pattern"))
 
 
-def write_tsv(df: DataFrame, path: str, decimals: int = 4) -> None:
-    """Tab-separated text with header; doubles with ``decimals`` places, NaN and null empty, whole-valued *_sub and count columns as integers."""
+def write_tsv(df: DataFrame, path: str, decimals: int = 4, append: bool = False) -> None:
+    """Tab-separated text with header; doubles with ``decimals`` places, NaN and null empty.
+
+    Columns that end in _sub, 2any or 2spe are written as whole numbers if all
+    their values are whole. ``append`` adds files to those that are there.
+    """
+    counts = [c for c, kind in df.dtypes if kind in ("double", "float") and c.endswith(("_sub", "2any", "2spe"))]
+    if counts:
+        broken = df.agg(*[F.count_if(F.isnan(f"`{c}`") | F.col(f"`{c}`").isNull() | (F.col(f"`{c}`") % 1 != 0)).alias(c) for c in counts]).first()
+        df = df.withColumns({c: F.col(f"`{c}`").cast("long") for c in counts if not broken[c]})
     out = []
     for c, kind in df.dtypes:
         v = F.col(f"`{c}`")
@@ -62,4 +74,4 @@ def write_tsv(df: DataFrame, path: str, decimals: int = 4) -> None:
         elif kind.startswith("array"):
             v = F.array_join(v.cast("array<string>"), ",")
         out.append(F.coalesce(v.cast("string"), F.lit("")).alias(c))
-    df.select(*out).write.option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+    df.select(*out).write.mode("append" if append else "errorifexists").option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
