@@ -15,6 +15,7 @@ from __future__ import annotations
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ._shared import written
@@ -102,10 +103,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, slack: int =
         part = postings(docs, [t for t, _ in block], [t for t, first in block if first] or [""], width - 1 + slack)
         stored = part if stored is None else stored.union(part)
     stored = written(stored)
-    # the lists of a document: term and position in one number (a filter only: what passes is compared word by word)
-    lists = stored.groupBy("doc_id", "text_hash").agg(F.collect_set(F.xxhash64("term", "at")).alias("held"))
-    lists = lists.select(F.col("doc_id").alias("list_id"), F.col("text_hash").alias("list_hash"), "held")
-    rarest = stored.where("around is not null").join(lists, F.col("doc_id").eqNullSafe(F.col("list_id")) & (F.col("text_hash") == F.col("list_hash")))
+    # the part of a document's lists that offsets can reach from a posting: term and position in one number (a filter
+    # only: what passes is compared word by word)
+    reach = Window.partitionBy("doc_id", "text_hash").orderBy("at").rangeBetween(1 - width, width - 1)
+    rarest = stored.withColumn("held", F.collect_list(F.xxhash64("term", "at")).over(reach)).where("around is not null")
     found = rarest.join(lookup_table(ranked), "term")
 
     def hit(x: Column) -> Column:
