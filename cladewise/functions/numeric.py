@@ -46,7 +46,7 @@ def no_nan(c: Column) -> Column:
 
 
 def significant(c: Column, digits: int = 6) -> Column:
-    """A finite number as C's %g writes it: so many significant digits, no zeros at the end, powers of ten where they are shorter."""
+    """A finite number as C's %g writes it (but decimal ties round up): so many significant digits, no zeros at the end, powers of ten where they are shorter."""
     text = F.format_string(f"%.{digits - 1}e", c.cast("double"))
     power = F.regexp_extract(text, r"e([+-]\d+)$", 1).cast("int")
     plain = F.lit("")

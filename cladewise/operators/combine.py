@@ -122,6 +122,16 @@ def add_differences(cb: DataFrame, prefix: str) -> DataFrame:
     return cb.withColumn(f"{prefix}dif2dif", difference(c("any2dif"), c("spe2dif")))
 
 
+def add_some_differences(cb: DataFrame, prefix: str, names: list[str]) -> DataFrame:
+    """The named derived statistics, in an order that lets dif2dif use any2dif and spe2dif."""
+    c = lambda s: F.col(f"{prefix}{s}")
+    whole = {"any2dif": ("any2any", "any2spe"), "spe2dif": ("spe2any", "spe2spe"), "dif2any": ("any2any", "spe2any"), "dif2spe": ("any2spe", "spe2spe"), "dif2dif": ("any2dif", "spe2dif")}
+    for s, (x, y) in whole.items():
+        if s in names:
+            cb = cb.withColumn(f"{prefix}{s}", difference(c(x), c(y)))
+    return cb
+
+
 def with_branch_totals(cb: DataFrame, totals: DataFrame, k: int, name: str = "sub") -> DataFrame:
     """Adds each member branch's total as name_1 .. name_k."""
     for i in range(1, k + 1):

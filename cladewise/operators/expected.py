@@ -181,6 +181,15 @@ def inclusion(weights: DataFrame, draws: DataFrame, law: str = "fisher") -> Data
     return weights.join(F.broadcast(draws), "branch_id").groupBy("branch_id").applyInPandas(run, f"{kinds}, weight double")
 
 
+def urn_overlap(weights: DataFrame, draws: DataFrame, pairs: DataFrame, law: str = "fisher") -> DataFrame:
+    """branch_id_1, branch_id_2, expected: sites that two branches' urns share on average, the sum of products of their inclusion probabilities."""
+    p = inclusion(weights, draws, law)
+    x = p.select(F.col("branch_id").alias("branch_id_1"), "site", F.col("weight").alias("w1"))
+    y = p.select(F.col("branch_id").alias("branch_id_2"), "site", F.col("weight").alias("w2"))
+    met = x.join(y, "site").where("branch_id_1 < branch_id_2").join(pairs, ["branch_id_1", "branch_id_2"], "left_semi").groupBy("branch_id_1", "branch_id_2").agg(F.sum(F.col("w1") * F.col("w2")).alias("expected"))
+    return pairs.select("branch_id_1", "branch_id_2").join(met, ["branch_id_1", "branch_id_2"], "left").fillna(0.0, ["expected"])
+
+
 def permuted_overlaps(weights: DataFrame, draws: DataFrame, pairs: DataFrame, rounds: int, seed: int = 1) -> DataFrame:
     """branch_id_1, branch_id_2, round, overlap: sites that two branches share when each draws its own without replacement.
 

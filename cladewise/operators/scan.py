@@ -93,6 +93,29 @@ def with_p(e: DataFrame) -> DataFrame:
     return e.withColumn("p", F.when(F.col("lrt") > 0, 0.5 * chi2_sf(F.col("lrt"))).otherwise(1.0))
 
 
+def opportunity(parents: DataFrame, rates: DataFrame, from_states: list, to_states: list, rescaled: bool) -> DataFrame:
+    """node, site, opportunity: a parent's states (node, site, state, p) weighted by the rates (a, d, rate; a <> d) of the changes that a candidate allows.
+
+    A state's weight is the sum of its positive, finite rates to the allowed
+    states; ``rescaled``: as a share of all its rates. Rates are few and broadcast.
+    """
+    good = rates.where((F.col("a") != F.col("d")) & (F.col("rate") > 0) & (F.col("rate") < F.lit(float("inf"))))
+    w = good.where(F.col("a").isin(from_states)).groupBy("a").agg(F.sum(F.when(F.col("d").isin(to_states), F.col("rate")).otherwise(0.0)).alias("k"), F.sum("rate").alias("all"))
+    w = w.select(F.col("a").alias("state"), (F.col("k") / F.col("all") if rescaled else F.col("k")).alias("w"))
+    return parents.join(F.broadcast(w), "state").groupBy("node", "site").agg(F.sum(F.col("p") * F.col("w")).alias("opportunity"))
+
+
+def result_order(scan: DataFrame) -> DataFrame:
+    """Scan rows by trait, match, p and quantile; what isn't known comes last."""
+    known = lambda c: F.when(~F.isnan(c), F.col(c)).asc_nulls_last()
+    return scan.orderBy("trait", "match", known("p"), known("quantile"), "site", "key_a", "key_d")
+
+
+def significant_rows(scan: DataFrame, alpha: float) -> DataFrame:
+    """Rows whose p is known and at most ``alpha``."""
+    return scan.where(F.col("p").isNotNull() & ~F.isnan("p") & (F.col("p") <= alpha))
+
+
 def conservation(states: DataFrame) -> DataFrame:
     """site, major, share, entropy (over the log of the number of states) and mass, from states (site, state, p) of the tips."""
     n = states.agg(F.count_distinct("state").alias("k"))

@@ -12,16 +12,12 @@ from pyspark.sql import functions as F
 from ..functions.numeric import at_least
 
 
-def parse(text: str) -> list[tuple[str, float]]:
-    """Pattern and least value of each clause; quotes and empty clauses are left out.
-
-    '|' within brackets, braces, parentheses or after a backslash belongs to a
-    pattern. Values must be finite.
-    """
-    clauses, open_, escaped, current = [], dict.fromkeys(")]}", 0), False, ""
+def clauses(text: str) -> list[str]:
+    """Clauses without quotes and empty ones; '|' within brackets, braces, parentheses or after a backslash belongs to a pattern."""
+    out, open_, escaped, current = [], dict.fromkeys(")]}", 0), False, ""
     for c in text:
         if c == "|" and not any(open_.values()) and not escaped:
-            clauses.append(current)
+            out.append(current)
             current = ""
             continue
         if not escaped and c in "([{":
@@ -30,10 +26,13 @@ def parse(text: str) -> list[tuple[str, float]]:
             open_[c] -= 1
         escaped = c == "\\" and not escaped
         current += c
+    return [c for c in (x.replace("'", "").replace('"', "").strip() for x in [*out, current]) if c]
+
+
+def parse(text: str) -> list[tuple[str, float]]:
+    """Pattern and least value of each clause; values must be finite."""
     out = []
-    for clause in [x.replace("'", "").replace('"', "").strip() for x in [*clauses, current]]:
-        if not clause:
-            continue
+    for clause in clauses(text):
         pattern, comma, value = (x.strip() for x in clause.rpartition(","))
         if not comma or not pattern or not value:
             raise ValueError(f"cut-off {clause!r} is not 'regex,value'")
