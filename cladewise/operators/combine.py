@@ -28,7 +28,7 @@ def independent(combinations: DataFrame, dependent: DataFrame, k: int) -> DataFr
     for i in range(1, k + 1):
         for j in range(i + 1, k + 1):
             a, b = F.col(f"branch_id_{i}"), F.col(f"branch_id_{j}")
-            c = c.join(F.broadcast(dependent), (F.least(a, b) == F.col("lo")) & (F.greatest(a, b) == F.col("hi")), "left_anti")
+            c = c.join(dependent, (F.least(a, b) == F.col("lo")) & (F.greatest(a, b) == F.col("hi")), "left_anti")
     return c
 
 
@@ -144,7 +144,7 @@ def max_distance(cb: DataFrame, distances: DataFrame, k: int) -> DataFrame:
     """The largest distance between two members, from distances (x, y, dist) with x < y."""
     for i in range(1, k + 1):
         for j in range(i + 1, k + 1):
-            d = F.broadcast(distances.select("x", "y", F.col("dist").alias(f"dist_{i}_{j}")))
+            d = distances.select("x", "y", F.col("dist").alias(f"dist_{i}_{j}"))
             cb = cb.join(d, (F.col(f"branch_id_{i}") == F.col("x")) & (F.col(f"branch_id_{j}") == F.col("y")), "left").drop("x", "y")
     each = [f"dist_{i}_{j}" for i in range(1, k + 1) for j in range(i + 1, k + 1)]
     return cb.withColumn("dist", F.greatest(*each) if len(each) > 1 else F.col(each[0])).drop(*each)

@@ -206,6 +206,6 @@ def permuted_overlaps(weights: DataFrame, draws: DataFrame, pairs: DataFrame, ro
     order = Window.partitionBy("branch_id", "round").orderBy("key", "site")
     drawn = drawn.withColumn("r", F.row_number().over(order)).join(F.broadcast(draws), "branch_id").where(F.col("r") <= size).select("branch_id", "round", "site")
     x, y = drawn.withColumnRenamed("branch_id", "branch_id_1"), drawn.withColumnRenamed("branch_id", "branch_id_2")
-    both = x.join(y, ["round", "site"]).join(F.broadcast(pairs), ["branch_id_1", "branch_id_2"]).groupBy("branch_id_1", "branch_id_2", "round").agg(F.count(F.lit(1)).alias("overlap"))
+    both = x.join(y, ["round", "site"]).join(pairs, ["branch_id_1", "branch_id_2"]).groupBy("branch_id_1", "branch_id_2", "round").agg(F.count(F.lit(1)).alias("overlap"))
     every = pairs.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
     return every.join(both, ["branch_id_1", "branch_id_2", "round"], "left").fillna(0, ["overlap"])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..plans.settled import settled
 from .combine import ids
+from .scan import KEYS
 
 
 def clade_bins(sizes: Iterable[int], least: int) -> list[int]:
@@ -87,9 +88,6 @@ def random_stems(spark: SparkSession, nodes: list[tuple[int, int | None, int]],
     return spark.range(1, rounds + 1).select(F.col("id").alias("round")).mapInPandas(run, "round long, branch_id long")
 
 
-KEYS = ["site", "match", "key_a", "key_d"]
-
-
 def permuted_enrichment(mass: DataFrame, rounds: DataFrame, branches: DataFrame) -> DataFrame:
     """KEYS, round, lrt of each candidate under each round's targets (candidate_fixed).
 

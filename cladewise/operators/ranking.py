@@ -15,6 +15,11 @@ from ..functions.numeric import finite
 from ..plans.settled import settled
 
 
+def _beside(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the statistics of their keys; without keys those are one row, else as many as there are keys and left to the planner."""
+    return df.join(stats, keys, "left") if keys else df.join(F.broadcast(stats))
+
+
 def running_counts(values: DataFrame, keys: list[str], value: str, buckets: int = 64, ranges: bool = False) -> DataFrame:
     """keys, value, n (rows of that value), below (rows with a smaller value); with ``ranges`` also part, the number of its range.
 
@@ -24,12 +29,12 @@ def running_counts(values: DataFrame, keys: list[str], value: str, buckets: int
     """
     n = values.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     cuts = n.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 1000).alias("cuts")) if keys else n.agg(F.percentile_approx(value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 1000).alias("cuts"))
-    placed = n.join(F.broadcast(cuts), keys) if keys else n.join(F.broadcast(cuts))
+    placed = _beside(n, cuts, keys)
     placed = placed.withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
     whole = placed.groupBy(*keys, "part").agg(F.sum("n").alias("m"))
     offsets = whole.withColumn("offset", F.sum("m").over((Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("part")) - F.col("m")).drop("m")
     within = F.sum("n").over(Window.partitionBy(*keys, "part").orderBy(value)) - F.col("n")
-    return placed.withColumn("within", within).join(F.broadcast(offsets), [*keys, "part"]).select(*keys, value, "n", (F.col("offset") + F.col("within")).alias("below"), *(["part"] if ranges else []))
+    return placed.withColumn("within", within).join(offsets if keys else F.broadcast(offsets), [*keys, "part"]).select(*keys, value, "n", (F.col("offset") + F.col("within")).alias("below"), *(["part"] if ranges else []))
 
 
 def average_rank(df: DataFrame, value: str, keys: list[str] | None = None, out: str = "avg_rank") -> DataFrame:
@@ -44,7 +49,7 @@ def rank_quantile(df: DataFrame, value: str, keys: list[str] | None = None, out:
     keys = keys or []
     n = df.where(finite(F.col(value))).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     ranked = average_rank(df, value, keys, "_r")
-    ranked = ranked.join(F.broadcast(n), keys, "left") if keys else ranked.join(F.broadcast(n))
+    ranked = _beside(ranked, n, keys)
     return ranked.withColumn(out, F.col("_r") / F.col("_n")).drop("_r", "_n")
 
 
@@ -62,7 +67,7 @@ def bh_qvalues(df: DataFrame, p: str, keys: list[str] | None = None, out: str =
     later = F.min("_least").over(every.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select(*keys, "part", F.sum("_m").over(every).alias("_n"), later.alias("_later"))
     within = F.min("raw").over(Window.partitionBy(*keys, "part").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
-    q = r.withColumn("_within", within).join(F.broadcast(parts), [*keys, "part"])
+    q = r.withColumn("_within", within).join(parts if keys else F.broadcast(parts), [*keys, "part"])
     q = q.select(*keys, p, F.least(F.least("_within", "_later") * F.col("_n"), F.lit(1.0)).alias(out))
     return df.join(q, [*keys, p], "left")
 
@@ -71,7 +76,7 @@ def z_scores(df: DataFrame, value: str, keys: list[str] | None = None, out: str
     """(x - mean) / population deviation over finite values; 0 where the deviation is within ``tol`` of 0."""
     keys = keys or []
     s = df.where(finite(F.col(value))).groupBy(*keys).agg(F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd"))
-    joined = df.join(F.broadcast(s), keys, "left") if keys else df.join(F.broadcast(s))
+    joined = _beside(df, s, keys)
     return joined.withColumn(out, F.when(F.col("_sd") <= tol, 0.0).when(finite(F.col(value)), (F.col(value) - F.col("_mu")) / F.col("_sd"))).drop("_mu", "_sd")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import chi2_sf, ieee_div
 
+KEYS = ["site", "match", "key_a", "key_d"]
 CLASSES = [f"{a}2{d}" for a in ("any", "spe", "dif") for d in ("any", "spe", "dif")]
 
 
@@ -52,12 +53,25 @@ def all_candidates(events: DataFrame, classes=tuple(CLASSES)) -> DataFrame:
     return out
 
 
-def _allowed(c: DataFrame, events: DataFrame) -> DataFrame:
-    """Candidates with the events they count: the state of a 'spe' side must agree, the other sides allow all."""
-    e = events.select("site", "branch_id", F.col("a").cast("string").alias("ea"), F.col("d").cast("string").alias("ed"), "pp")
-    j = c.select("site", "match", "key_a", "key_d").join(e, "site")
-    fits = lambda key, state: F.col(key).isin("any", "dif") | (F.col(key) == F.col(state))
-    return j.where(fits("key_a", "ea") & fits("key_d", "ed"))
+def branch_masses(c: DataFrame, events: DataFrame) -> DataFrame:
+    """KEYS, branch_id, m: each branch's mass over the events that a candidate counts.
+
+    The state of a 'spe' side must agree, the other sides allow all. Candidates
+    are split by which of their sides are 'spe'; for each of the four kinds
+    events are summed to what it tells apart and joined on just that, so a row
+    is a candidate and a branch, never an event that is thrown away.
+    """
+    keys = c.select(*KEYS).distinct()
+    open_ = lambda key: F.col(key).isin("any", "dif")
+    out = None
+    for a_spe in (True, False):
+        for d_spe in (True, False):
+            sides = {k: F.col(s).cast("string").alias(k) for k, s, spe in (("key_a", "a", a_spe), ("key_d", "d", d_spe)) if spe}
+            own = keys.where((open_("key_a") != F.lit(a_spe)) & (open_("key_d") != F.lit(d_spe)))
+            mass = events.groupBy("branch_id", "site", *sides.values()).agg(F.sum("pp").alias("m"))
+            part = own.join(mass, ["site", *sides]).select(*KEYS, "branch_id", "m")
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def support(c: DataFrame, events: DataFrame, units: DataFrame, min_pp: float, least: int) -> DataFrame:
@@ -65,10 +79,8 @@ def support(c: DataFrame, events: DataFrame, units: DataFrame, min_pp: float, le
 
     units: unit, branch_id (few). A branch's mass is summed over the states the candidate allows.
     """
-    keys = ["site", "match", "key_a", "key_d"]
-    mass = _allowed(c, events).groupBy(*keys, "branch_id").agg(F.sum("pp").alias("m"))
-    unit = mass.join(F.broadcast(units), "branch_id").groupBy(*keys, "unit").agg(F.max("m").alias("m")).where(F.col("m") >= min_pp)
-    return unit.groupBy(*keys).agg(F.count(F.lit(1)).alias("units"), F.array_sort(F.collect_list("unit")).alias("unit_ids"), F.avg("m").alias("mean_mass")).where(F.col("units") >= least)
+    unit = branch_masses(c, events).join(F.broadcast(units), "branch_id").groupBy(*KEYS, "unit").agg(F.max("m").alias("m")).where(F.col("m") >= min_pp)
+    return unit.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("units"), F.array_sort(F.collect_list("unit")).alias("unit_ids"), F.avg("m").alias("mean_mass")).where(F.col("units") >= least)
 
 
 def enrichment(c: DataFrame, events: DataFrame, branches: DataFrame) -> DataFrame:
@@ -77,10 +89,9 @@ def enrichment(c: DataFrame, events: DataFrame, branches: DataFrame) -> DataFram
     branches: branch_id, target (boolean), exposure. The statistic is 0 unless
     the target's rate is the larger; ``p`` is half the chi-squared tail.
     """
-    keys = ["site", "match", "key_a", "key_d"]
     total = branches.agg(F.sum(F.when(F.col("target"), F.col("exposure")).otherwise(0.0)).alias("lt"), F.sum(F.when(~F.col("target"), F.col("exposure")).otherwise(0.0)).alias("lo"))
-    e = _allowed(c, events).join(F.broadcast(branches), "branch_id").groupBy(*keys)
-    e = e.agg(F.sum(F.when(F.col("target"), F.col("pp")).otherwise(0.0)).alias("xt"), F.sum(F.when(~F.col("target"), F.col("pp")).otherwise(0.0)).alias("xo")).join(F.broadcast(total))
+    e = branch_masses(c, events).join(F.broadcast(branches), "branch_id").groupBy(*KEYS)
+    e = e.agg(F.sum(F.when(F.col("target"), F.col("m")).otherwise(0.0)).alias("xt"), F.sum(F.when(~F.col("target"), F.col("m")).otherwise(0.0)).alias("xo")).join(F.broadcast(total))
     pooled = (F.col("xt") + F.col("xo")) / (F.col("lt") + F.col("lo"))
     term = lambda x, n: F.when(F.col(x) > 0, F.col(x) * F.ln(F.col(x) / (F.col(n) * pooled))).otherwise(0.0)
     e = e.withColumns({"rate_t": ieee_div(F.col("xt"), F.col("lt")), "rate_o": ieee_div(F.col("xo"), F.col("lo"))})
