@@ -22,6 +22,15 @@ CHANGES = {
     11: {},
     12: {"CTG": "S"},
     13: {"AGA": "G", "AGG": "G", "ATA": "M", "TGA": "W"},
+    14: {"AAA": "N", "AGA": "S", "AGG": "S", "TAA": "Y", "TGA": "W"},
+    15: {"TAG": "Q"},
+    16: {"TAG": "L"},
+    21: {"AAA": "N", "AGA": "S", "AGG": "S", "ATA": "M", "TGA": "W"},
+    22: {"TAG": "L", "TCA": "*"},
+    23: {"TTA": "*"},
+    24: {"AGA": "S", "AGG": "K", "TGA": "W"},
+    25: {"TGA": "G"},
+    26: {"CTG": "A"},
 }
 #: IUPAC ambiguity codes.
 IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}

@@ -69,6 +69,19 @@ def expand(combinations: DataFrame, k: int, dependent: DataFrame | None = None)
     return out if dependent is None else independent(out, dependent, k + 1)
 
 
+def unions(sets: DataFrame, k: int) -> DataFrame:
+    """Combinations of ``k`` branches that are unions of two given sets (column members, an array) that share a member; sets of k are kept as they are.
+
+    Sets meet by their members, so no pair without a common one is formed.
+    """
+    s = sets.select(F.array_sort(F.array_distinct("members")).alias("m")).distinct()
+    part = s.select("m", F.explode("m").alias("b"))
+    other = part.withColumnRenamed("m", "n")
+    both = part.join(other, "b").where(F.array_join("m", ",") < F.array_join("n", ",")).select(F.array_sort(F.array_union("m", "n")).alias("m"))
+    out = both.unionByName(s).where(F.size("m") == k).distinct()
+    return out.select(*[F.col("m")[i].alias(c) for i, c in enumerate(ids(k))])
+
+
 def _met(projection: DataFrame, features: list[str], combinations: DataFrame, k: int) -> DataFrame:
     """ids, site, features, v: the product of the members' values wherever all of them have one.
 

@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.numeric import finite
 from ..plans.settled import settled
+from .expected import urn_expectation
 
 
 @F.pandas_udf(DoubleType())
@@ -41,6 +42,22 @@ def simulated_counts(df: DataFrame, keys: list[str], mean: str, rounds: int, dis
     return df.select(*keys, mean, F.xxhash64(F.lit(seed), *keys).alias("_seed")).mapInPandas(run, f"{kinds}, round int, count long")
 
 
+def poisson_overlaps(weights: DataFrame, totals: DataFrame, pairs: DataFrame, rounds: int, dispersion: float = 0.0, seed: int = 1) -> DataFrame:
+    """branch_id_1, branch_id_2, round, count: Poisson (or negative binomial) counts whose mean is the urns' expected overlap under each branch's own site weights."""
+    mean = urn_expectation(weights, totals, pairs)
+    every = pairs.select("branch_id_1", "branch_id_2").join(mean, ["branch_id_1", "branch_id_2"], "left").fillna(0.0, ["expected"])
+    return simulated_counts(every, ["branch_id_1", "branch_id_2"], "expected", rounds, dispersion, seed)
+
+
+def automatic_clip(scores: DataFrame, score: str, beta: float, share: float = 0.995, least: float = 1.5, most: float = 5.0) -> float:
+    """Where |beta * score| is clipped: its quantile ``share`` over sites that are there, between ``least`` and ``most``; least for a beta of 0 or less."""
+    if beta <= 0:
+        return least
+    v = F.abs(F.lit(beta) * F.col(score))
+    q = scores.where(finite(F.col(score))).agg(F.percentile(v, share)).first()[0]
+    return least if q is None else min(max(q, least), most)
+
+
 def dispersion_by_moments(df: DataFrame, observed: str, mean: str, least: int = 20, most: float = 10.0) -> float:
     """Median of ((o - m)^2 - m) / m^2 over rows with a positive mean, between 0 and ``most``; 0 for fewer than ``least`` rows."""
     x = (F.pow(F.col(observed) - F.col(mean), 2) - F.col(mean)) / F.pow(F.col(mean), 2)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import chi2_sf, ieee_div, rate
 from ..plans.settled import settled
-from .combine import counts, counts_of, ids, nan_below_root
+from .combine import counts_of, nan_below_root
+from .events import projections
 from .expected import closed_form_projections
 from .ranking import quantile_map
 
@@ -29,14 +30,16 @@ def observed_and_expected(observed: dict[str, DataFrame], vectors: dict[str, tup
     as for expected.closed_form_projections, so no table of all pairs of states
     is made unless spe2spe is asked for. Site categories are groups of the
     vectors and are summed over. Expected counts of combinations with a branch
-    right below the root (``below_root``) are NaN.
+    right below the root (``below_root``) are NaN. All channels meet in one
+    join, told apart by the statistic's name.
     """
-    cb = combinations.select(*ids(k))
-    for channel, events in observed.items():
-        cb = cb.join(counts(events, combinations, k, f"OC{channel}", stats), ids(k))
-    for channel, (parent, child) in vectors.items():
-        expected = settled(closed_form_projections(parent, child, stats))
-        cb = cb.join(counts_of(expected, combinations, k, f"EC{channel}", stats), ids(k))
+    parts = {f"OC{channel}": projections(events, stats) for channel, events in observed.items()}
+    parts |= {f"EC{channel}": closed_form_projections(parent, child, stats) for channel, (parent, child) in vectors.items()}
+    every = None
+    for prefix, p in parts.items():
+        p = p.withColumns({"stat": F.concat(F.lit(prefix), "stat"), "grp": F.col("grp").cast("int")})
+        every = p if every is None else every.unionByName(p)
+    cb = counts_of(settled(every), combinations, k, "", [f"{prefix}{s}" for prefix in parts for s in stats])
     return cb if below_root is None else nan_below_root(cb, below_root, k)
 
 

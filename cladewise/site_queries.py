@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import combine, events as ev, expected, permute, scan, site_tables, states as st, summaries
+from .operators import combine, events as ev, expected, permute, pseudocounts, scan, site_tables, states as st, summaries
 from .plans import statistics
-from .queries import EV, FREE, KEYS, SITES, _CB, branches, cb_table, events, free_pairs, query, r, t
+from .plans.settled import settled
+from .queries import EV, FREE, SITES, _CB, _OM, branches, cb_table, events, free_pairs, query, r, rate_table, t
 
 
 def tree(spark, sf):
@@ -289,3 +290,21 @@ def text_fields(spark, sf):
     number = text.residue_number(F.regexp_extract("c_name", "([0-9]+)$", 1))
     at = (F.col("c_custkey") % 5 + 1).cast("int")
     return c.select("c_custkey", number.alias("number"), text.species_label(F.col("c_name"), "^([A-Za-z]+)", 1).alias("species"), text.window_at(F.col("c_mktsegment"), at, 4)["text"].alias("around"))
+
+
+@query(f"""{_OM}, k AS (SELECT sum(ocn_any2any) AS a, sum(ocn_any2spe) AS b FROM ra) SELECT branch_id_1, branch_id_2, round((ocn_any2spe + 2 * b / a) / (ecn_any2spe + 2 * b / a), 6) AS dNC, round((ocs_any2spe + 2 * b / a) / (ecs_any2spe + 2 * b / a), 6) AS dSC,
+ round(((ocn_any2spe + 2 * b / a) / (ecn_any2spe + 2 * b / a)) / ((ocs_any2spe + 2 * b / a) / (ecs_any2spe + 2 * b / a)), 6) AS omegaC FROM ra, k""")
+def smoothed_rates(spark, sf):
+    """Rates of any2spe with a pseudocount of 2 spread over the statistics by their share of all events."""
+    cb = settled(rate_table(spark, sf))
+    alphas = pseudocounts.stat_alphas(pseudocounts.total_masses(cb, "OCN", "any2any,any2spe"), "any2spe", 2.0)
+    out = pseudocounts.add_smoothed_rates(cb, alphas)
+    return out.select(*combine.ids(2), *[F.round(f"{c}any2spe_smoothed", 6).alias(c) for c in ("dNC", "dSC", "omegaC")])
+
+
+@query("WITH p AS (SELECT n_nationkey AS i, n_nationkey + 5 AS j FROM nation WHERE n_nationkey + 5 < 25 UNION ALL SELECT n_nationkey, n_nationkey + 1 FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey + 1 < 25), u AS (SELECT DISTINCT list_sort(list_distinct([x.i, x.j, y.i, y.j])) AS m FROM p x JOIN p y ON (x.i, x.j) < (y.i, y.j)) SELECT CAST(m[1] AS INT) AS branch_id_1, CAST(m[2] AS INT) AS branch_id_2, CAST(m[3] AS INT) AS branch_id_3 FROM u WHERE len(m) = 3")
+def member_unions(spark, sf):
+    """Triples that are unions of two of the pairs (i, i + 5) and, for even i, (i, i + 1)."""
+    b = branches(spark, sf).select(F.col("branch_id").cast("int").alias("i"))
+    two = b.where("i + 5 < 25").selectExpr("array(i, i + 5) as members").union(b.where("i % 2 = 0 and i + 1 < 25").selectExpr("array(i, i + 1)"))
+    return combine.unions(two, 3)

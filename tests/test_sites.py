@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cladewise.functions import numeric, text
-from cladewise.operators import combine, events as ev, expected, permute, rates, site_tables, states as st, summaries
+from cladewise.functions import numeric, recoding, sequence, text
+from cladewise.operators import combine, events as ev, expected, nulls, permute, pseudocounts as pc, rates, site_tables, states as st, summaries
 from cladewise.plans import cutoff, set_expression, statistics
 from cladewise.sources import fasta, reports, tables
 
@@ -219,3 +219,37 @@ def test_site_tables(spark):
     assert [r.site for r in site_tables.set_sites(probs, "m", "p", 5).collect()] == [4, 1]
     numbered = site_tables.row_numbers(spark.range(1000).selectExpr("id * 7 % 1000 as k"), ["k"]).collect()
     assert all(r.k == r.number for r in numbered)
+
+
+def test_pseudocounts(spark):
+    assert pc.Pseudocount.of("auto", "Empirical").enabled and not pc.Pseudocount.of("0", "symmetric").enabled
+    for bad in (("-1", "none"), ("nan", "none"), ("1", "odd"), ("x", "none")):
+        with pytest.raises(ValueError):
+            pc.Pseudocount.of(*bad)
+    masses = {"any2any": 10.0, "spe2any": 6.0, "any2spe": 4.0, "spe2spe": 3.0}  # ss 3, sd 3, ds 1, dd 3
+    got = pc.stat_alphas(masses, "any2spe,dif2dif,any2any", 2.0)
+    assert np.allclose([got["any2spe"], got["dif2dif"], got["any2any"]], [0.8, 0.6, 2.0])
+    assert pc.stat_alphas({}, "any2spe", 2.0) == {"any2spe": 1.0} and pc.stat_alphas(masses, "any2spe", 2.0, "symmetric") == {"any2spe": 2.0}
+    cb = spark.createDataFrame([(0.0, 0.0, 1.0, 2.0), (1.0, 3.0, 0.0, 0.0)], "OCNx double, ECNx double, OCSx double, ECSx double")
+    raw = pc.add_smoothed_rates(cb, {"x": 0.0}).collect()
+    assert [raw[0].dNCx_smoothed, raw[0].omegaCx_smoothed, raw[1].dSCx_smoothed, raw[1].omegaCx_smoothed] == [0.0, 0.0, 0.0, math.inf]
+    one = pc.add_smoothed_rates(cb, {"x": 1.0}, "expected").collect()
+    assert [one[0].dNCx_smoothed, one[1].dNCx_smoothed, one[1].dSCx_smoothed] == [0.0, 0.25, 0.0]
+
+
+def test_codes_and_schemes():
+    assert sequence.genetic_code(22)["TCA"] == "*" and sequence.genetic_code(26)["CTG"] == "A" and sequence.genetic_code(14)["TAG"] == "*"
+    for name, groups in recoding.SCHEMES.items():
+        assert sorted("".join(groups)) == sorted(recoding.SCHEMES["none"]), name
+    assert recoding.classes("Dayhoff-18")["M"] == "ML" and recoding.classes("d6")["C"] == "C" and recoding.classes("no")["A"] == "A"
+
+
+def test_unions_and_nulls(spark):
+    sets = spark.createDataFrame([([1, 2],), ([2, 3],), ([5, 6],), ([7, 8, 9],), ([2, 1],)], "members array<int>")
+    assert {tuple(r) for r in combine.unions(sets, 3).collect()} == {(1, 2, 3), (7, 8, 9)}
+    w = spark.createDataFrame([(b, s, 0.5) for b in (0, 1) for s in (0, 1)], "branch_id int, site int, weight double")
+    n = spark.createDataFrame([(0, 4.0), (1, 6.0)], "branch_id int, sub double")
+    got = nulls.poisson_overlaps(w, n, spark.createDataFrame([(0, 1)], "branch_id_1 int, branch_id_2 int"), 3000)
+    assert abs(got.agg(F.avg("count")).first()[0] - 12.0) < 0.3  # 4 * 6 * 2 * 0.25
+    z = spark.createDataFrame([(float(x),) for x in range(101)], "z double")
+    assert nulls.automatic_clip(z, "z", 0.02) == pytest.approx(1.99) and nulls.automatic_clip(z, "z", 0.0) == 1.5 and nulls.automatic_clip(z, "z", 1.0) == 5.0
