@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,12 +29,16 @@ def written(df: DataFrame) -> DataFrame:
 BROADCAST_IDS = 100_000
 
 
-def without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``docs`` that have no equal ``keys`` (null equals null) in ``gone``; ``gone`` is broadcast if it is short."""
-    gone = written(gone.select(*[F.col(k).alias(f"gone_{k}") for k in keys]).distinct())
+def without(docs: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Rows of ``docs`` whose ``keys`` (expressions over docs, by a column of ``gone``) aren't in ``gone``; null equals null.
+
+    ``gone`` is broadcast if it is short.
+    """
+    taken = {c.lower() for c in docs.columns}
+    names = {k: next(n for n in (f"gone{'_' * i}_{k}" for i in range(len(taken) + 1)) if n.lower() not in taken) for k in keys}
+    gone = written(gone.select(*[F.col(k).alias(n) for k, n in names.items()]).distinct())
     small = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    on = [F.col(k).eqNullSafe(F.col(f"gone_{k}")) for k in keys]
-    return docs.join(small, on, "left_anti")
+    return docs.join(small, [x.eqNullSafe(F.col(names[k])) for k, x in keys.items()], "left_anti")
 
 
 def components(edges: DataFrame) -> DataFrame:
