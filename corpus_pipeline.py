@@ -17,8 +17,18 @@ from cladewise.llm._shared import without, written
 ORACLE_SQL = None
 
 
+def row_key() -> dict:
+    """What tells rows apart: the id and the text's hash."""
+    return {"doc_id": F.col("doc_id"), "text_hash": F.xxhash64("text")}
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the quality classifier scores 0.7 or more."""
+    """Keeps documents that the quality classifier scores 0.7 or more, learnt from labels outside the held-out fold.
+
+    The text alone decides, so repeated rows stay or go together whatever their
+    ids; a null or empty text gets the score of the model's bias. An empty table
+    stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.pmod(toxicity.fold(), F.lit(4)) != 2)
     return quality.keep_quality(docs, labels)
 
@@ -31,11 +41,17 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     of one doc_id are judged apart. An empty table stays empty.
     """
     classes = jaccard_join.jaccard_components(docs, n=5, num=80, den=100)
-    return without(docs.withColumn("_text_hash", F.xxhash64("text")), classes.where("not leads").withColumnRenamed("text_hash", "_text_hash"), ["doc_id", "_text_hash"]).drop("_text_hash")
+    return without(docs, classes.where("not leads"), row_key())
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts word sequences that an earlier document has; a document of which nothing is left goes."""
+    """Cuts word sequences that a document with a smaller id has; a document of which nothing is left goes.
+
+    A text that is cut has its other words joined by one space, and n_chars
+    follows; one that isn't is left as it is. Null, empty and blank texts stay;
+    a null doc_id counts as the largest; rows of one doc_id don't cut each
+    other. An empty table stays empty.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     out = substring_dedup.dedup_substrings(docs, carry=others)
     out = out.where("n_removed = 0 or n_removed < n_words").withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
@@ -44,13 +60,21 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more lies in benchmark windows go."""
+    """Documents of which a twentieth or more lies in benchmark windows go.
+
+    Documents without words stay; repeated rows stay or go together, different
+    texts of one doc_id and rows with a null doc_id are judged apart. Empty
+    tables and an empty benchmark change nothing.
+    """
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
-    return without(docs.withColumn("text_hash", F.xxhash64("text")), found, ["doc_id", "text_hash"]).drop("text_hash")
+    return without(docs, found, row_key())
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with the proof that they decode to its text."""
+    """Token ids of each document, with the proof that they decode to its text.
+
+    A row for each row; a null text has null ids, an empty one none.
+    """
     return sentencepiece_viterbi.encode(docs)
 
 
