@@ -81,3 +81,11 @@ def state_change(before: Column, after: Column, site: Column) -> Column:
     """'A12G'; a side that is 'any' or null is left out, 'dif' is written as it is."""
     side = lambda c: F.when(c.isNull() | (c == "any"), "").otherwise(c)
     return F.concat(side(before), site.cast("string"), side(after))
+
+
+def translate_ungapped(sequence: Column, ncbi_id: int = 1) -> Column:
+    """Amino acids of a coding sequence without gaps; fails on a length that isn't a multiple of three and on unknown codons when the rows are used."""
+    code = F.create_map(*[F.lit(x) for kv in genetic_code(ncbi_id).items() for x in kv])
+    one = lambda c: F.coalesce(F.try_element_at(code, F.regexp_replace(c, "U", "T")), F.raise_error(F.concat(F.lit("unknown codon "), c)).cast("string"))
+    text = F.array_join(F.transform(codons(sequence), one), "")
+    return F.when(F.length(sequence) % 3 == 0, text).otherwise(F.raise_error(F.lit("a coding sequence's length must be a multiple of three")).cast("string"))

@@ -32,13 +32,22 @@ def eigen(q: np.ndarray, pi: np.ndarray):
     return vectors / r[:, None], values, vectors.T * r[None, :]
 
 
-def expected_states(parents: DataFrame, q: np.ndarray, pi: np.ndarray) -> DataFrame:
-    """branch_id, site, p (array): each parent's state vector after the branch's time at the site's rate.
+def eigen_general(q: np.ndarray):
+    """left, values, right as for ``eigen``, of a rate matrix that need not be reversible; they may be complex, and the product's real part counts."""
+    values, vectors = np.linalg.eig(q)
+    back = np.linalg.inv(vectors)
+    if not np.allclose((vectors * values) @ back, q, atol=1e-8 * max(1.0, np.abs(q).max())):
+        raise ValueError("the rate matrix has no full set of eigenvectors")
+    return vectors, values, back
+
+
+def expected_states(parents: DataFrame, q: np.ndarray, pi: np.ndarray | None = None) -> DataFrame:
+    """branch_id, site, p (array): each parent's state vector after the branch's time at the site's rate (pi of None: a rate matrix that isn't reversible).
 
     parents: branch_id, site, p (array over states), t, rate. A time below 1e-9
     gives no row, so nothing is expected there.
     """
-    shared = parents.sparkSession.sparkContext.broadcast(eigen(q, pi))
+    shared = parents.sparkSession.sparkContext.broadcast(eigen_general(q) if pi is None else eigen(q, pi))
 
     def run(batches):
         left, values, right = shared.value
@@ -46,7 +55,7 @@ def expected_states(parents: DataFrame, q: np.ndarray, pi: np.ndarray) -> DataFr
             if len(pdf):
                 p = np.stack(pdf["p"].to_numpy())
                 moved = (p @ left) * np.exp((pdf["t"] * pdf["rate"]).to_numpy()[:, None] * values[None, :])
-                yield pd.DataFrame({"branch_id": pdf["branch_id"], "site": pdf["site"], "p": list(np.clip(moved @ right, 0, None))})
+                yield pd.DataFrame({"branch_id": pdf["branch_id"], "site": pdf["site"], "p": list(np.clip((moved @ right).real, 0, None))})
 
     return parents.where("t >= 1e-9").select("branch_id", "site", "p", "t", "rate").mapInPandas(run, "branch_id int, site int, p array<double>")
 
@@ -190,8 +199,8 @@ def urn_overlap(weights: DataFrame, draws: DataFrame, pairs: DataFrame, law: str
     return pairs.select("branch_id_1", "branch_id_2").join(met, ["branch_id_1", "branch_id_2"], "left").fillna(0.0, ["expected"])
 
 
-def permuted_overlaps(weights: DataFrame, draws: DataFrame, pairs: DataFrame, rounds: int, seed: int = 1) -> DataFrame:
-    """branch_id_1, branch_id_2, round, overlap: sites that two branches share when each draws its own without replacement.
+def permuted_overlaps(weights: DataFrame, draws: DataFrame, pairs: DataFrame, rounds: int, seed: int = 1, first: int = 1) -> DataFrame:
+    """branch_id_1, branch_id_2, round (``first`` to ``rounds``), overlap: sites that two branches share when each draws its own without replacement.
 
     Each (branch, round) draws from a stream seeded by the seed, branch and
     round, so the result doesn't depend on partitions. Sampling is by
@@ -202,10 +211,10 @@ def permuted_overlaps(weights: DataFrame, draws: DataFrame, pairs: DataFrame, ro
     uniform = lambda *c: (F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(2**40)) + 0.5) / float(2**40)
     u, up = uniform("branch_id", "site", "round"), uniform("branch_id", "round", F.lit("size"))
     size = F.floor("n") + (up < F.col("n") - F.floor("n")).cast("long")
-    drawn = weights.where("weight > 0").withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("key", -F.ln(u) / F.col("weight"))
+    drawn = weights.where("weight > 0").withColumn("round", F.explode(F.sequence(F.lit(first), F.lit(rounds)))).withColumn("key", -F.ln(u) / F.col("weight"))
     order = Window.partitionBy("branch_id", "round").orderBy("key", "site")
     drawn = drawn.withColumn("r", F.row_number().over(order)).join(F.broadcast(draws), "branch_id").where(F.col("r") <= size).select("branch_id", "round", "site")
     x, y = drawn.withColumnRenamed("branch_id", "branch_id_1"), drawn.withColumnRenamed("branch_id", "branch_id_2")
     both = x.join(y, ["round", "site"]).join(pairs, ["branch_id_1", "branch_id_2"]).groupBy("branch_id_1", "branch_id_2", "round").agg(F.count(F.lit(1)).alias("overlap"))
-    every = pairs.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    every = pairs.withColumn("round", F.explode(F.sequence(F.lit(first), F.lit(rounds))))
     return every.join(both, ["branch_id_1", "branch_id_2", "round"], "left").fillna(0, ["overlap"])

@@ -92,3 +92,25 @@ def empirical_p(observed: DataFrame, permuted: DataFrame, keys: list[str], value
     g = observed.join(v, keys, "left").groupBy(*keys, value).agg(F.count_if(F.col("_v") >= F.col(value)).alias("ge"), F.count("_v").alias("n"))
     one = 1 if smoothed else 0
     return g.withColumn("p", (F.col("ge") + one) / F.nullif(F.col("n") + one, F.lit(0)))
+
+
+def staged_p(observed: DataFrame, keys: list[str], value: str, draw, schedule: tuple[int, ...] = (100, 1000), edge: int = 5) -> DataFrame:
+    """keys, value, ge, n, p of rows against null rounds that are added in stages.
+
+    ``draw`` takes rows (keys) and the first and last number of the rounds, and
+    returns keys, round and ``value``. ``schedule``: rounds in all after each
+    stage. Only rows with at most ``edge`` rounds at or above their value, whose
+    p is still coarse, go on to the next stage. p = (ge + 1) / (n + 1).
+    """
+    if not schedule or list(schedule) != sorted(set(schedule)) or schedule[0] < 1:
+        raise ValueError("the schedule must rise")
+    active, done, before = observed.select(*keys, value, F.lit(0).cast("long").alias("ge"), F.lit(0).cast("long").alias("n")), None, 0
+    for total in schedule:
+        null = draw(active.select(*keys), before + 1, total).select(*keys, F.col(value).alias("_v"))
+        met = active.join(null, keys, "left").groupBy(*keys, value, "ge", "n").agg(F.count_if(F.col("_v") >= F.col(value)).alias("_g"), F.count("_v").alias("_k"))
+        rows = settled(met.select(*keys, value, (F.col("ge") + F.col("_g")).alias("ge"), (F.col("n") + F.col("_k")).alias("n")))
+        coarse = (F.col("ge") <= edge) | (F.col("n") == 0)
+        last = total == schedule[-1]
+        finished = rows if last else rows.where(~coarse)
+        done, active, before = finished if done is None else done.unionByName(finished), rows.where(coarse), total
+    return done.withColumn("p", (F.col("ge") + 1) / (F.col("n") + 1))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import combine, events as ev, expected, permute, pseudocounts, scan, site_tables, states as st, summaries
+from .operators import combine, events as ev, expected, permute, pseudocounts, rates, scan, site_tables, states as st, summaries
 from .plans import statistics
 from .plans.settled import settled
 from .queries import EV, FREE, SITES, _CB, _OM, branches, cb_table, events, free_pairs, query, r, rate_table, t
@@ -308,3 +308,16 @@ def member_unions(spark, sf):
     b = branches(spark, sf).select(F.col("branch_id").cast("int").alias("i"))
     two = b.where("i + 5 < 25").selectExpr("array(i, i + 5) as members").union(b.where("i % 2 = 0 and i + 1 < 25").selectExpr("array(i, i + 1)"))
     return combine.unions(two, 3)
+
+
+@query()
+def staged_pvalues(spark, sf):
+    """Empirical p of each pair's number of shared sites, permuted 20 times and, where that leaves it coarse, 60 times."""
+    sub = events(spark, sf).groupBy("branch_id", "site").agg(F.sum("pp").alias("sub"))
+    have = sub.where("sub >= 0.3").select("branch_id", "site")
+    weights = settled(expected.site_weights(sub, SITES).select("branch_id", "site", "weight"))
+    draws = settled(have.groupBy("branch_id").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    x, y = have.withColumnRenamed("branch_id", "branch_id_1"), have.withColumnRenamed("branch_id", "branch_id_2")
+    pairs = free_pairs(spark, sf)
+    observed = pairs.join(x.join(y, "site").groupBy(*combine.ids(2)).agg(F.count(F.lit(1)).alias("overlap")), combine.ids(2), "left").fillna(0, ["overlap"])
+    return rates.staged_p(observed, combine.ids(2), "overlap", lambda rows, a, b: expected.permuted_overlaps(weights, draws, rows, b, first=a), (20, 60), 1)

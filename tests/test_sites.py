@@ -253,3 +253,42 @@ def test_unions_and_nulls(spark):
     assert abs(got.agg(F.avg("count")).first()[0] - 12.0) < 0.3  # 4 * 6 * 2 * 0.25
     z = spark.createDataFrame([(float(x),) for x in range(101)], "z double")
     assert nulls.automatic_clip(z, "z", 0.02) == pytest.approx(1.99) and nulls.automatic_clip(z, "z", 0.0) == 1.5 and nulls.automatic_clip(z, "z", 1.0) == 5.0
+
+
+def test_staged_p(spark):
+    """Rows go on only while their p is coarse, and rounds are not drawn twice."""
+    observed = spark.createDataFrame([(0, 5), (1, 50), (2, 1000)], "k int, v int")
+    asked = []
+
+    def draw(rows, first, last):
+        asked.append((sorted(r.k for r in rows.collect()), first, last))
+        return rows.withColumn("round", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("v", F.col("round"))
+
+    got = {r.k: (r.ge, r.n, r.p) for r in rates.staged_p(observed, ["k"], "v", draw, (10, 60, 100), 5).collect()}
+    assert got == {0: (6, 10, 7 / 11), 1: (11, 60, 12 / 61), 2: (0, 100, 1 / 101)}
+    assert asked == [([0, 1, 2], 1, 10), ([1, 2], 11, 60), ([2], 61, 100)]
+    for bad in ((), (5, 5), (0,)):
+        with pytest.raises(ValueError):
+            rates.staged_p(observed, ["k"], "v", draw, bad)
+
+
+def test_general_eigenvectors(spark):
+    q = np.array([[-3.0, 2, 1], [0.5, -1, 0.5], [1, 3, -4]])
+    left, values, right = expected.eigen_general(q)
+    step, term = np.eye(3), np.eye(3)
+    for k in range(1, 60):
+        term = term @ q * 0.3 / k
+        step = step + term
+    assert np.allclose(((left * np.exp(values * 0.3)) @ right).real, step)
+    with pytest.raises(ValueError):
+        expected.eigen_general(np.array([[-1.0, 1, 0], [0, -1, 1], [0, 0, -1]]))
+    got = expected.expected_states(spark.createDataFrame([(1, 0, [1.0, 0.0, 0.0], 0.3, 1.0)], "branch_id int, site int, p array<double>, t double, rate double"), q).first().p
+    assert np.allclose(got, step[0])
+
+
+def test_ungapped_translation(spark):
+    df = spark.createDataFrame([("ATGAAAUAA",), ("",)], "s string")
+    assert [r[0] for r in df.select(sequence.translate_ungapped(F.col("s"))).collect()] == ["MK*", ""]
+    for bad in ("ATGA", "AT-"):
+        with pytest.raises(Exception, match="codon|length"):
+            spark.createDataFrame([(bad,)], "s string").select(sequence.translate_ungapped(F.col("s"))).collect()
