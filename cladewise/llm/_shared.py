@@ -18,11 +18,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: cuts its lineage and survives lost executors."""
+def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """The frame as a Parquet table in the shared folder, and where it lies: cuts its lineage and survives lost executors."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    return written_at(df)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table of written_at that no frame reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 #: Rows of ids that are broadcast at most; more are joined by a shuffle.
@@ -45,15 +55,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b).
 
     Rounds of least-neighbour labels with pointer jumping; each is written to
-    the shared folder, and only a count comes back to the driver.
+    the shared folder, after which the former one is deleted, and only a count
+    comes back to the driver.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
+    both, edge_path = written_at(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels, path = written_at(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
         stepped = labels.join(near, labels.node == near.a).select("node", F.least("component", "near").alias("up"), F.col("component").alias("was"))
         hop = labels.select(F.col("node").alias("up"), F.col("component").alias("top"))
-        new = written(stepped.join(hop, "up").select("node", F.least("up", "top").alias("component"), (F.least("up", "top") < F.col("was")).alias("changed")))
-        labels = new.select("node", "component")
+        new, new_path = written_at(stepped.join(hop, "up").select("node", F.least("up", "top").alias("component"), (F.least("up", "top") < F.col("was")).alias("changed")))
+        removed(edges.sparkSession, path)
+        labels, path = new.select("node", "component"), new_path
         if not new.where("changed").limit(1).count():
+            removed(edges.sparkSession, edge_path)
             return labels

@@ -18,10 +18,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _rounds as R
+from ._shared import written
 from ._text import _BYTE, flat, mix, pack, pieces, span_hashes, windows
 
 _OUT = "doc_id long, text string, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
@@ -202,3 +203,128 @@ def dedup_suffixes(docs: DataFrame, width: int = 200, slice_bytes: int = R.SLICE
     second = R.with_answers(slices, first, batch, R.SENT).groupBy("bucket").applyInArrow(_scan_shard, R.ANSWER)
     both = first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
     return R.with_answers(slices, both, cut, _OUT)
+
+
+#: One row of a level or batch: a shard's suffixes in order, as first eight bytes and hash of ``width`` bytes, and whose they are.
+_LEVEL = "shard int, heads binary, marks binary, owners binary"
+_LEVEL_ARROW = pa.schema([("shard", pa.int32()), ("heads", pa.binary()), ("marks", pa.binary()), ("owners", pa.binary())])
+_MATCHED = "slice int, starts binary"
+_MATCHED_ARROW = pa.schema([("slice", pa.int32()), ("starts", pa.binary())])
+
+
+def _columns(table: pa.Table) -> list[np.ndarray]:
+    kinds = (("heads", ">u8"), ("marks", "u8"), ("owners", "u8"))
+    return [np.concatenate([np.frombuffer(x, k) for x in table[c].to_pylist()] or [np.zeros(0, k)]) for c, k in kinds]
+
+
+def _level_row(shard: int, columns: list[np.ndarray]) -> pa.Table:
+    order = np.lexsort((columns[1], columns[0]))
+    return pa.table([pa.array([shard], pa.int32()), *[pa.array([c[order].astype(k).tobytes()], pa.binary()) for c, k in zip(columns, (">u8", "u8", "u8"), strict=True)]], schema=_LEVEL_ARROW)
+
+
+class SuffixFamily:
+    """A logarithmic family of suffix arrays that lies in the shared folder and takes new batches of documents.
+
+    ``add`` orders the batch's suffixes (by their first eight bytes, then by a
+    hash of their first ``width`` bytes), merge-scans them against every level
+    there is, stores them as the lowest level, and merges levels of like size,
+    so a suffix is merged a logarithmic number of times. Suffixes are dealt to
+    ``shards`` by hash; a level has one row for each shard. Here every suffix is
+    kept, as any of them may meet a later batch.
+    """
+
+    def __init__(self, spark: SparkSession, width: int = 200, shards: int = 16):
+        self.spark, self.width, self.shards = spark, width, shards
+        self.levels: list[tuple[int, DataFrame]] = []
+
+    def add(self, docs: DataFrame, slice_bytes: int = R.SLICE_BYTES) -> DataFrame:
+        """doc_id, text, n_bytes, spans of the batch's rows: spans of bytes covered by ``width``-byte strings that occur elsewhere in this batch or in an earlier one.
+
+        Takes doc_id and text. A null text has no bytes; rows with equal or null
+        doc_id are separate documents; an empty batch gives no rows.
+        """
+        width, shards = self.width, self.shards
+        slices, _, _ = R.sliced(docs, slice_bytes)
+
+        def suffixes(key, table):
+            number, rows = key[0].as_py(), []
+            data, offsets = flat(R.in_order(table)["text"])
+            for a, b in pieces(offsets):
+                part, sizes = data[offsets[a] : offsets[b]], np.diff(offsets)[a:b]
+                start, _ = windows(part, sizes, width)
+                if not len(start):
+                    continue
+                head = np.zeros(len(start), np.uint64)
+                for k in range(min(8, width)):
+                    head = (head << np.uint64(8)) | part[start + k]
+                mark = span_hashes(_BYTE[part], start, start + width)
+                owner = np.uint64(number) << np.uint64(32) | (start + offsets[a]).astype(np.uint64)
+                shard = (mark % np.uint64(shards)).astype(np.int64)
+                rows += [_level_row(s, [c[shard == s] for c in (head, mark, owner)]) for s in np.unique(shard)]
+            return pa.concat_tables(rows) if rows else _LEVEL_ARROW.empty_table()
+
+        def ordered(key, table):
+            return _level_row(key[0].as_py(), _columns(table))
+
+        batch = written(slices.groupBy("slice").applyInArrow(suffixes, _LEVEL).groupBy("shard").applyInArrow(ordered, _LEVEL))
+        met = batch.groupBy("shard").applyInArrow(_scan_within, _MATCHED)
+        for _, level in self.levels:
+            other = level.select(F.col("shard").alias("shard"), F.col("heads").alias("heads"), F.col("marks").alias("marks"))
+            met = met.unionByName(batch.groupBy("shard").cogroup(other.groupBy("shard")).applyInArrow(_scan_level, _MATCHED))
+        met = written(met)
+        self._keep(batch)
+
+        def spans(number, table, matched):
+            data, offsets = flat(table["text"])
+            cover = np.zeros(len(data) + 1, np.int32)
+            for starts in {x for m in matched for x in np.frombuffer(m["starts"], np.uint32).tolist()}:
+                cover[starts] += 1
+                cover[min(starts + width, len(data))] -= 1
+            gone, out = np.cumsum(cover[:-1]) > 0, []
+            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone[a:b].view(np.int8), [0]])))
+                out.append([{"start": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)])
+            return pa.table([table["doc_id"].cast(pa.int64()), table["text"].cast(pa.string()), pa.array(np.diff(offsets)), pa.array(out, _SPANS)], names=["doc_id", "text", "n_bytes", "spans"])
+
+        return R.with_answers(slices, met, spans, "doc_id long, text string, n_bytes long, spans array<struct<start: long, end: long>>")
+
+    def _keep(self, batch: DataFrame) -> None:
+        size = int(batch.agg(F.sum(F.octet_length("marks") / 8)).first()[0] or 0)
+        if not size:
+            return
+        self.levels.append((size, batch))
+        while len(self.levels) > 1 and self.levels[-2][0] <= 2 * self.levels[-1][0]:
+            (n, x), (m, y) = self.levels[-2:]
+            merged = x.unionByName(y).groupBy("shard").applyInArrow(lambda key, table: _level_row(key[0].as_py(), _columns(table)), _LEVEL)
+            self.levels[-2:] = [(n + m, written(merged))]
+
+
+def _matched(owners: np.ndarray) -> pa.Table:
+    """Rows of (slice, starts) from owners' numbers."""
+    owners = np.unique(owners)
+    at = np.flatnonzero(np.diff(np.concatenate([[-1], (owners >> np.uint64(32)).astype(np.int64)])))
+    return R.as_table([{"slice": int(p[0] >> np.uint64(32)), "starts": (p & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()} for p in np.split(owners, at[1:]) if len(p)], _MATCHED_ARROW)
+
+
+def _scan_within(table):
+    """Neighbours in suffix order that share a whole prefix."""
+    heads, marks, owners = _columns(table)
+    same = (heads[1:] == heads[:-1]) & (marks[1:] == marks[:-1])
+    hit = np.zeros(len(heads), bool)
+    hit[1:] |= same
+    hit[:-1] |= same
+    return _matched(owners[hit])
+
+
+def _scan_level(batch, level):
+    """Merges a batch's order with a level's: its suffixes that stand beside an equal prefix of the level."""
+    if not len(batch) or not len(level):
+        return _MATCHED_ARROW.empty_table()
+    heads, marks, owners = _columns(batch)
+    old = [np.concatenate([np.frombuffer(x, k) for x in level[c].to_pylist()]) for c, k in (("heads", ">u8"), ("marks", "u8"))]
+    order = np.lexsort((np.concatenate([old[1], marks]), np.concatenate([old[0], heads])))
+    every, of = (np.concatenate([o, n])[order] for o, n in ((old[0], heads), (old[1], marks)))
+    run = np.cumsum(np.concatenate([[True], (every[1:] != every[:-1]) | (of[1:] != of[:-1])])) - 1
+    known = np.bincount(run, order < len(old[0])) > 0  # runs of equal prefixes that the level has
+    mine = order >= len(old[0])
+    return _matched(owners[order[mine & known[run]] - len(old[0])])

@@ -89,6 +89,35 @@ def test_suffixes_odd_tables(spark):
     assert sorted((r.n_bytes, r.n_removed) for r in out) == [(100, 0), (250, 250)]
 
 
+@pytest.mark.parametrize("seed,width", [(12, 40), (13, 200)])
+def test_suffix_family_takes_batches(spark, seed, width):
+    """Each batch's spans against brute force over it and all earlier ones; levels of like size merge."""
+    rows = corpus(seed)
+    batches = [rows[k::4] for k in range(4)]
+    family = suffix_dedup.SuffixFamily(spark, width, 3)
+    assert family.add(spark.createDataFrame([], SCHEMA)).count() == 0 and not family.levels
+    seen, merged = [], 0
+    for k, batch in enumerate(batches):
+        got = family.add(spark.createDataFrame(batch, SCHEMA), 4000)
+        known = {t[p : p + width] for t in seen for p in range(len(t) - width + 1)}
+        texts = {i: (t or "").encode() for i, t, *_ in batch}
+        count = {}
+        for t in texts.values():
+            for p in range(len(t) - width + 1):
+                count[t[p : p + width]] = count.get(t[p : p + width], 0) + 1
+        for r in got.collect():
+            t, cover = texts[r.doc_id], set()
+            for p in range(len(t) - width + 1):
+                if t[p : p + width] in known or count[t[p : p + width]] > 1:
+                    cover |= set(range(p, p + width))
+            assert r.n_bytes == len(t) and {b for s in r.spans for b in range(s.start, s.end)} == cover
+        seen += texts.values()
+        sizes = [n for n, _ in family.levels]
+        assert sum(sizes) == sum(max(0, len(t) - width + 1) for t in seen) and all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+        merged += len(sizes) < k + 1
+    assert merged
+
+
 def shingles(t, n):
     w = [bytes(x).lower() for x in words(t)]
     return frozenset([tuple(w)] if 0 < len(w) < n else [tuple(w[k : k + n]) for k in range(len(w) - n + 1)])
