@@ -153,7 +153,7 @@ class _Slice:
         return np.concatenate(at), fine[first], coarse[first], number, twice, copied
 
 
-def dedup_suffixes(docs: DataFrame, width: int = 200, slice_bytes: int = R.SLICE_BYTES) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, width: int = 200, slice_bytes: int = R.SLICE_BYTES // 2) -> DataFrame:
     """Removes each byte covered by a ``width``-byte string that also starts anywhere else.
 
     Takes doc_id and text (other columns are left out). Returns doc_id, text,
