@@ -70,14 +70,18 @@ def closed_form_projections(parent: DataFrame, child: DataFrame, stats=tuple(FEA
     keys = ["branch_id", "site", "grp"]
     state = F.col("state").cast("string").alias("state")
     up, down = parent.select(*keys, state, F.col("p").alias("pp")), child.select(*keys, state, F.col("p").alias("pc"))
-    both = up.join(down, [*keys, "state"], "full").fillna(0.0, ["pp", "pc"])
-    sums = both.groupBy(*keys).agg(F.sum("pp").alias("sp"), F.sum("pc").alias("sc"), F.sum(F.col("pp") * F.col("pc")).alias("same"))
+    none, own, nothing = F.lit(""), F.col("state"), F.lit(0.0)
+    both = up.withColumn("pc", nothing).unionByName(down.withColumn("pp", nothing)).groupBy(*keys, "state").agg(F.sum("pp").alias("pp"), F.sum("pc").alias("pc"))
+    w = Window.partitionBy(*keys)
+    both = both.withColumns({"sp": F.sum("pp").over(w), "sc": F.sum("pc").over(w), "same": F.sum(F.col("pp") * F.col("pc")).over(w), "first": F.min("state").over(w)})
     form = lambda stat, a, d, v: F.struct(F.lit(stat).alias("stat"), a.alias("a"), d.alias("d"), v.alias("v"))
-    none, own = F.lit(""), F.col("state")
-    rows = [sums.select(*keys, form("any2any", none, none, F.col("sp") * F.col("sc") - F.col("same")).alias("x"))] if "any2any" in stats else []
-    sided = {"spe2any": form("spe2any", own, none, F.col("pp") * (F.col("sc") - F.col("pc"))), "any2spe": form("any2spe", none, own, F.col("pc") * (F.col("sp") - F.col("pp")))}
-    if any(s in stats for s in sided):
-        rows.append(both.join(sums, keys).select(*keys, F.explode(F.array(*[x for s, x in sided.items() if s in stats])).alias("x")))
+    forms = {
+        "any2any": form("any2any", none, none, F.when(own == F.col("first"), F.col("sp") * F.col("sc") - F.col("same"))),
+        "spe2any": form("spe2any", own, none, F.col("pp") * (F.col("sc") - F.col("pc"))),
+        "any2spe": form("any2spe", none, own, F.col("pc") * (F.col("sp") - F.col("pp"))),
+    }
+    wanted = [x for s, x in forms.items() if s in stats]
+    rows = [both.select(*keys, F.explode(F.array(*wanted)).alias("x"))] if wanted else []
     if "spe2spe" in stats:
         to = down.withColumnRenamed("state", "to")
         rows.append(up.join(to, keys).where("state <> to").select(*keys, form("spe2spe", own, F.col("to"), F.col("pp") * F.col("pc")).alias("x")))

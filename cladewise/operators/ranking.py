@@ -23,14 +23,18 @@ def _beside(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
 def running_counts(values: DataFrame, keys: list[str], value: str, buckets: int = 64, ranges: bool = False) -> DataFrame:
     """keys, value, n (rows of that value), below (rows with a smaller value); with ``ranges`` also part, the number of its range.
 
-    Rows are counted per value, values are cut into ``buckets`` ranges by
+    Rows are counted per value, values are cut into ``buckets`` ranges (a multiple of 8) by
     approximate quantiles, and a window runs over each (keys, range): no task
     sees more than a range of distinct values.
     """
     n = values.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     cuts = n.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 1000).alias("cuts")) if keys else n.agg(F.percentile_approx(value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 1000).alias("cuts"))
+    # a value's range is found among every eighth cut, then among the seven behind that one
+    eighths = F.array(*[F.get("cuts", F.lit(i)) for i in range(7, buckets - 1, 8)]).alias("eighths")
+    cuts = cuts.select(*keys, eighths, F.array(*[F.slice("cuts", 8 * k + 1, 7) for k in range(buckets // 8)]).alias("fine"))
     placed = _beside(n, cuts, keys)
-    placed = placed.withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
+    below = lambda c: F.size(F.filter(c, lambda x: x < F.col(value)))
+    placed = placed.withColumn("_k", below("eighths")).withColumn("part", 8 * F.col("_k") + below(F.get("fine", F.col("_k")))).drop("eighths", "fine", "_k")
     whole = placed.groupBy(*keys, "part").agg(F.sum("n").alias("m"))
     offsets = whole.withColumn("offset", F.sum("m").over((Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("part")) - F.col("m")).drop("m")
     within = F.sum("n").over(Window.partitionBy(*keys, "part").orderBy(value)) - F.col("n")

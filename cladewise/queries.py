@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .functions import numeric, sequence
 from .operators import combine, events as ev, expected, ranking, rates, scan, sites, states as st, traits
 from .plans import cutoff, set_expression
+from .plans.settled import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -237,8 +238,8 @@ def channels(spark, sf):
     n = t(spark, sf, "nation")
     w = x.selectExpr("s_nationkey", "cast(l_partkey % 97 as int) as site", "cast(l_linenumber % 4 as int) as state", "l_extendedprice").groupBy("s_nationkey", "site", "state").agg(F.sum("l_extendedprice").alias("w"))
     w = w.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.explode(F.array(F.col("s_nationkey").cast("int"), (F.col("n_regionkey") + 100).cast("int"))).alias("node"), "site", "state", "w")
-    post = st.shares(w, ["node", "site"], "state", "w")
-    groups = spark.createDataFrame([(k, k // 2) for k in range(4)], "state int, grp int")
+    post = settled(st.shares(w, ["node", "site"], "state", "w"))  # read by both channels, as parents and as children
+    groups = spark.range(4).selectExpr("cast(id as int) as state", "cast(floor(id / 2) as int) as grp")
     aa = st.project_states(post, groups, ["node", "site"])
     parents = n.selectExpr("cast(n_nationkey as int) as node", "cast(n_regionkey + 100 as int) as parent")
     own_groups = groups.select(F.col("grp").alias("state"), F.lit(0).alias("grp")).distinct()

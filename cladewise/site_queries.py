@@ -18,7 +18,7 @@ from .queries import EV, FREE, SITES, _CB, _OM, branches, cb_table, events, free
 def tree(spark, sf):
     n = t(spark, sf, "nation").selectExpr("cast(n_nationkey as int) as node", "cast(n_regionkey + 100 as int) as parent")
     up = n.select(F.col("parent").alias("node"), F.lit(200).alias("parent")).distinct()
-    return n.unionByName(up).unionByName(spark.createDataFrame([(200, None)], "node int, parent int"))
+    return n.unionByName(up).unionByName(spark.range(1).selectExpr("200 as node", "cast(null as int) as parent"))
 
 
 def present(spark, sf):
