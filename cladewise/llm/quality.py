@@ -20,7 +20,7 @@ from ._text import SPACE, _BYTE, flat, mix, pieces, span_hashes, word_hashes, wo
 from .toxicity import training_sample
 
 #: Most training rows, and bytes of their texts, that are learned from; buckets; length of a vector; characters of n-grams.
-SAMPLE_ROWS, SAMPLE_BYTES, BUCKETS, DIM, GRAMS = 4_000, 24 << 20, 1 << 18, 8, (3, 5)
+SAMPLE_ROWS, SAMPLE_BYTES, BUCKETS, DIM, GRAMS = 4_000, 8 << 20, 1 << 18, 8, (3, 5)
 
 #: First learning rates of vectors (a bucket's share of a text scales its gradient down), layer and bias; they fall to 0.
 RATES = (20.0, 0.4, 0.04)
