@@ -28,8 +28,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LISTS = 3
 #: Windows of one rarest term in a row of the lookup table.
 LOOKUPS = 64
-#: Terms looked up in one pass over the documents; more are taken in blocks.
-TERMS_A_PASS = 20_000
+#: Most bits of the table by which words that are no term are passed over; it is broadcast, and no larger for more terms.
+MARK_BITS = 1 << 20
 #: A table of terms is broadcast only below this many bytes, as counted.
 BROADCAST_BYTES = 4 << 20
 
@@ -71,15 +71,47 @@ def lookup_table(ranked: DataFrame) -> DataFrame:
     return term.groupBy("term", "part").agg(F.collect_list(lookup).alias("lookups")).drop("part")
 
 
-def postings(docs: DataFrame, terms: list[str], first: list[str], reach: int) -> DataFrame:
-    """(doc_id, text_hash, term, at, before, around): each position of a term; those of ``first`` with ``reach`` words on both sides."""
+def terms_of(ranked: DataFrame) -> DataFrame:
+    """(term, first): words of the lists of ``rarest_terms``; first if one is the rarest of a window."""
+    return ranked.select(F.posexplode("lists.word").alias("place", "term")).groupBy("term").agg((F.min("place") == 0).alias("first"))
+
+
+def marks(terms: DataFrame) -> tuple[DataFrame, int]:
+    """One row of two bit tables, ``any`` and ``first``, in which the hashes of terms are set, and their number of bits."""
+    bits = 64
+    while bits < min(32 * terms.count(), MARK_BITS):
+        bits *= 2
+    place = F.pmod(F.xxhash64("term"), F.lit(bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    held = terms.groupBy(F.floor(place / 64).alias("id")).agg(F.bit_or(one).alias("any"), F.bit_or(F.when(F.col("first"), one).otherwise(0)).alias("first"))
+    every = terms.sparkSession.range(bits // 64).join(held, "id", "left").fillna(0).agg(F.array_sort(F.collect_list(F.struct("id", "any", "first"))).alias("t"))
+    return every.select(F.col("t.any").alias("any"), F.col("t.first").alias("first")), bits
+
+
+def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
+    """(doc_id, text_hash, row, term, at, before, around): each position of a term; those of first ones with ``reach`` words on both sides.
+
+    ``row`` tells apart the rows of ``docs``, equal ones too. A table of bits
+    passes over nearly all other words where they stand; the terms themselves
+    are then joined.
+    """
+    table, bits = marks(terms)
     # explode(array(...)) keeps the split from being inlined into the lambda, where it would run once a word
-    w = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.array(words(F.col("text")))).alias("words"))
-    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(terms))
-    hits = w.where(F.size("words") > 0).select("doc_id", "text_hash", "words", F.explode(at).alias("at"))
-    before, term = F.least("at", F.lit(reach)), F.get("words", F.col("at"))
-    around = F.when(term.isin(first), F.slice("words", F.col("at") - before + 1, before + 1 + reach))
-    return hits.select("doc_id", "text_hash", term.alias("term"), "at", before.alias("before"), around.alias("around"))
+    w = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), F.explode(F.array(words(F.col("text")))).alias("words")).join(F.broadcast(table))
+
+    def marked(word: Column, kind: str) -> Column:
+        place = F.pmod(F.xxhash64(word), F.lit(bits))
+        return F.getbit(F.get(kind, F.floor(place / 64).cast("int")), F.pmod(place, F.lit(64)).cast("int")) == 1
+
+    def hit(i: Column) -> Column:
+        before, word = F.least(i, F.lit(reach)), F.get("words", i)
+        return F.struct(word.alias("term"), i.alias("at"), before.alias("before"), F.when(marked(word, "first"), F.slice("words", i - before + 1, before + 1 + reach)).alias("around"))
+
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: marked(F.get("words", i), "any"))
+    hits = w.where(F.size("words") > 0).select("doc_id", "text_hash", "row", F.explode(F.transform(at, hit)).alias("hit")).select("doc_id", "text_hash", "row", "hit.*")
+    size = terms.agg(F.sum(F.octet_length("term") + 32)).first()[0] or 0
+    own = terms.select("term")
+    return hits.join(F.broadcast(own) if size <= BROADCAST_BYTES else own, "term", "left_semi")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, slack: int = 0) -> DataFrame:
@@ -94,18 +126,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, slack: int =
     windows = item_windows(benchmark, width)
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
     ranked = written(rarest_terms(windows, frequencies(docs, vocabulary)))
-    # terms of the benchmark, not of the documents; those that carry their neighbourhood come first
-    rows = ranked.select(F.posexplode("lists.word").alias("place", "term")).groupBy("term").agg(F.min("place").alias("place")).orderBy("place", "term")
-    terms = [(r.term, r.place == 0) for r in rows.toLocalIterator()]
-    blocks = [terms[k : k + TERMS_A_PASS] for k in range(0, len(terms), TERMS_A_PASS)] or [[("", True)]]
-    stored = None
-    for block in blocks:
-        part = postings(docs, [t for t, _ in block], [t for t, first in block if first] or [""], width - 1 + slack)
-        stored = part if stored is None else stored.union(part)
-    stored = written(stored)
-    # the part of a document's lists that offsets can reach from a posting: term and position in one number (a filter
+    stored = written(postings(docs, written(terms_of(ranked)), width - 1 + slack))
+    # the part of a row's lists that offsets can reach from a posting: term and position in one number (a filter
     # only: what passes is compared word by word)
-    reach = Window.partitionBy("doc_id", "text_hash").orderBy("at").rangeBetween(1 - width, width - 1)
+    reach = Window.partitionBy("row").orderBy("at").rangeBetween(1 - width, width - 1)
     rarest = stored.withColumn("held", F.collect_list(F.xxhash64("term", "at")).over(reach)).where("around is not null")
     found = rarest.join(lookup_table(ranked), "term")
 
@@ -125,7 +149,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, slack: int =
         loose = F.transform(F.filter("lookups", near), lambda x: F.struct(x["item_id"].alias("item_id"), F.greatest(F.col("at") - F.size(x["window"]) - slack + 1, F.lit(0)).alias("start"), (F.size(x["window"]) + slack).alias("length"), F.lit(False).alias("exact")))
         exact = F.concat(exact, loose)
     joined = found.select("doc_id", "text_hash", exact.alias("m")).where(F.size("m") > 0)
-    return joined.select("doc_id", "text_hash", F.explode("m").alias("m")).select("doc_id", "text_hash", "m.*")
+    return joined.select("doc_id", "text_hash", F.explode("m").alias("m")).select("doc_id", "text_hash", "m.*").distinct()  # equal rows have equal ones
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: float = 0.05) -> DataFrame:
