@@ -66,10 +66,15 @@ def translate_aligned(sequence: Column, ncbi_id: int = 1) -> Column:
 
 
 def identity(x: Column, y: Column) -> Column:
-    """Share of equal characters among the places where neither sequence has a gap; null without such places."""
+    """Share of equal characters among the places where neither sequence has a gap ('-' or '.'); null without such places.
+
+    Fails on empty sequences and on unequal lengths when the rows are used.
+    """
     pair = F.zip_with(F.split(x, ""), F.split(y, ""), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    both = F.filter(pair, lambda p: (p.a != "-") & (p.b != "-"))
-    return F.size(F.filter(both, lambda p: p.a == p.b)) / F.nullif(F.size(both), F.lit(0))
+    both = F.filter(pair, lambda p: ~p.a.isin("-", ".") & ~p.b.isin("-", "."))
+    share = F.size(F.filter(both, lambda p: p.a == p.b)) / F.nullif(F.size(both), F.lit(0))
+    wrong = F.when(F.length(x) != F.length(y), "sequences must be of one length").when(F.length(x) == 0, "sequences must not be empty")
+    return F.when(wrong.isNotNull(), F.raise_error(wrong).cast("double")).otherwise(share)
 
 
 def standard_name(name: Column) -> Column:

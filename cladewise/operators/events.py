@@ -94,7 +94,7 @@ def zero_mass_sites(events: DataFrame, sites: DataFrame, tol: float = 1e-9) -> D
     return sites.select("site").join(site_totals(events).where(F.col("sub") > tol), "site", "left_anti")
 
 
-def reindex_sites(sites: DataFrame, buckets: int = 1) -> DataFrame:
+def reindex_sites(sites: DataFrame) -> DataFrame:
     """site, new: sites that are kept, numbered from 0 in their order (an alignment's sites are few thousands)."""
     return sites.select("site").distinct().withColumn("new", F.row_number().over(Window.orderBy("site")) - 1)
 

@@ -10,7 +10,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.settled import settled
@@ -89,41 +89,62 @@ def random_stems(spark: SparkSession, nodes: list[tuple[int, int | None, int]],
 
 
 def permuted_enrichment(mass: DataFrame, rounds: DataFrame, branches: DataFrame) -> DataFrame:
-    """KEYS, round, lrt of each candidate under each round's targets (candidate_fixed).
+    """KEYS, round, lrt of the candidates that have mass on a round's targets (candidate_fixed); in all other rounds their statistic is 0.
 
     mass: KEYS, branch_id, m; rounds: round, branch_id of the targets; branches:
     branch_id, exposure. A candidate's sums over all branches are made once, a
     round adds up its targets only; the statistic is 0 where their rate isn't
-    the larger.
+    the larger, null where targets or others have no exposure.
     """
-    whole = mass.join(F.broadcast(branches), "branch_id").groupBy(*KEYS).agg(F.sum("m").alias("all_x"))
-    length = branches.agg(F.sum("exposure").alias("all_l"))
-    lengths = rounds.join(F.broadcast(branches), "branch_id").groupBy("round").agg(F.sum("exposure").alias("lt"))
-    hit = mass.join(rounds, "branch_id").groupBy(*KEYS, "round").agg(F.sum("m").alias("xt"))
-    every = whole.join(F.broadcast(lengths.join(F.broadcast(length))))  # rounds are few: a row for each candidate and round
-    j = every.join(hit, [*KEYS, "round"], "left").fillna(0.0, ["xt"]).withColumns({"xo": F.greatest(F.col("all_x") - F.coalesce("xt", F.lit(0.0)), F.lit(0.0)), "lo": F.col("all_l") - F.col("lt")})
-    pooled = F.col("all_x") / F.col("all_l")
-    term = lambda x, n: F.when((F.col(x) > 0) & (F.col(n) > 0), F.col(x) * F.ln(F.col(x) / (F.col(n) * pooled))).otherwise(0.0)
-    larger = (F.col("lt") > 0) & (F.col("xt") * F.col("lo") > F.col("xo") * F.col("lt"))
-    return j.select(*KEYS, "round", F.when(larger, F.greatest(F.lit(0.0), 2 * (term("xt", "lt") + term("xo", "lo")))).otherwise(0.0).alias("lrt"))
-
-
-def calibrated(observed: DataFrame, permuted: DataFrame, rounds: int, digits: int = 9) -> DataFrame:
+    whole = mass.join(branches, "branch_id").groupBy(*KEYS).agg(F.sum("m").alias("all_x"))
+    hit = mass.join(rounds.join(branches.select("branch_id"), "branch_id", "left_semi"), "branch_id").groupBy(*KEYS, "round").agg(F.sum("m").alias("xt"))
+    j = hit.join(whole, KEYS).join(round_lengths(rounds, branches), "round")
+    return j.select(*KEYS, "round", larger_rate_statistic(F.col("xt"), F.greatest(F.col("all_x") - F.col("xt"), F.lit(0.0)), F.col("lt"), F.col("lo")).alias("lrt"))
+
+
+def round_lengths(rounds: DataFrame, branches: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """round, lt, lo: exposure of each round's targets (round, branch_id) and of all other branches, or of ``others`` that are no targets."""
+    lt = rounds.join(branches, "branch_id").groupBy("round").agg(F.sum("exposure").alias("lt"))
+    if others is None:
+        total = branches.agg(F.sum("exposure").alias("all_l"))
+        return lt.join(F.broadcast(total)).select("round", "lt", (F.col("all_l") - F.col("lt")).alias("lo"))
+    lo = others.join(branches, "branch_id").groupBy("round").agg(F.sum("exposure").alias("lo"))
+    return lt.join(lo, "round", "left").fillna(0.0, ["lo"])
+
+
+def larger_rate_statistic(xt: Column, xo: Column, lt: Column, lo: Column) -> Column:
+    """Likelihood ratio of two rates against one, 0 unless the first is the larger; null without exposure on either side."""
+    pooled = (xt + xo) / (lt + lo)
+    term = lambda x, n: F.when(x > 0, x * F.ln(x / (n * pooled))).otherwise(0.0)
+    return F.when((lt > 0) & (lo > 0), F.when(xt * lo > xo * lt, F.greatest(F.lit(0.0), 2 * (term(xt, lt) + term(xo, lo)))).otherwise(0.0))
+
+
+def observed_enrichment(mass: DataFrame, targets: DataFrame, branches: DataFrame) -> DataFrame:
+    """KEYS, lrt of every candidate for one set of targets (branch_id)."""
+    own = permuted_enrichment(mass, targets.select(F.lit(0).alias("round"), "branch_id"), branches).drop("round")
+    return mass.select(*KEYS).distinct().join(own, KEYS, "left").fillna(0.0, ["lrt"])
+
+
+def calibrated(observed: DataFrame, permuted: DataFrame, rounds: int, digits: int = 9, fixed: bool = True) -> DataFrame:
     """Adds empirical, (1 + rounds in which the candidate's own statistic is as large) / (1 + rounds), and empirical_max, the same against each round's largest.
 
     observed and permuted: KEYS and lrt (p falls with it), permuted also round.
-    A candidate that a round doesn't have (full_scan) counts as not as large.
-    Statistics are compared to ``digits`` places. Each round's maximum is one
-    row, so the second comparison joins candidates with a sorted array of them.
+    ``rounds``: those that were drawn. ``fixed``: all candidates are in every
+    round, with a statistic of 0 where there is no row; else (full_scan) one
+    that a round doesn't have is not as large. A round without rows has a
+    largest of 0. Statistics are compared to ``digits`` places; null where the
+    observed one is null or no round was drawn.
     """
     lrt = lambda c: F.round(c, digits)
     own = permuted.select(*KEYS, F.col("lrt").alias("_p"))
     ge = observed.select(*KEYS, F.col("lrt").alias("_o")).join(own, KEYS, "left").groupBy(*KEYS).agg(F.count_if(lrt("_p") >= lrt("_o")).alias("_ge"))
-    top = permuted.groupBy("round").agg(F.max("lrt").alias("m")).agg(F.collect_list("m").alias("_tops"))
+    top = permuted.groupBy("round").agg(F.coalesce(F.max("lrt"), F.lit(0.0)).alias("m")).agg(F.collect_list("m").alias("_tops"))  # a number a round
     j = observed.join(ge, KEYS).join(F.broadcast(top))
-    over = F.size(F.filter("_tops", lambda m: F.round(m, digits) >= lrt("lrt")))
-    share = lambda n: F.least(F.lit(1.0), (n + 1) / F.lit(1.0 + rounds))
-    return j.withColumns({"empirical": share(F.col("_ge")), "empirical_max": share(over)}).drop("_ge", "_tops")
+    nothing = lrt("lrt") <= 0
+    over = F.size(F.filter("_tops", lambda m: F.round(m, digits) >= lrt("lrt"))) + F.when(nothing, rounds - F.size("_tops")).otherwise(0)
+    share = lambda n: F.when(F.col("lrt").isNotNull() & (F.lit(rounds) > 0), F.least(F.lit(1.0), (n + 1) / F.lit(1.0 + rounds)))
+    ge = F.when(nothing, rounds).otherwise(F.col("_ge")) if fixed else F.col("_ge")
+    return j.withColumns({"empirical": share(ge), "empirical_max": share(over)}).drop("_ge", "_tops")
 
 
 def permuted_summary(cb: DataFrame, k: int, rounds: DataFrame, value: str) -> DataFrame:

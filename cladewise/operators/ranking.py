@@ -93,10 +93,25 @@ def top_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def balanced_top(df: DataFrame, category: str, order: list[Column], total: int) -> DataFrame:
-    """At most ``total`` rows, the same quota for each of the two categories; what one leaves free the other takes."""
-    r = df.withColumn("_r", F.row_number().over(Window.partitionBy(category).orderBy(*order)))
-    return r.orderBy("_r", category, *order).limit(total).drop("_r")
+def balanced_top(df: DataFrame, category: str, kinds: tuple[str, str], scores: tuple[str, str], tie: Column, total: int) -> DataFrame:
+    """At most ``total`` rows of two categories, each by its own score (largest first, then ``tie``).
+
+    Half of them, rounded down, are of the first kind, the others of the second;
+    what one can't fill the other takes. A single row goes to the kind whose
+    best score is higher, the first one on ties. Without rows of either kind the
+    rows of the highest score are taken, and their category is 'blank'.
+    """
+    tops = [df.where(F.col(category) == k).withColumn("_s", F.col(x)).orderBy(F.desc("_s"), tie).limit(total) for k, x in zip(kinds, scores, strict=True)]
+    both = settled(tops[0].unionByName(tops[1]))  # 2 * total rows at most
+    n = {r[0]: (r["n"], r["top"]) for r in both.groupBy(category).agg(F.count(F.lit(1)).alias("n"), F.max("_s").alias("top")).collect()}
+    if not n:
+        return df.withColumn("_s", F.greatest(*scores)).orderBy(F.desc("_s"), tie).limit(total).withColumn(category, F.lit("blank")).drop("_s")
+    (n1, top1), (n2, top2) = (n.get(k, (0, None)) for k in kinds)
+    first = min(n1, total - min(n2, total - total // 2))
+    if total == 1 and n1 and n2:
+        first = int(top1 >= top2)
+    quota = F.when(F.col(category) == kinds[0], first).otherwise(min(n2, total - first))
+    return both.withColumn("_r", F.row_number().over(Window.partitionBy(category).orderBy(F.desc("_s"), tie))).where(F.col("_r") <= quota).drop("_r", "_s")
 
 
 def equal_bins(df: DataFrame, order: list[Column], bins: int, out: str = "bin") -> DataFrame:
@@ -104,28 +119,32 @@ def equal_bins(df: DataFrame, order: list[Column], bins: int, out: str = "bin")
     return df.withColumn(out, F.ntile(bins).over(Window.orderBy(*order)))
 
 
-def quantile_map(df: DataFrame, x: str, y: str, out: str) -> DataFrame:
-    """Maps y on the distribution of x: the quantile (avg_rank(y) - 0.5) / n of finite x, interpolated, and never below y.
+def quantile_map(df: DataFrame, x: str, y: str, out: str, keys: list[str] | None = None) -> DataFrame:
+    """Maps y on the distribution of x: the quantile (avg_rank(y) - 0.5) / n, interpolated in x, and never below y.
 
-    Sorted positions of x come from running counts, and each row asks for the
-    two that enclose its quantile by an equi-join on the position's value run.
+    Only rows in which both are finite rank and count; the others keep their y.
+    With ``keys`` each group is a distribution of its own. Sorted positions of x
+    come from running counts, and each row asks for the two that enclose its
+    quantile by an equi-join on the position's value run.
     """
-    x_runs = running_counts(df.where(finite(F.col(x))).select(x), [], x).withColumnsRenamed({x: "xv", "n": "xn", "below": "xb"})
-    n = df.where(finite(F.col(x))).agg(F.count(F.lit(1)).alias("_nx"))
-    m = df.where(finite(F.col(y))).agg(F.count(F.lit(1)).alias("_ny"))
-    ranked = average_rank(df, y, out="_r").join(F.broadcast(n)).join(F.broadcast(m))
-    ranked = ranked.withColumn("_pos", (F.col("_nx") - 1) * (F.col("_r") - 0.5) / F.col("_ny")).withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
+    keys = keys or []
+    df = settled(df.withColumn("_fit", finite(F.col(x)) & finite(F.col(y))))  # read by both rankings
+    fit = df.where("_fit")
+    runs = running_counts(fit.select(*keys, x), keys, x).withColumnsRenamed({x: "xv", "n": "xn", "below": "xb"})
+    n = fit.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = _beside(average_rank(fit, y, keys, "_r"), n, keys)
+    ranked = ranked.withColumn("_pos", (F.col("_n") - 1) * (F.col("_r") - 0.5) / F.col("_n")).withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
     ranked = settled(ranked)  # read three times below
-    points = ranked.select(F.explode(F.array("_lo", "_hi")).alias("pos")).where("pos is not null").distinct()
-    at = _values_at(x_runs, points)
-    lo, hi = at.select(F.col("pos").alias("_lo"), F.col("xv").alias("_xlo")), at.select(F.col("pos").alias("_hi"), F.col("xv").alias("_xhi"))
-    mapped = ranked.join(lo, "_lo", "left").join(hi, "_hi", "left")
+    points = ranked.select(*keys, F.explode(F.array("_lo", "_hi")).alias("pos")).distinct()
+    at = _values_at(runs, points, keys)
+    lo, hi = at.select(*keys, F.col("pos").alias("_lo"), F.col("xv").alias("_xlo")), at.select(*keys, F.col("pos").alias("_hi"), F.col("xv").alias("_xhi"))
+    mapped = ranked.join(lo, [*keys, "_lo"]).join(hi, [*keys, "_hi"])
     value = F.col("_xlo") + (F.col("_xhi") - F.col("_xlo")) * (F.col("_pos") - F.col("_lo"))
-    return mapped.withColumn(out, F.when(F.col("_r").isNull(), F.col(y)).otherwise(F.greatest(F.col(y), value))).drop("_r", "_nx", "_ny", "_pos", "_lo", "_hi", "_xlo", "_xhi")
+    return mapped.select(*df.columns, F.greatest(F.col(y), value).alias(out)).unionByName(df.where("not _fit").withColumn(out, F.col(y))).drop("_fit")
 
 
-def _values_at(runs: DataFrame, points: DataFrame, span: int = 4096) -> DataFrame:
+def _values_at(runs: DataFrame, points: DataFrame, keys: list[str], span: int = 4096) -> DataFrame:
     """Value at sorted positions: runs [below, below + n) are cut at multiples of ``span`` so that both sides equi-join."""
-    cut = runs.select("xv", "xn", "xb", F.explode(F.sequence(F.floor(F.col("xb") / span), F.floor((F.col("xb") + F.col("xn") - 1) / span))).alias("cell"))
+    cut = runs.select(*keys, "xv", "xn", "xb", F.explode(F.sequence(F.floor(F.col("xb") / span), F.floor((F.col("xb") + F.col("xn") - 1) / span))).alias("cell"))
     p = points.withColumn("cell", F.floor(F.col("pos") / span))
-    return p.join(cut, "cell").where("pos >= xb and pos < xb + xn").select("pos", "xv")
+    return p.join(cut, [*keys, "cell"]).where("pos >= xb and pos < xb + xn").select(*keys, "pos", "xv")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import chi2_sf, ieee_div, rate
+from ..functions.numeric import chi2_sf, finite, ieee_div, rate
 from ..plans.settled import settled
 from .combine import counts_of, nan_below_root
 from .events import projections
 from .expected import closed_form_projections
+from .gamma import gamma_map
 from .ranking import quantile_map
 
 
@@ -48,16 +49,18 @@ def add_convergence_divergence(cb: DataFrame, prefix: str = "OCN") -> DataFrame:
     return cb.withColumn(f"{prefix}CoD", ieee_div(F.col(f"{prefix}any2spe"), F.col(f"{prefix}any2dif")))
 
 
-def calibrate(cb: DataFrame, stats: list[str]) -> DataFrame:
-    """Lifts dSC to the distribution of dNC by quantiles and renews omegaC; the former values stay as *_nocalib.
+def calibrate(cb: DataFrame, stats: list[str], method: str = "quantile") -> DataFrame:
+    """Lifts dSC to the distribution of dNC and renews omegaC; the former values stay as *_nocalib.
 
-    Ranks, cuts and positions all read the table, so it is settled first.
+    method: 'quantile' or 'gamma' (a distribution fitted to dNC). Rows in which
+    one of the rates isn't finite neither count nor change.
     """
-    cb = settled(cb)
+    mapped = {"quantile": quantile_map, "gamma": gamma_map}[method]
     for s in stats:
-        cb = quantile_map(cb, f"dNC{s}", f"dSC{s}", "_mapped")
-        cb = cb.withColumns({f"dSC{s}_nocalib": F.col(f"dSC{s}"), f"omegaC{s}_nocalib": F.col(f"omegaC{s}"), f"dSC{s}": F.col("_mapped")}).drop("_mapped")
-        cb = cb.withColumn(f"omegaC{s}", rate(F.col(f"dNC{s}"), F.col(f"dSC{s}")))
+        n, d, o = f"dNC{s}", f"dSC{s}", f"omegaC{s}"
+        cb = mapped(cb, n, d, "_mapped")
+        fit = finite(F.col(n)) & finite(F.col(d))
+        cb = cb.withColumns({f"{d}_nocalib": F.col(d), f"{o}_nocalib": F.col(o), o: F.when(fit, rate(F.col(n), F.col("_mapped"))).otherwise(F.col(o)), d: F.col("_mapped")}).drop("_mapped")
     return cb
 
 

@@ -7,6 +7,7 @@ two or more different ones. Units are independent foreground lineages.
 
 from __future__ import annotations
 
+import math
 from decimal import ROUND_CEILING, Decimal
 
 from pyspark.sql import DataFrame
@@ -30,48 +31,52 @@ def support_threshold(value: str, units: int) -> int:
     return int(v)
 
 
-def candidates(events: DataFrame, match: str) -> DataFrame:
+def candidates(events: DataFrame, match: str, by: tuple[str, ...] = ()) -> DataFrame:
     """site, key_a, key_d, from_states, to_states, mass of one class over the given (foreground) events.
 
     'spe' sides are keys of the grouping; 'any' and 'dif' sides collect the
-    states seen, of which 'dif' needs two.
+    states seen, of which 'dif' needs two. With ``by``, such as a round of
+    foregrounds, each of its values has candidates of its own.
     """
     a, d = match.split("2")
-    keys = ["site"] + [c for c, side in (("a", a), ("d", d)) if side == "spe"]
+    keys = [*by, "site"] + [c for c, side in (("a", a), ("d", d)) if side == "spe"]
     g = events.groupBy(*keys).agg(F.array_sort(F.collect_set("a")).alias("from_states"), F.array_sort(F.collect_set("d")).alias("to_states"), F.sum("pp").alias("mass"))
     for side, c in ((a, "from_states"), (d, "to_states")):
         if side == "dif":
             g = g.where(F.size(c) >= 2)
     key = lambda c, side: (F.col(c) if side == "spe" else F.lit(side)).cast("string")
-    return g.select("site", F.lit(match).alias("match"), key("a", a).alias("key_a"), key("d", d).alias("key_d"), "from_states", "to_states", "mass")
+    return g.select(*by, "site", F.lit(match).alias("match"), key("a", a).alias("key_a"), key("d", d).alias("key_d"), "from_states", "to_states", "mass")
 
 
-def all_candidates(events: DataFrame, classes=tuple(CLASSES)) -> DataFrame:
-    out = candidates(events, classes[0])
+def all_candidates(events: DataFrame, classes=tuple(CLASSES), by: tuple[str, ...] = ()) -> DataFrame:
+    out = candidates(events, classes[0], by)
     for c in classes[1:]:
-        out = out.unionByName(candidates(events, c))
+        out = out.unionByName(candidates(events, c, by))
     return out
 
 
 def branch_masses(c: DataFrame, events: DataFrame) -> DataFrame:
     """KEYS, branch_id, m: each branch's mass over the events that a candidate counts.
 
-    The state of a 'spe' side must agree, the other sides allow all. Candidates
-    are split by which of their sides are 'spe'; for each of the four kinds
-    events are summed to what it tells apart and joined on just that, so a row
-    is a candidate and a branch, never an event that is thrown away.
+    An 'any' side allows all states, the others only those of the candidate
+    (from_states, to_states): one for 'spe', all that were seen for 'dif'.
+    Candidates are split by which of their sides are 'any'; for each of the four
+    kinds events are summed to what it tells apart and joined on just that, so
+    no event is carried that is thrown away.
     """
-    keys = c.select(*KEYS).distinct()
-    open_ = lambda key: F.col(key).isin("any", "dif")
+    closed = [F.when(F.col(k) != "any", F.col(s)).alias(s) for k, s in (("key_a", "from_states"), ("key_d", "to_states"))]
+    keys = c.select(*KEYS, *closed).distinct()
     out = None
-    for a_spe in (True, False):
-        for d_spe in (True, False):
-            sides = {k: F.col(s).cast("string").alias(k) for k, s, spe in (("key_a", "a", a_spe), ("key_d", "d", d_spe)) if spe}
-            own = keys.where((open_("key_a") != F.lit(a_spe)) & (open_("key_d") != F.lit(d_spe)))
-            mass = events.groupBy("branch_id", "site", *sides.values()).agg(F.sum("pp").alias("m"))
+    for a_any in (True, False):
+        for d_any in (True, False):
+            sides = [s for s, any_ in (("a", a_any), ("d", d_any)) if not any_]
+            own = keys.where(((F.col("key_a") == "any") == F.lit(a_any)) & ((F.col("key_d") == "any") == F.lit(d_any)))
+            for s in sides:
+                own = own.withColumn(s, F.explode("from_states" if s == "a" else "to_states"))
+            mass = events.groupBy("branch_id", "site", *sides).agg(F.sum("pp").alias("m"))
             part = own.join(mass, ["site", *sides]).select(*KEYS, "branch_id", "m")
             out = part if out is None else out.unionByName(part)
-    return out
+    return out.groupBy(*KEYS, "branch_id").agg(F.sum("m").alias("m"))
 
 
 def support(c: DataFrame, events: DataFrame, units: DataFrame, min_pp: float, least: int) -> DataFrame:
@@ -127,11 +132,16 @@ def significant_rows(scan: DataFrame, alpha: float) -> DataFrame:
     return scan.where(F.col("p").isNotNull() & ~F.isnan("p") & (F.col("p") <= alpha))
 
 
-def conservation(states: DataFrame) -> DataFrame:
-    """site, major, share, entropy (over the log of the number of states) and mass, from states (site, state, p) of the tips."""
-    n = states.agg(F.count_distinct("state").alias("k"))
+def conservation(states: DataFrame, n_states: int, tol: float = 1e-9) -> DataFrame:
+    """site, major, share, entropy, mass and valid_tips, from states (site, tip, state, p).
+
+    Entropy is over the log of the number of states there are, two at least,
+    whether seen or not. Tips with more than ``tol`` mass at a site are valid;
+    sites of no more than that have '' and NaN.
+    """
+    tips = states.groupBy("site", "tip").agg(F.sum("p").alias("p")).groupBy("site").agg(F.count_if(F.col("p") > tol).alias("valid_tips"))
     s = states.groupBy("site", "state").agg(F.sum("p").alias("m")).where("m > 0")
-    t = s.groupBy("site").agg(F.sum("m").alias("mass"))
-    j = s.join(t, "site").withColumn("q", F.col("m") / F.col("mass")).join(F.broadcast(n))
-    g = j.groupBy("site").agg(F.min_by("state", F.struct(-F.col("q"), "state")).alias("major"), F.max("q").alias("share"), (-F.sum(F.col("q") * F.ln("q"))).alias("h"), F.first("k").alias("k"), F.first("mass").alias("mass"))
-    return g.select("site", "major", "share", F.when(F.col("k") > 1, F.col("h") / F.ln(F.col("k").cast("double"))).otherwise(0.0).alias("entropy"), "mass")
+    t = s.groupBy("site").agg(F.sum("m").alias("mass")).where(F.col("mass") > tol)
+    j = s.join(t, "site").withColumn("q", F.col("m") / F.col("mass"))
+    g = j.groupBy("site").agg(F.min_by("state", F.struct(-F.col("q"), "state")).alias("major"), F.max("q").alias("share"), (-F.sum(F.col("q") * F.ln("q")) / math.log(max(n_states, 2))).alias("entropy"), F.first("mass").alias("mass"))
+    return tips.join(g, "site", "left").fillna({"major": "", "share": float("nan"), "entropy": float("nan"), "mass": 0.0})

@@ -101,10 +101,11 @@ def variant_scores(events: DataFrame, scores: DataFrame, mode: str = "most_delet
     """site, score, branch_id of the variant scores of a site's events: branch_id, site, a, d, pp and site, a, d, score.
 
     most_deleterious: the least score and its branch (then the likelier event,
-    then the smaller branch); mean: of the events; pp_weighted_mean: weighted by pp.
+    then the smaller branch); mean: of the events; pp_weighted_mean: weighted by
+    pp, or the mean where the weights sum to nothing.
     """
     j = events.join(scores, ["site", "a", "d"]).where(F.col("score").isNotNull() & ~F.isnan("score"))
     if mode == "most_deleterious":
         return j.groupBy("site").agg(F.min(F.struct("score", (-F.col("pp")).alias("p"), "branch_id")).alias("m")).select("site", "m.score", "m.branch_id")
-    value = F.avg("score") if mode == "mean" else F.sum(F.col("score") * F.col("pp")) / F.nullif(F.sum("pp"), F.lit(0.0))
+    value = F.avg("score") if mode == "mean" else F.when(F.sum("pp") > 0, F.sum(F.col("score") * F.col("pp")) / F.sum("pp")).otherwise(F.avg("score"))
     return j.groupBy("site").agg(value.alias("score")).withColumn("branch_id", F.lit(None).cast("int"))

@@ -64,18 +64,18 @@ def contacts(points: DataFrame, cutoff: float = 8.0) -> DataFrame:
 
 
 def extend_backwards(sites: DataFrame, n: int, keys: list[str] | None = None) -> DataFrame:
-    """Sites plus, before each run of consecutive ones, the ``n`` sites that precede it (none below 0)."""
+    """Sites plus, before each run of consecutive ones but the first, the ``n`` sites that precede it (none below 0)."""
     keys = keys or []
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("site")
-    start = sites.select(*keys, "site").distinct().withColumn("prev", F.lag("site").over(w)).where("prev is null or prev < site - 1")
-    before = start.where("site > 0").select(*keys, F.explode(F.sequence(F.greatest(F.col("site") - n, F.lit(0)), F.col("site") - 1)).alias("site"))
+    start = sites.select(*keys, "site").distinct().withColumn("prev", F.lag("site").over(w)).where("prev < site - 1")
+    before = start.select(*keys, F.explode(F.sequence(F.greatest(F.col("site") - n, F.lit(0)), F.col("site") - 1)).alias("site"))
     return sites.select(*keys, "site").union(before.select(*keys, F.col("site").cast(sites.schema["site"].dataType))).distinct()
 
 
 def classify(df: DataFrame, convergent: str, divergent: str, least: float) -> DataFrame:
-    """category: 'convergent' or 'divergent', whichever reaches ``least`` and is larger (a tie is convergent), else ''."""
-    c, d = F.col(convergent), F.col(divergent)
-    return df.withColumn("category", F.when((c >= least) & (c >= d), "convergent").when((d >= least) & (d > c), "divergent").otherwise(""))
+    """category: 'convergent' or 'divergent', whichever reaches ``least`` and is larger (a tie is convergent), else 'blank'; NaN and null count as 0."""
+    c, d = (F.coalesce(F.nanvl(F.col(x), F.lit(0.0)), F.lit(0.0)) for x in (convergent, divergent))
+    return df.withColumn("category", F.when((c >= least) & (c >= d), "convergent").when((d >= least) & (d > c), "divergent").otherwise("blank"))
 
 
 def gap_rates(states: DataFrame, n_tips: int) -> DataFrame:

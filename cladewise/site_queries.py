@@ -42,11 +42,11 @@ def branch_products(spark, sf):
     return summaries.aggregate_branches(events(spark, sf), chosen, "product").select("site", "a", "d", r("v"))
 
 
-@query(f"WITH {EV}, x AS (SELECT a, d, sum(pp) AS v FROM ev WHERE site < 3 AND branch_id < 5 GROUP BY ALL), s AS (SELECT DISTINCT a AS s FROM ev UNION SELECT DISTINCT d FROM ev) SELECT p.s AS a, q.s AS d, round(coalesce(v, 0), 6) AS total FROM s p JOIN s q ON p.s <> q.s LEFT JOIN x ON x.a = p.s AND x.d = q.s")
+@query(f"WITH {EV}, x AS (SELECT a, d, sum(pp) AS v FROM ev GROUP BY ALL), s AS (SELECT DISTINCT a AS s FROM ev UNION SELECT DISTINCT d FROM ev) SELECT p.s AS a, q.s AS d, round(coalesce(v, 0), 6) AS total FROM s p JOIN s q ON p.s <> q.s LEFT JOIN x ON x.a = p.s AND x.d = q.s")
 def change_matrix(spark, sf):
     e = events(spark, sf)
     both = e.select("a").union(e.select("d")).distinct().select(F.lit(0).alias("grp"), F.col("a").alias("state"))
-    return summaries.change_totals(e.where("site < 3 and branch_id < 5"), both).select("a", "d", r("total"))
+    return summaries.change_totals(e, both).select("a", "d", r("total"))
 
 
 _DIST = "dist AS (SELECT x.n_nationkey AS x, y.n_nationkey AS y, CASE WHEN x.n_regionkey = y.n_regionkey THEN 2.0 ELSE 4.0 END + (x.n_nationkey * 7 + y.n_nationkey * 3) % 11 AS dist FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey)"
@@ -58,9 +58,9 @@ def distances(spark, sf):
     return both.selectExpr("x", "y", "cast(if(r = q, 2.0, 4.0) + (x * 7 + y * 3) % 11 as double) as dist")
 
 
-@query(f"WITH {EV}, {_DIST}, b AS (SELECT branch_id, a, d, round(sum(pp), 9) AS m FROM ev WHERE site < 5 GROUP BY ALL HAVING round(sum(pp), 9) >= 0.5), k AS (SELECT DISTINCT a, d FROM ev WHERE site < 5), f AS (SELECT u.a, u.d, max(dist - (0.5 + v.branch_id % 3)) AS far FROM b u JOIN b v ON u.a = v.a AND u.d = v.d AND u.branch_id < v.branch_id JOIN dist ON x = u.branch_id AND y = v.branch_id GROUP BY 1, 2) SELECT k.a, k.d, CAST(far AS DOUBLE) AS dist FROM k LEFT JOIN f ON f.a = k.a AND f.d = k.d")
+@query(f"WITH {EV}, {_DIST}, b AS (SELECT branch_id, a, d, round(sum(pp), 9) AS m FROM ev GROUP BY ALL HAVING round(sum(pp), 9) >= 0.5), k AS (SELECT DISTINCT a, d FROM ev), f AS (SELECT u.a, u.d, max(dist - (0.5 + v.branch_id % 3)) AS far FROM b u JOIN b v ON u.a = v.a AND u.d = v.d AND u.branch_id < v.branch_id JOIN dist ON x = u.branch_id AND y = v.branch_id GROUP BY 1, 2) SELECT k.a, k.d, CAST(far AS DOUBLE) AS dist FROM k LEFT JOIN f ON f.a = k.a AND f.d = k.d")
 def change_distances(spark, sf):
-    e = events(spark, sf).where("site < 5").groupBy("branch_id", "grp", "a", "d").agg(F.round(F.sum("pp"), 9).alias("pp"))
+    e = events(spark, sf).groupBy("branch_id", "grp", "a", "d").agg(F.round(F.sum("pp"), 9).alias("pp"))
     lengths = branches(spark, sf).selectExpr("branch_id", "cast(0.5 + branch_id % 3 as double) as length")
     return summaries.farthest_changes(e, distances(spark, sf), lengths).select("a", "d", "dist")
 
@@ -112,11 +112,11 @@ def effective_parents(spark, sf):
     return st.effective_parents(tree(spark, sf), tree(spark, sf).where("node <> 102").select("node"))
 
 
-@query("WITH q AS (SELECT a.i AS a, d.i AS d, (a.i + 1) * (d.i + 2) / 10.0 AS rate FROM range(6) a(i), range(6) d(i)), g AS (SELECT a // 2 AS a, d // 2 AS d, sum(rate) AS rate FROM q WHERE a // 2 <> d // 2 GROUP BY 1, 2) SELECT CAST(a AS INT) AS a, CAST(d AS INT) AS d, round(rate, 6) AS rate FROM g UNION ALL SELECT CAST(a AS INT), CAST(a AS INT), round(-sum(rate), 6) FROM g GROUP BY a")
+@query("WITH q AS (SELECT CAST(l_linenumber % 6 AS INT) AS a, CAST(l_suppkey % 6 AS INT) AS d, sum(l_discount) AS rate FROM lineitem WHERE l_linenumber % 6 <> l_suppkey % 6 GROUP BY 1, 2), g AS (SELECT a // 2 AS a, d // 2 AS d, sum(rate) AS rate FROM q WHERE a // 2 <> d // 2 GROUP BY 1, 2) SELECT CAST(a AS INT) AS a, CAST(d AS INT) AS d, round(rate, 6) AS rate FROM g UNION ALL SELECT CAST(a AS INT), CAST(a AS INT), round(-sum(rate), 6) FROM g GROUP BY a")
 def group_rates(spark, sf):
-    s = spark.range(6).selectExpr("cast(id as int) as a")
-    q = s.join(F.broadcast(s.withColumnRenamed("a", "d")), F.expr("a <> d")).withColumn("rate", F.expr("(a + 1) * (d + 2) / 10D"))
-    groups = s.selectExpr("a as state", "cast(floor(a / 2) as int) as grp")
+    x = t(spark, sf, "lineitem").selectExpr("cast(l_linenumber % 6 as int) as a", "cast(l_suppkey % 6 as int) as d", "l_discount")
+    q = x.where("a <> d").groupBy("a", "d").agg(F.sum("l_discount").alias("rate"))
+    groups = q.selectExpr("a as state").union(q.select("d")).distinct().selectExpr("state", "cast(floor(state / 2) as int) as grp")
     return st.project_rates(q, groups).select("a", "d", F.round("rate", 6).alias("rate"))
 
 
@@ -140,9 +140,9 @@ def substitution_patterns(spark, sf):
     return site_tables.substitution_patterns(cb, ["sub_1", "sub_2"], combine.ids(2), "pattern").select(*combine.ids(2), "pattern")
 
 
-@query("WITH x AS (SELECT CAST(l_suppkey AS INT) AS seq_id, CAST(l_partkey AS INT) AS site, min(l_returnflag) AS f FROM lineitem WHERE l_suppkey <= 5 GROUP BY ALL) SELECT seq_id, site, row_number() OVER (PARTITION BY seq_id ORDER BY site) AS gene_site FROM x WHERE f <> 'A'")
+@query("WITH x AS (SELECT CAST(l_suppkey AS INT) AS seq_id, CAST(l_partkey AS INT) AS site, min(l_returnflag) AS f FROM lineitem GROUP BY ALL) SELECT seq_id, site, row_number() OVER (PARTITION BY seq_id ORDER BY site) AS gene_site FROM x WHERE f <> 'A'")
 def gene_index(spark, sf):
-    x = t(spark, sf, "lineitem").where("l_suppkey <= 5").groupBy(F.col("l_suppkey").cast("int").alias("seq_id"), F.col("l_partkey").cast("int").alias("site")).agg(F.min("l_returnflag").alias("residue"))
+    x = t(spark, sf, "lineitem").groupBy(F.col("l_suppkey").cast("int").alias("seq_id"), F.col("l_partkey").cast("int").alias("site")).agg(F.min("l_returnflag").alias("residue"))
     return site_tables.gene_index(x, "A")
 
 
@@ -224,7 +224,7 @@ def lineage_path(spark, sf):
     return permute.lineage_path(st.ancestors(tree(spark, sf)), 200, 7)
 
 
-_PERM = f"""WITH {EV}, m AS (SELECT site, d, branch_id, sum(pp) AS m FROM ev WHERE site < 20 GROUP BY ALL), rd AS (SELECT i AS round, n_nationkey AS branch_id FROM range(1, 9) r(i), nation WHERE (n_nationkey * 7 + i * 3) % 5 = 0), ob AS (SELECT n_nationkey AS branch_id FROM nation WHERE n_nationkey % 6 = 1),
+_PERM = f"""WITH {EV}, m AS (SELECT site, d, branch_id, sum(pp) AS m FROM ev GROUP BY ALL), rd AS (SELECT i AS round, n_nationkey AS branch_id FROM range(1, 9) r(i), nation WHERE (n_nationkey * 7 + i * 3) % 5 = 0), ob AS (SELECT n_nationkey AS branch_id FROM nation WHERE n_nationkey % 6 = 1),
  ex AS (SELECT n_nationkey AS branch_id, 1.0 + n_nationkey % 3 AS l FROM nation), al AS (SELECT sum(l) AS al FROM ex), w AS (SELECT site, d, sum(m) AS ax FROM m GROUP BY 1, 2),
  s AS (SELECT 0 AS round, branch_id FROM ob UNION ALL SELECT round, branch_id FROM rd), lt AS (SELECT round, sum(l) AS lt FROM s JOIN ex USING (branch_id) GROUP BY 1),
  x AS (SELECT site, d, round, sum(m) AS xt FROM m JOIN s USING (branch_id) GROUP BY ALL), j AS (SELECT w.site, w.d, lt.round, coalesce(xt, 0) AS xt, greatest(ax - coalesce(xt, 0), 0) AS xo, ax / al AS pooled, lt, al - lt AS lo FROM w CROSS JOIN lt CROSS JOIN al LEFT JOIN x ON x.site = w.site AND x.d = w.d AND x.round = lt.round),
@@ -233,7 +233,7 @@ _PERM = f"""WITH {EV}, m AS (SELECT site, d, branch_id, sum(pp) AS m FROM ev WHE
 
 
 def scan_mass(spark, sf):
-    e = events(spark, sf).where("site < 20").groupBy("site", "d", "branch_id").agg(F.sum("pp").alias("m"))
+    e = events(spark, sf).groupBy("site", "d", "branch_id").agg(F.sum("pp").alias("m"))
     return e.select("site", F.lit("any2spe").alias("match"), F.lit("any").alias("key_a"), F.col("d").alias("key_d"), "branch_id", "m")
 
 
@@ -244,7 +244,7 @@ def scan_calibration(spark, sf):
     exposure = n.selectExpr("branch_id", "cast(1.0 + branch_id % 3 as double) as exposure")
     rounds = spark.range(1, 9).selectExpr("id as round").join(F.broadcast(n), F.expr("(branch_id * 7 + round * 3) % 5 = 0"))
     mass = scan_mass(spark, sf)
-    observed = permute.permuted_enrichment(mass, n.where("branch_id % 6 = 1").withColumn("round", F.lit(0).cast("long")).select("round", "branch_id"), exposure).drop("round")
+    observed = permute.observed_enrichment(mass, n.where("branch_id % 6 = 1"), exposure)
     out = permute.calibrated(observed, permute.permuted_enrichment(mass, rounds, exposure), 8)
     return out.select("site", F.col("key_d").alias("d"), r("lrt"), r("empirical"), r("empirical_max"))
 

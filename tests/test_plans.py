@@ -116,7 +116,7 @@ def test_scan_on_four_leaves(spark):
 
 def test_sites(spark):
     s = spark.createDataFrame([(1, 5), (1, 6), (1, 9), (2, 0)], "k int, site int")
-    assert {tuple(r) for r in sites.extend_backwards(s, 2, ["k"]).collect()} == {(1, 3), (1, 4), (1, 5), (1, 6), (1, 7), (1, 8), (1, 9), (2, 0)}
+    assert {tuple(r) for r in sites.extend_backwards(s, 2, ["k"]).collect()} == {(1, 5), (1, 6), (1, 7), (1, 8), (1, 9), (2, 0)}
     f = spark.createDataFrame([(3, 700, "long"), (64, 64, "one")], "start int, end int, feature string")
     got = {r.position: r.labels for r in sites.features_at(spark.createDataFrame([(2,), (3,), (64,), (700,), (701,)], "position int"), f).collect()}
     assert got == {2: "", 3: "long", 64: "long;one", 700: "long", 701: ""}
