@@ -26,7 +26,7 @@ def ieee_div(a: Column, b: Column) -> Column:
 
 def rate(observed: Column, expected: Column, tol: float = TOLERANCE) -> Column:
     """observed / expected; an observed count below ``tol`` is 0, even over 0."""
-    return F.when(F.abs(observed) < tol, F.lit(0.0)).otherwise(ieee_div(observed, expected))
+    return F.when(observed < tol, F.lit(0.0)).otherwise(ieee_div(observed, expected))
 
 
 def at_least(c: Column, value: float) -> Column:

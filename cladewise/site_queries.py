@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import combine, events as ev, expected, permute, pseudocounts, rates, scan, site_tables, states as st, summaries
+from .operators import combine, events as ev, expected, omega_null, permute, pseudocounts, rates, scan, site_tables, states as st, summaries
 from .plans import statistics
 from .plans.settled import settled
-from .queries import EV, FREE, SITES, _CB, _OM, branches, cb_table, events, free_pairs, query, r, rate_table, t
+from .queries import EV, FREE, SITES, _CB, _OM, branches, cb_table, channels, events, free_pairs, query, r, rate_table, t
 
 
 def tree(spark, sf):
@@ -310,6 +310,18 @@ def member_unions(spark, sf):
     return combine.unions(two, 3)
 
 
+@query()
+def omega_pvalues(spark, sf):
+    """p and q of each pair's omegaC against rounds in which every branch of the tree draws its substitutions anew (seeded; no SQL twin)."""
+    observed, vectors = channels(spark, sf)
+    observed = {c: settled(e) for c, e in observed.items()}
+    cb = rates.add_rates(rates.observed_and_expected(observed, vectors, free_pairs(spark, sf), 2, ("any2spe",)), ["any2spe"])
+    weights = {c: expected.site_weights(e.groupBy("branch_id", "site").agg(F.sum("pp").alias("sub")), SITES).select("branch_id", "site", "weight") for c, e in observed.items()}
+    draws = {c: omega_null.feature_draws(e, ("any2spe",)) for c, e in observed.items()}
+    out = omega_null.omega_pvalues(cb, weights, draws, 2, ("any2spe",), (20, 60), 2)
+    return out.select(*combine.ids(2), r("omegaCany2spe"), r("pomegaCany2spe"), r("qomegaCany2spe"))
+
+
 @query()
 def staged_pvalues(spark, sf):
     """Empirical p of each pair's number of shared sites, permuted 20 times and, where that leaves it coarse, 60 times."""

@@ -124,7 +124,7 @@ def test_sites(spark):
     t = {r.g: r for r in sites.specificity(v, "g", "c", "x").collect()}
     assert t[1].tau == 0 and t[2].tau == 1 and t[1].entropy == 1
     c = sites.classify(spark.createDataFrame([(0.6, 0.6), (0.2, 0.7), (0.1, 0.1)], "x double, y double"), "x", "y", 0.5)
-    assert [r.category for r in c.collect()] == ["convergent", "divergent", ""]
+    assert [r.category for r in c.collect()] == ["convergent", "divergent", "blank"]
 
 
 def test_streaming(spark, tmp_path):
