@@ -143,6 +143,17 @@ def quantile_map(df: DataFrame, x: str, y: str, out: str, keys: list[str] | None
     return mapped.select(*df.columns, F.greatest(F.col(y), value).alias(out)).unionByName(df.where("not _fit").withColumn(out, F.col(y))).drop("_fit")
 
 
+def exact_quantiles(df: DataFrame, value: str, q: float, keys: list[str] | None = None) -> DataFrame:
+    """keys, quantile: the ``q`` quantile of each key's finite values, interpolated; by sorted positions, so no task holds a key's values."""
+    keys = keys or []
+    rows = settled(df.where(finite(F.col(value))).select(*keys, F.col(value).cast("double").alias("_v")))
+    runs = running_counts(rows, keys, "_v").withColumnsRenamed({"_v": "xv", "n": "xn", "below": "xb"})
+    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0").withColumn("_pos", (F.col("_n") - 1) * q)
+    ends = n.select(*keys, (F.col("_pos") % 1).alias("_part"), F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))).alias("pos"))
+    at = _values_at(runs, ends, keys).join(ends, [*keys, "pos"])
+    return at.groupBy(*keys).agg((F.min("xv") + (F.max("xv") - F.min("xv")) * F.first("_part")).alias("quantile"))
+
+
 def _values_at(runs: DataFrame, points: DataFrame, keys: list[str], span: int = 4096) -> DataFrame:
     """Value at sorted positions: runs [below, below + n) are cut at multiples of ``span`` so that both sides equi-join."""
     cut = runs.select(*keys, "xv", "xn", "xb", F.explode(F.sequence(F.floor(F.col("xb") / span), F.floor((F.col("xb") + F.col("xn") - 1) / span))).alias("cell"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import combine, events as ev, expected, omega_null, permute, pseudocounts, rates, scan, site_tables, states as st, summaries
+from .operators import combine, epistasis, events as ev, expected, omega_null, permute, pseudocounts, ranking, rates, scan, site_tables, states as st, summaries
 from .plans import statistics
 from .plans.settled import settled
 from .queries import EV, FREE, SITES, _CB, _OM, branches, cb_table, channels, events, free_pairs, query, r, rate_table, t
@@ -322,6 +322,19 @@ def omega_pvalues(spark, sf):
     return out.select(*combine.ids(2), r("omegaCany2spe"), r("pomegaCany2spe"), r("qomegaCany2spe"))
 
 
+@query()
+def contact_tilts(spark, sf):
+    """Tilts of every branch's sites, chosen jointly in three bins of root distance (tested against a NumPy loop; no SQL twin)."""
+    p = t(spark, sf, "part").selectExpr("cast(p_partkey % 97 as int) as site", "p_retailprice", "p_size").groupBy("site").agg(F.avg("p_retailprice").alias("price"), F.avg("p_size").alias("size"))
+    z = ranking.z_scores(ranking.z_scores(p, "price", out="z0"), "size", out="z1")
+    features = z.select("site", F.posexplode(F.array("z0", "z1")).alias("feature", "value"))
+    counts = events(spark, sf).groupBy("branch_id", "site").agg(F.round(F.sum("pp"), 9).alias("n"))
+    depths = t(spark, sf, "nation").selectExpr("n_nationkey as branch_id", "cast(n_nationkey * 7 % 11 as double) as depth")
+    binned = settled(epistasis.depth_groups(epistasis.branch_scores(counts, features), depths, 3))
+    out = epistasis.tilts(binned, ["depth_bin"], epistasis.prepare(binned, ["depth_bin"], joint=True))
+    return out.select("branch_id", "site", "depth_bin", r("score"), r("tilt"))
+
+
 @query()
 def staged_pvalues(spark, sf):
     """Empirical p of each pair's number of shared sites, permuted 20 times and, where that leaves it coarse, 60 times."""
