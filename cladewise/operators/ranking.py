@@ -151,7 +151,7 @@ def exact_quantiles(df: DataFrame, value: str, q: float, keys: list[str] | None
     n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0").withColumn("_pos", (F.col("_n") - 1) * q)
     ends = n.select(*keys, (F.col("_pos") % 1).alias("_part"), F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))).alias("pos"))
     at = _values_at(runs, ends, keys).join(ends, [*keys, "pos"])
-    return at.groupBy(*keys).agg((F.min("xv") + (F.max("xv") - F.min("xv")) * F.first("_part")).alias("quantile"))
+    return at.groupBy(*keys).agg((F.min("xv") + (F.max("xv") - F.min("xv")) * F.first("_part")).alias("quantile")).where("quantile is not null")
 
 
 def _values_at(runs: DataFrame, points: DataFrame, keys: list[str], span: int = 4096) -> DataFrame:

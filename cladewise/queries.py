@@ -18,6 +18,7 @@ from .functions import numeric, sequence
 from .operators import combine, events as ev, expected, full_scan, ranking, rates, scan, sites, states as st, traits
 from .plans import cutoff, set_expression
 from .plans.settled import settled
+from .sources import ancestral
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -530,6 +531,26 @@ def pair_identity(spark, sf):
     return x.join(y, "k").where("i < j").select("k", F.round(sequence.identity(F.col("x"), F.col("y")), 6).alias("identity"))
 
 
+_TIPS = f"""q AS (SELECT p_partkey, {_SEQ} AS q FROM part), co AS (SELECT p_partkey, CAST(i AS INT) AS site, substr(q, CAST(i * 3 + 1 AS BIGINT), 3) AS c FROM q, range(3) r(i)),
+ b AS (SELECT unnest(['A', 'C', 'G', 'T']) AS b), full_ AS (SELECT x.b || y.b || z.b AS s FROM b x, b y, b z WHERE x.b || y.b || z.b NOT IN ('TAA', 'TAG', 'TGA')),
+ tip AS (SELECT p_partkey, site, s, 1.0 / count(*) OVER (PARTITION BY p_partkey, site) AS p FROM co JOIN full_ ON s LIKE replace(c, 'N', '_') WHERE c <> 'NNN')"""
+
+
+def sequences(spark, sf):
+    return t(spark, sf, "part").select(F.col("p_partkey").alias("seq_id"), F.expr(_SEQ.replace("VARCHAR", "STRING")).alias("sequence"))
+
+
+@query(f"WITH {_TIPS} SELECT p_partkey AS seq_id, site, s AS state, round(p, 9) AS p FROM tip")
+def tip_states(spark, sf):
+    """States of sequences: an ambiguous codon is shared out over the sense codons that it can be."""
+    return ancestral.tip_states(sequences(spark, sf)).select("seq_id", "site", "state", F.round("p", 9).alias("p"))
+
+
+@query(f"WITH {_TIPS} SELECT s AS codon, round(sum(p) / (SELECT sum(p) FROM tip), 9) AS freq FROM tip GROUP BY 1")
+def codon_frequencies(spark, sf):
+    return ancestral.codon_frequencies(sequences(spark, sf)).select("codon", F.round("freq", 9).alias("freq"))
+
+
 @query("WITH s AS (SELECT DISTINCT s_nationkey AS k, CAST(s_suppkey % 97 AS INT) AS site FROM supplier), w AS (SELECT *, lag(site) OVER (PARTITION BY k ORDER BY site) AS p FROM s) SELECT k, site FROM s UNION SELECT k, CAST(i AS INT) FROM w, range(97) r(i) WHERE p < site - 1 AND i < site AND i >= site - 2")
 def run_extension(spark, sf):
     s = t(spark, sf, "supplier").selectExpr("s_nationkey as k", "cast(s_suppkey % 97 as int) as site")

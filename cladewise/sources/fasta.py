@@ -44,13 +44,6 @@ def residues(records: DataFrame) -> DataFrame:
     return r.select("seq_id", "site", F.upper(F.substring("sequence", F.col("site") * 3 + 1, F.lit(3))).alias("codon"))
 
 
-def codon_frequencies(records: DataFrame) -> DataFrame:
-    """codon, freq: shares among unambiguous codons."""
-    c = residues(records).where(F.col("codon").rlike("^[ACGT]{3}$")).groupBy("codon").agg(F.count(F.lit(1)).alias("n"))
-    t = c.agg(F.sum("n").alias("t"))
-    return c.join(F.broadcast(t)).select("codon", (F.col("n") / F.col("t")).alias("freq"))
-
-
 def unknown_letters(records: DataFrame) -> DataFrame:
     """Letters per record that are neither nucleotides, ambiguity codes nor gaps."""
     known = "".join(IUPAC) + "U-?."

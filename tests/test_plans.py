@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cladewise.functions import sequence
 from cladewise.operators import scan, sites, traits
 from cladewise.plans import cutoff, set_expression
-from cladewise.sources import fasta, newick, tables
+from cladewise.sources import ancestral, fasta, newick, tables
 from cladewise.streaming.totals import streaming_totals
 
 
@@ -60,7 +60,7 @@ def test_fasta(spark, tmp_path):
     fasta.write_fasta(r, str(tmp_path / "out"), 4)
     assert {x.description for x in fasta.read_fasta(spark, str(tmp_path / "out")).collect()} == {"a first one", "b"}
     assert fasta.duplicate_ids(r.union(r)).count() == 2 and fasta.residues(r).count() == 6
-    assert fasta.codon_frequencies(r).where("codon = 'ATG'").first().freq == 2 / 3
+    assert ancestral.codon_frequencies(r).where("codon = 'ATG'").first().freq == 2 / 3
     assert sequence.compatible_codons("TTR") == ["TTA", "TTG"] and sequence.compatible_codons("NNN") == [] and sequence.compatible_codons("TAR") == []
     assert sequence.genetic_code(2)["TGA"] == "W" and len(sequence.genetic_code(1)) == 64
 
