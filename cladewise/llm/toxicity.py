@@ -2,13 +2,15 @@
 
 Voters are distinct sources: three fixed lexicons; words, word beginnings and
 word pairs mined from labelled training rows (words in two grades of precision);
-an insult soon after "you"; a text with several insults; and the shares of
-capitals, of exclamation marks and of stretched letters. Each votes toxic or
-abstains. A generative label model, fitted by expectation maximisation on the
-counts of all vote patterns of all documents, estimates how often each voter
-fires on toxic and on clean texts and how much voters repeat each other;
-correlated voters count less. A linear classifier over words and word beginnings
-is trained on the posterior labels of a bounded sample and scores every text.
+an insult soon after "you"; a text with several insults; one in which words that
+are likely insults, in any language, are dense; and the shares of capitals, of
+exclamation marks and of stretched letters. Each votes toxic or abstains. A
+generative label model, begun with the rates of labelled rows and fitted by
+expectation maximisation on the counts of all vote patterns of all documents,
+estimates how often each voter fires on toxic and on clean texts and how much
+voters repeat each other; correlated voters that say the same count less. A linear classifier over
+words, word beginnings and votes is trained on the posterior labels of a bounded
+sample and scores every text.
 """
 
 from __future__ import annotations
@@ -35,10 +37,12 @@ LEXICONS = (
 #: Words that address the reader.
 ADDRESS = ("you", "your", "youre", "u", "ur")
 #: Voters by number: after the lexicons, what is mined (beginnings, pairs, words, words of high precision), then patterns.
-BEGINNINGS, PAIRS, WORDS, SURE, ADDRESSED, SEVERAL, CAPITALS, EXCLAIMED, STRETCHED = range(len(LEXICONS), len(LEXICONS) + 9)
+BEGINNINGS, PAIRS, WORDS, SURE, ADDRESSED, SEVERAL, DENSE, CAPITALS, EXCLAIMED, STRETCHED = range(len(LEXICONS), len(LEXICONS) + 10)
 VOTERS = STRETCHED + 1
-#: Precision from which a mined word counts as sure; words between "you" and an insult; insults that make several.
+#: Precision from which a mined word counts as sure (with half a clean row added); words between "you" and an insult; insults that make several.
 SURE_PRECISION, NEAR, MANY = 0.95, 3, 3
+#: Sample rows and precision (with one clean row added) from which a word is a likely insult; how many, and which share of a text's words, make them dense.
+LIKELY_SUPPORT, LIKELY_PRECISION, DENSE_LEAST, DENSE_SHARE = 2, 0.6, 3, 0.012
 
 _SALT = np.uint64(0x5BD1E9955BD1E995)
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -100,10 +104,11 @@ class Lookup:
 class Voters:
     """The lexicons and mined lists as one lookup, and the patterns; a document's votes are the bits of an integer.
 
-    ``mined``: hashes of mined features and the voter (BEGINNINGS to SURE) of each.
+    ``mined``: hashes of mined features and the voter (BEGINNINGS to SURE) of
+    each; ``likely``: hashes of words that count for density, beside the lexicons.
     """
 
-    def __init__(self, mined: np.ndarray, kind: np.ndarray):
+    def __init__(self, mined: np.ndarray, kind: np.ndarray, likely: np.ndarray | None = None):
         keys, voter = [mined], [kind]
         for k, terms in enumerate(LEXICONS):
             keys.append(_hash_words(terms))
@@ -112,6 +117,7 @@ class Voters:
         self.lookup, self.bits = Lookup(distinct), np.zeros(len(distinct), np.int64)
         np.bitwise_or.at(self.bits, number.ravel(), 1 << np.concatenate(voter).astype(np.int64))
         self.address = Lookup(_hash_words(ADDRESS))
+        self.likely = Lookup(np.unique(np.concatenate([*keys[1:], np.zeros(0, np.uint64) if likely is None else likely])))
 
     def votes(self, features) -> np.ndarray:
         row, whole, begin, patterns = features
@@ -129,6 +135,8 @@ class Voters:
             hit = (insults >= back) & you[before] & (row[before] == row[insults])
             fired[row[insults[hit]], ADDRESSED] = True
         fired[:, SEVERAL] = np.bincount(row[insults], minlength=len(patterns)) >= MANY
+        dense = np.bincount(row[self.likely(whole)[0]], minlength=len(patterns))
+        fired[:, DENSE] = (dense >= DENSE_LEAST) & (dense >= DENSE_SHARE * np.bincount(row, minlength=len(patterns)))
         fired[:, CAPITALS], fired[:, EXCLAIMED], fired[:, STRETCHED] = patterns[:, 0] > 0.5, patterns[:, 1] > 0.02, patterns[:, 2] > 0.02
         return votes | fired @ (1 << np.arange(VOTERS))
 
@@ -153,19 +161,30 @@ def tally(features, weight: np.ndarray, pairs: bool) -> pa.RecordBatch:
 
 
 class LabelModel:
-    """Rates at which voters fire on toxic and clean texts, prior, and correlations given the class."""
+    """Rates at which voters fire on toxic and clean texts, prior, and correlations given the class.
 
-    def __init__(self, masks: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 30):
-        votes = (masks[:, None] >> np.arange(VOTERS)) & 1
+    ``labelled``: (mask, label, number) of labelled rows. The model begins with
+    their rates, and in each round they count as much as all documents together,
+    with the class they have; without them it begins with guesses.
+    """
+
+    def __init__(self, masks: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 30, labelled=()):
+        known = np.array([tuple(r) for r in labelled], float).reshape(-1, 3)
         self.rate = np.stack([np.full(VOTERS, 0.01), np.full(VOTERS, 0.3)])
         self.rate[:, CAPITALS:] = [[0.02], [0.04]]  # patterns alone say little to begin with
-        self.prior, self.weight = prior, np.ones(VOTERS)
+        for y in (0, 1):
+            own = known[known[:, 1] == y]
+            fired = (own[:, :1].astype(int) >> np.arange(VOTERS) & 1).T @ own[:, 2]
+            self.rate[y] = np.clip((fired + 10 * self.rate[y]) / (own[:, 2].sum() + 10), 1e-4, 1 - 1e-4)
+        self.prior, self.correlation = prior, np.zeros((VOTERS, VOTERS))
+        votes = (np.concatenate([masks, known[:, 0].astype(masks.dtype)])[:, None] >> np.arange(VOTERS)) & 1
+        every = np.concatenate([counts, known[:, 2] * (counts.sum() / max(known[:, 2].sum(), 1))])
         for _ in range(rounds):
-            q = self.posterior(masks)
-            for y, w in enumerate((counts * (1 - q), counts * q)):
+            q = np.concatenate([self.posterior(masks), known[:, 1]])
+            for y, w in enumerate((every * (1 - q), every * q)):
                 self.rate[y] = np.clip((w @ votes + 0.5) / (w.sum() + 1), 1e-4, 1 - 1e-4)
-            self.prior = float(np.clip(counts @ q / counts.sum(), 0.005, 0.5))
-            self._correlate(votes, counts, q)
+            self.prior = float(np.clip(every @ q / every.sum(), 0.005, 0.5))
+            self._correlate(votes, every, q)
 
     def _correlate(self, votes, counts, q) -> None:
         excess = np.zeros((VOTERS, VOTERS))
@@ -176,21 +195,24 @@ class LabelModel:
             spread = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             excess += 0.5 * np.clip(cov / spread[:, None] / spread[None, :], 0, 1)
         np.fill_diagonal(excess, 0)
-        self.correlation, self.weight = excess, 1 / (1 + excess.sum(axis=1))
+        self.correlation = excess
 
     def posterior(self, masks: np.ndarray) -> np.ndarray:
         votes = (np.asarray(masks)[:, None] >> np.arange(VOTERS)) & 1
         fire = np.log(self.rate[1] / self.rate[0])
         still = np.log((1 - self.rate[1]) / (1 - self.rate[0]))
-        logit = np.log(self.prior / (1 - self.prior)) + (votes * fire + (1 - votes) * still) @ self.weight
+        logit = np.log(self.prior / (1 - self.prior)) + np.zeros(len(votes))
+        for own, says in ((votes, fire), (1 - votes, still)):  # those that say the same count less the more they repeat each other
+            logit += (own / (1 + own @ self.correlation)) @ says
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
 class Classifier:
-    """Logistic regression on the presence of selected words and beginnings."""
+    """Logistic regression on the presence of selected words and beginnings, and on the votes of ``voters``, if there are any."""
 
-    def __init__(self, keys: np.ndarray, bias: float = -2.0):
-        self.lookup, self.weight, self.bias = Lookup(keys), np.zeros(len(keys)), bias
+    def __init__(self, keys: np.ndarray, bias: float = -2.0, voters: Voters | None = None):
+        self.lookup, self.voters, self.first_vote = Lookup(keys), voters, len(keys)
+        self.weight, self.bias = np.zeros(len(keys) + (VOTERS if voters else 0)), bias
 
     def present(self, features) -> tuple[np.ndarray, np.ndarray]:
         """Rows and features of all distinct (row, selected feature) of a batch, by row."""
@@ -200,6 +222,10 @@ class Classifier:
             at, number = self.lookup(values)
             rows.append(row[at])
             numbers.append(number)
+        if self.voters:
+            own, voter = np.nonzero(self.voters.votes(features)[:, None] >> np.arange(VOTERS) & 1)
+            rows.append(own)
+            numbers.append(self.first_vote + voter)
         width = len(self.weight) + 1
         pair = np.unique(np.concatenate(rows) * width + np.concatenate(numbers))
         return pair // width, pair % width
@@ -214,6 +240,9 @@ class Classifier:
                 n = size[part]
                 owner = np.repeat(np.arange(len(part)), n)
                 on = column[np.repeat(edge[part], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                if self.voters:  # half of the texts show their votes alone, so that votes carry texts of unknown words
+                    shown = (on >= self.first_vote) | (rng.random(len(part)) < 0.5)[owner]
+                    owner, on = owner[shown], on[shown]
                 z = self.bias + np.bincount(owner, self.weight[on], len(part))
                 g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - q[part]
                 self.bias -= 0.02 * g.sum()
@@ -268,23 +297,26 @@ def _keys(rows) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows], np.int64)).view(np.uint64)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, support: int = 5, precision: float = 0.85) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, support: int = 5, precision: float = 0.9) -> DataFrame:
     """doc_id, score, predicted (score >= 0.5) and votes (bits of the voters that fired) for every row of ``docs``.
 
     ``labels`` (doc_id, toxic) are the rows to learn from; the caller leaves out
     held-out ones. Lexicons are mined from what occurs in ``support`` sample
-    rows or more, ``precision`` of them (with one clean row added) toxic.
+    rows or more, ``precision`` of them (with one clean row added) toxic; words
+    that count for density need less of both.
     Scores depend on the text alone. A null or empty text scores as a text in
     which nothing fires; a null doc_id is kept; repeated rows score alike;
     without labels only the fixed lexicons are known; an empty table gives no rows.
     """
     spark = docs.sparkSession
     sample = training_sample(docs, labels, "toxic", sample_rows)
-    mined = _tallies(sample, lambda features, label: label, pairs=True).where((F.col("n") >= support) & (F.col("t") >= precision * (F.col("n") + 1)))
+    counted = written(_tallies(sample, lambda features, label: label, pairs=True).where(F.col("t") >= LIKELY_PRECISION * (F.col("n") + 1)))
+    mined = counted.where((F.col("n") >= support) & (F.col("t") >= precision * (F.col("n") + 1)))
+    likely = counted.where((F.col("kind") == WORDS) & (F.col("n") >= LIKELY_SUPPORT)).orderBy(F.desc("t"), "feature").limit(FEATURES).select("feature").collect()
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("t"), "feature"))
-    sure = F.when((F.col("kind") == WORDS) & (F.col("t") >= SURE_PRECISION * F.col("n")), SURE).otherwise(F.col("kind"))
+    sure = F.when((F.col("kind") == WORDS) & (F.col("t") >= SURE_PRECISION * (F.col("n") + 0.5)), SURE).otherwise(F.col("kind"))
     mined = mined.withColumn("place", place).where(F.col("place") <= FEATURES).select("feature", sure.alias("kind")).orderBy("kind", "feature").collect()
-    voters = Voters(np.array([r[0] for r in mined], np.int64).view(np.uint64), np.array([r[1] for r in mined], np.int64))
+    voters = Voters(np.array([r[0] for r in mined], np.int64).view(np.uint64), np.array([r[1] for r in mined], np.int64), _keys(likely))
     shared = spark.sparkContext.broadcast(voters)
     one = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
 
@@ -294,11 +326,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
                 votes = shared.value.votes(word_features(batch.column("text").slice(a, 1024)))
                 yield pa.RecordBatch.from_arrays([pa.array(votes.astype(np.int32))], names=["votes"])
 
-    # 2**12 patterns at most come to the driver
+    def labelled_vote(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                votes = shared.value.votes(word_features(part.column("text")))
+                yield pa.RecordBatch.from_arrays([pa.array(votes.astype(np.int32)), part.column("label").cast(pa.int32())], names=["votes", "label"])
+
+    # 2**13 patterns at most come to the driver, twice as many with labels
+    labelled = sample.select("text", "label").mapInArrow(labelled_vote, "votes int, label int").groupBy("votes", "label").count().orderBy("votes", "label").collect()
     patterns = one.select("text").mapInArrow(vote, "votes int").groupBy("votes").count().orderBy("votes").collect()
     masks, counts = np.array([r[0] for r in patterns] or [0]), np.array([r[1] for r in patterns] or [1], float)
     prior = sample.agg(F.avg("label")).first()[0]
-    model = LabelModel(masks, counts, float(np.clip(0.1 if prior is None else prior, 0.02, 0.5)))
+    model = LabelModel(masks, counts, float(np.clip(0.1 if prior is None else prior, 0.02, 0.5)), labelled=[tuple(r) for r in labelled])
     q = spark.sparkContext.broadcast(dict(zip(masks.tolist(), model.posterior(masks).tolist(), strict=True)))
 
     def posterior(features, label):
@@ -308,7 +348,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     share = float(counts @ model.posterior(masks) / counts.sum())
     chosen = _tallies(sample, posterior).drop("kind").where((F.col("n") >= 3) & (lift > max(0.5, min(0.9, 3 * share))))
     chosen = _keys(chosen.orderBy(F.desc(lift * F.log1p("n")), "feature").limit(FEATURES).select("feature").collect())
-    classifier = Classifier(chosen)
+    classifier = Classifier(chosen, voters=voters)
     blank = spark.sparkContext.broadcast(classifier)
 
     def present(batches):

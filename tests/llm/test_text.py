@@ -164,8 +164,8 @@ def test_toxicity_votes_and_scores_equal_plain_ones():
     insults = {k: set(terms) for k, terms in enumerate(toxicity.LEXICONS)}
     mined, begin, pair = ["gnarl", "idiot"], "blarg", ("foul", "play")
     key = np.concatenate([toxicity._hash_words(mined), toxicity._hash_words([begin]) ^ toxicity._SALT, toxicity.word_pairs(toxicity.word_features(pa.array([" ".join(pair)])))[0]])
-    voters = toxicity.Voters(key, np.array([toxicity.WORDS, toxicity.SURE, toxicity.BEGINNINGS, toxicity.PAIRS]))
-    texts = ["You are such an Idiot", "you one two three idiot", "blargness gnarl", "foul play", "play foul", "scum, trash! SCUM", "NOOOOOO WAY", "hey!!!!", "", None, "plain words", "you", "scum gnarl", "u GNARL", "idiot\nidiot idiot", "7777777"]
+    voters = toxicity.Voters(key, np.array([toxicity.WORDS, toxicity.SURE, toxicity.BEGINNINGS, toxicity.PAIRS]), toxicity._hash_words(["oddly", "foul"]))
+    texts = ["You are such an Idiot", "you one two three idiot", "blargness gnarl", "foul play", "play foul", "scum, trash! SCUM", "NOOOOOO WAY", "hey!!!!", "", None, "plain words", "you", "scum gnarl", "u GNARL", "idiot\nidiot idiot", "7777777", "oddly foul", "oddly foul oddly", "oddly " + "plain " * 40 + "oddly foul", "oddly foul oddly", "oddly " + "plain " * 400 + "oddly foul"]
     got = voters.votes(toxicity.word_features(pa.array(texts, pa.string())))
     classifier = toxicity.Classifier(np.concatenate([key[:3], toxicity._hash_words(["scum"])]))
     classifier.weight[:] = [1.0, 2.0, 4.0, 8.0]
@@ -178,11 +178,67 @@ def test_toxicity_votes_and_scores_equal_plain_ones():
         on |= ({toxicity.BEGINNINGS} if any(x[:5] == begin for x in w) else set()) | ({toxicity.PAIRS} if pair in zip(w, w[1:]) else set())
         on |= {toxicity.ADDRESSED} if any(b and set(w[max(0, i - 3) : i]) & set(toxicity.ADDRESS) for i, b in enumerate(bad)) else set()
         on |= {toxicity.SEVERAL} if sum(bad) >= 3 else set()
+        likely = sum(x in ("oddly", "foul") or any(x in v for v in insults.values()) for x in w)
+        on |= {toxicity.DENSE} if likely >= toxicity.DENSE_LEAST and likely >= toxicity.DENSE_SHARE * len(w) else set()
         on |= ({toxicity.CAPITALS} if sum(c.isupper() for c in t) / n > 0.5 else set()) | ({toxicity.EXCLAIMED} if t.count("!") / n > 0.02 else set())
         on |= {toxicity.STRETCHED} if sum(c.isalpha() and t[k - 3 : k] == c * 3 for k, c in enumerate(t)) / n > 0.02 else set()
         assert int(votes) == sum(1 << k for k in on), text
         z = classifier.bias + ("gnarl" in w) + 2 * ("idiot" in w) + 4 * any(x[:5] == begin for x in w) + 8 * ("scum" in w)
         assert math.isclose(score, 1 / (1 + math.exp(-z)))
+    with_votes = toxicity.Classifier(key[:1], voters=voters)
+    with_votes.weight[1:] = np.arange(toxicity.VOTERS) / 8
+    for votes, score in zip(got, with_votes.score(toxicity.word_features(pa.array(texts, pa.string()))), strict=True):
+        assert math.isclose(score, 1 / (1 + math.exp(2 - sum(k / 8 for k in range(toxicity.VOTERS) if votes >> k & 1))))
+
+
+def plain_label_model(masks, counts, prior, rounds, labelled):
+    """The label model voter by voter, in plain Python."""
+    n, last = toxicity.VOTERS, toxicity.CAPITALS
+    bit = lambda m, k: m >> k & 1
+    clip = lambda x, a, b: min(max(x, a), b)
+    rate = [[0.02 if k >= last else 0.01 for k in range(n)], [0.04 if k >= last else 0.3 for k in range(n)]]
+    for y in (0, 1):
+        own = [(m, c) for m, label, c in labelled if label == y]
+        total = sum(c for _, c in own)
+        rate[y] = [clip((sum(c for m, c in own if bit(m, k)) + 10 * rate[y][k]) / (total + 10), 1e-4, 1 - 1e-4) for k in range(n)]
+    corr = [[0.0] * n for _ in range(n)]
+
+    def posterior(m):
+        z = math.log(prior / (1 - prior))
+        for k in range(n):
+            a, b = (rate[1][k], rate[0][k]) if bit(m, k) else (1 - rate[1][k], 1 - rate[0][k])
+            z += math.log(a / b) / (1 + sum(corr[k][j] for j in range(n) if bit(m, j) == bit(m, k)))
+        return 1 / (1 + math.exp(-clip(z, -30, 30)))
+
+    plain, every = masks, sum(counts) / max(sum(c for *_, c in labelled), 1)
+    counts, masks = [*counts, *(c * every for *_, c in labelled)], [*masks, *(m for m, *_ in labelled)]
+    for _ in range(rounds):
+        q = [posterior(m) for m in plain] + [label for _, label, _ in labelled]
+        by = [[c * (1 - p) for c, p in zip(counts, q)], [c * p for c, p in zip(counts, q)]]
+        for y in (0, 1):
+            rate[y] = [clip((sum(w for m, w in zip(masks, by[y]) if bit(m, k)) + 0.5) / (sum(by[y]) + 1), 1e-4, 1 - 1e-4) for k in range(n)]
+        prior = clip(sum(by[1]) / sum(counts), 0.005, 0.5)
+        extra = [[0.0] * n for _ in range(n)]
+        for y in (0, 1):
+            total = max(sum(by[y]), 1e-9)
+            cov = lambda i, j: sum(w * (bit(m, i) - rate[y][i]) * (bit(m, j) - rate[y][j]) for m, w in zip(masks, by[y])) / total  # noqa: B023, E731
+            var = [math.sqrt(max(cov(k, k), 1e-9)) for k in range(n)]
+            for i in range(n):
+                for j in range(n):
+                    extra[i][j] += 0.5 * clip(cov(i, j) / var[i] / var[j], 0, 1) if j != i else 0
+        corr = extra
+    return [posterior(m) for m in plain], rate, prior
+
+
+def test_label_model_equals_a_plain_one():
+    rng = random.Random(6)
+    masks = sorted({0, *(sum(1 << k for k in range(toxicity.VOTERS) if rng.random() < 0.25) for _ in range(12))})
+    counts = [rng.randrange(1, 300) if m else 5000 for m in masks]
+    labelled = [(m, label, rng.randrange(1, 40)) for m in masks[:9] for label in (0, 1)]
+    for known in (labelled, []):
+        model = toxicity.LabelModel(np.array(masks), np.array(counts, float), 0.1, 4, known)
+        q, rate, prior = plain_label_model(masks, counts, 0.1, 4, known)
+        assert np.allclose(model.posterior(np.array(masks)), q) and np.allclose(model.rate, rate) and math.isclose(model.prior, prior)
 
 
 def test_classifiers_learn_from_one_text_of_an_id(spark):
