@@ -32,8 +32,8 @@ CHANGES = {
     25: {"TGA": "G"},
     26: {"CTG": "A"},
 }
-#: IUPAC ambiguity codes.
-IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
+#: IUPAC ambiguity codes, and X for any nucleotide.
+IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "GATC", "X": "GATC"}
 
 
 def genetic_code(ncbi_id: int = 1) -> dict[str, str]:

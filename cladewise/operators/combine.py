@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import difference
@@ -32,6 +32,46 @@ def independent(combinations: DataFrame, dependent: DataFrame, k: int) -> DataFr
     return c
 
 
+def constrained(branches: DataFrame, dependent: DataFrame, k: int) -> DataFrame:
+    """All combinations of ``k`` branches of which no two are a dependent pair (lo, hi), ids ascending.
+
+    Each combination carries, as bits in an array of longs, the larger branches
+    that agree with all of its members; it grows by each of them in turn, so
+    none with a dependent pair is ever formed. A tree's branches are few; the
+    table of their bits is broadcast below BITS_BROADCAST branches.
+    """
+    if k < 1:
+        raise ValueError("k must be positive")
+    own = settled(branches.select("branch_id").distinct().withColumn("i", F.row_number().over(Window.orderBy("branch_id")) - 1))
+    n = own.count()
+    words = max(-(-n // 64), 1)
+    x, y = own.select(F.col("branch_id").alias("lo"), F.col("i")), own.select(F.col("branch_id").alias("hi"), F.col("i").alias("j"))
+    clash = dependent.select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).distinct().join(x, "lo").join(y, "hi").select("i", "j")
+    # bits of all larger branches, less those of the dependent ones
+    cut = clash.groupBy("i").agg(F.collect_set("j").alias("cut"))
+    bit = lambda w: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.when(_agrees(w * 64 + b, n), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))))
+    bits = own.join(cut, "i", "left").withColumn("cut", F.coalesce("cut", F.array().cast("array<int>"))).select("i", "branch_id", F.transform(F.sequence(F.lit(0), F.lit(words - 1)), bit).alias("bits"))
+    bits = settled(bits)
+    out = bits.select(F.col("branch_id").alias("branch_id_1"), "bits")
+    more = bits.select(F.col("i").alias("_next"), "branch_id", F.col("bits").alias("_bits"))
+    for size in range(2, k + 1):
+        able = F.filter(F.sequence(F.lit(0), F.lit(max(n - 1, 0))), lambda j: F.getbit(F.get("bits", F.floor(j / 64).cast("int")), j % 64) == 1)
+        grown = out.withColumn("_next", F.explode(able)).join(F.broadcast(more) if n <= BITS_BROADCAST else more, "_next")
+        both = F.zip_with("bits", "_bits", lambda a, b: a.bitwiseAND(b))
+        out = grown.select(*ids(size - 1), F.col("branch_id").alias(f"branch_id_{size}"), both.alias("bits"))
+        if size < k:
+            out = out.repartition(*ids(size))  # combinations grow unevenly
+    return out.select(*ids(k))
+
+
+#: Branches whose bits are broadcast at most.
+BITS_BROADCAST = 10_000
+
+
+def _agrees(j, n: int):
+    return (j > F.col("i")) & (j < n) & ~F.array_contains("cut", j)
+
+
 def dependent_pairs(nodes: DataFrame, sisters: bool = True, root_has_states: bool = True) -> DataFrame:
     """Pairs of branches that can't be independent: ancestor and descendant, and sisters.
 
@@ -85,16 +125,15 @@ def unions(sets: DataFrame, k: int) -> DataFrame:
 def _met(projection: DataFrame, features: list[str], combinations: DataFrame, k: int) -> DataFrame:
     """ids, site, features, v: the product of the members' values wherever all of them have one.
 
-    Pairs come from a self-join and are then filtered to the wanted ones; more
-    branches from left-deep joins, so that a branch without mass makes no row.
+    Members are added one by one where they meet, by site and features, so that
+    a branch without mass makes no row; what can't become a wanted combination
+    goes at once. Ids ascend within a combination.
     """
     side = lambda i: projection.select(F.col("branch_id").alias(f"branch_id_{i}"), "site", *features, F.col("v").alias(f"v_{i}"))
-    if k == 2:
-        out = side(1).join(side(2), ["site", *features]).where("branch_id_1 < branch_id_2").join(combinations, ids(2), "left_semi")
-    else:
-        out = combinations.select(*ids(k)).join(side(1), "branch_id_1")
-        for i in range(2, k + 1):
-            out = out.join(side(i), [f"branch_id_{i}", "site", *features])
+    out = side(1)
+    for i in range(2, k + 1):
+        wanted = combinations.select(*ids(i)) if i == k else combinations.select(*ids(i)).distinct()
+        out = out.join(side(i), ["site", *features]).where(F.col(f"branch_id_{i - 1}") < F.col(f"branch_id_{i}")).join(wanted, ids(i), "left_semi")
     return out.select(*ids(k), "site", *features, reduce(lambda a, b: a * b, [F.col(f"v_{i}") for i in range(1, k + 1)]).alias("v"))
 
 

@@ -130,6 +130,12 @@ def independent_pairs(spark, sf):
     return free_pairs(spark, sf)
 
 
+@query(f"WITH {FREE} SELECT x.b1 AS branch_id_1, x.b2 AS branch_id_2, y.b2 AS branch_id_3 FROM free x JOIN free y ON y.b1 = x.b2 JOIN free z ON z.b1 = x.b1 AND z.b2 = y.b2")
+def constrained_triples(spark, sf):
+    """All triples of independent branches, grown without ever forming a dependent one."""
+    return combine.constrained(branches(spark, sf), dependent(spark, sf), 3)
+
+
 _CB = f"""WITH {ALL_PAIRS}, cb AS (SELECT b1 AS branch_id_1, b2 AS branch_id_2, {', '.join(f'coalesce({s}, 0) AS OCN{s}' for s in KEYS)} FROM free
  {' '.join(f'LEFT JOIN (SELECT b1, b2, sum({s}) AS {s} FROM c_{s} GROUP BY ALL) t_{s} USING (b1, b2)' for s in KEYS)})"""
 

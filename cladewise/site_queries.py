@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import combine, epistasis, events as ev, expected, omega_null, permute, pseudocounts, ranking, rates, scan, site_tables, states as st, summaries
+from .operators import combine, epistasis, events as ev, expected, omega_null, permute, pseudocounts, ranking, rates, recode_search, scan, site_tables, states as st, summaries
 from .plans import statistics
 from .plans.settled import settled
 from .queries import EV, FREE, SITES, _CB, _OM, branches, cb_table, channels, events, free_pairs, query, r, rate_table, t
@@ -322,6 +322,14 @@ def omega_pvalues(spark, sf):
     return out.select(*combine.ids(2), r("omegaCany2spe"), r("pomegaCany2spe"), r("qomegaCany2spe"))
 
 
+@query()
+def auto_recoding(spark, sf):
+    """The best of 64 searches for four classes of ten letters by conductance (tested against all partitions; no SQL twin)."""
+    x = t(spark, sf, "lineitem").selectExpr("l_suppkey as seq_id", "l_partkey as site", "substr('ABCDEFGHIJ', 1 + cast((l_partkey * 3 + l_linenumber * l_linenumber + l_quantity) % 10 as int), 1) as letter")
+    found, criterion, _ = recode_search.search(x, "ABCDEFGHIJ", 4, "conductance", starts=64)
+    return spark.createDataFrame([(k, c, round(criterion, 9)) for k, c in enumerate(found)], "class int, letters string, criterion double")
+
+
 @query()
 def contact_tilts(spark, sf):
     """Tilts of every branch's sites, chosen jointly in three bins of root distance (tested against a NumPy loop; no SQL twin)."""

@@ -169,6 +169,12 @@ def codon_states(spark: SparkSession, ncbi_id: int = 1) -> DataFrame:
     return spark.createDataFrame(rows, "codon string, state string, p double")
 
 
+def first_states(spark: SparkSession, ncbi_id: int = 1) -> DataFrame:
+    """codon, state: the first sense codon that each codon of nucleotides and ambiguity codes can be."""
+    rows = [(c, of[0]) for c in map("".join, product(IUPAC, repeat=3)) if (of := compatible_codons(c, ncbi_id))]
+    return spark.createDataFrame(rows, "codon string, state string")
+
+
 def tip_states(records: DataFrame, ncbi_id: int = 1) -> DataFrame:
     """seq_id, site, state, p of the codons of aligned coding sequences (seq_id, sequence): ambiguous ones are shared out, gaps and unknown codons have no rows.
 
