@@ -82,8 +82,16 @@ def standard_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"\[.*", ""), "/.*", ""), "['\"]", "")
 
 
-def state_change(before: Column, after: Column, site: Column) -> Column:
-    """'A12G'; a side that is 'any' or null is left out, 'dif' is written as it is."""
+def state_change(before: Column, after: Column, site: Column, match: Column | None = None) -> Column:
+    """'A12G'; a side that is 'any' or null is left out, 'dif' is written as it is.
+
+    With the class of a change in ``match`` a side of it that is no single state
+    is left out, whatever it is, and '12:any2dif' is written where neither is.
+    """
+    if match is not None:
+        one = lambda c, part: F.when(F.split(match, "2")[part] == "spe", c).otherwise("")
+        text = F.concat(one(before, 0), site.cast("string"), one(after, 1))
+        return F.when(match.contains("spe"), text).otherwise(F.concat(site.cast("string"), F.lit(":"), match))
     side = lambda c: F.when(c.isNull() | (c == "any"), "").otherwise(c)
     return F.concat(side(before), site.cast("string"), side(after))
 

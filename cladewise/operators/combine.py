@@ -109,6 +109,21 @@ def expand(combinations: DataFrame, k: int, dependent: DataFrame | None = None)
     return out if dependent is None else independent(out, dependent, k + 1)
 
 
+def trait_unions(sets: DataFrame, k: int, dependent: DataFrame | None = None) -> DataFrame:
+    """Combinations of ``k`` branches from the sets (trait, members) of each trait by itself (``unions``), each once over all traits, independent ones only."""
+    s = sets.select("trait", F.array_sort(F.array_distinct("members")).alias("m")).distinct()
+    part = s.select("trait", "m", F.explode("m").alias("b"))
+    both = part.join(part.withColumnRenamed("m", "n"), ["trait", "b"]).where(F.array_join("m", ",") < F.array_join("n", ",")).select(F.array_sort(F.array_union("m", "n")).alias("m"))
+    rows = both.unionByName(s.select("m")).where(F.size("m") == k).distinct()
+    out = rows.select(*[F.col("m")[i].alias(c) for i, c in enumerate(ids(k))])
+    return out if dependent is None else independent(out, dependent, k)
+
+
+def active_branches(*events: DataFrame) -> DataFrame:
+    """branch_id of the branches that have events in any of the channels, each once."""
+    return reduce(lambda a, b: a.union(b), [e.where("pp > 0").select("branch_id") for e in events]).distinct()
+
+
 def unions(sets: DataFrame, k: int) -> DataFrame:
     """Combinations of ``k`` branches that are unions of two given sets (column members, an array) that share a member; sets of k are kept as they are.
 
@@ -192,6 +207,20 @@ def with_branch_totals(cb: DataFrame, totals: DataFrame, k: int, name: str = "su
     return cb
 
 
+def branch_distances(nodes: DataFrame) -> DataFrame:
+    """x, y, dist, steps of each two nodes with x < y: the length of the path between them less y's own branch, and the path's number of branches.
+
+    nodes: node, ancestor, depth (its number of steps up), length (its distance
+    up); each node is its own ancestor at depth 0. The nearest common ancestor
+    is found by a join on ancestors.
+    """
+    a = nodes.select(F.col("node").alias("x"), "ancestor", F.col("depth").alias("dx"), F.col("length").alias("lx"))
+    b = nodes.select(F.col("node").alias("y"), "ancestor", F.col("depth").alias("dy"), F.col("length").alias("ly"))
+    near = a.join(b, "ancestor").where("x < y").groupBy("x", "y").agg(F.min(F.struct((F.col("dx") + F.col("dy")).alias("steps"), (F.col("lx") + F.col("ly")).alias("dist"))).alias("m"))
+    own = nodes.where("depth = 1").select(F.col("node").alias("y"), F.col("length").alias("own"))
+    return near.join(own, "y", "left").select("x", "y", (F.col("m.dist") - F.coalesce("own", F.lit(0.0))).alias("dist"), "m.steps")
+
+
 def max_distance(cb: DataFrame, distances: DataFrame, k: int) -> DataFrame:
     """The largest distance between two members, from distances (x, y, dist) with x < y."""
     for i in range(1, k + 1):

@@ -194,6 +194,36 @@ def inclusion(weights: DataFrame, draws: DataFrame, law: str = "fisher") -> Data
     return weights.join(F.broadcast(draws), "branch_id").groupBy("branch_id").applyInPandas(run, f"{kinds}, weight double")
 
 
+#: What tells the features of a statistic apart.
+FEATURE = ["stat", "grp", "a", "d"]
+
+
+def urn_projections(weights: DataFrame, draws: DataFrame, law: str = "independent") -> DataFrame:
+    """branch_id, site, stat, grp, a, d, v: the probability that a branch's draws of a feature hold a site.
+
+    weights: branch_id, site, weight, with the columns of a feature if they
+    differ by it; draws: branch_id, stat, grp, a, d, n. 'independent': n *
+    weight; 'fisher' and 'wallenius': the urns' inclusion probabilities. Counted
+    like projections of events (combine.counts_of) they give the expected counts.
+    """
+    on = ["branch_id", *[c for c in FEATURE if c in weights.columns]]
+    rows = draws.join(weights, on)
+    if law == "independent":
+        return rows.select("branch_id", "site", *FEATURE, (F.col("n") * F.col("weight")).alias("v")).where("v > 0")
+    function = {"fisher": fisher_inclusion, "wallenius": wallenius_inclusion}[law]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("site")
+        w, n = pdf["weight"].to_numpy(), max(float(pdf["n"].iloc[0]), 0.0)
+        p = function(w, int(n))
+        if n % 1:
+            p = (1 - n % 1) * p + n % 1 * function(w, int(n) + 1)
+        return pdf[["branch_id", "site", *FEATURE]].assign(v=p)
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ["branch_id", "site", *FEATURE])
+    return rows.select("branch_id", "site", *FEATURE, "n", "weight").groupBy("branch_id", *FEATURE).applyInPandas(run, f"{kinds}, v double").where("v > 0")
+
+
 def urn_overlap(weights: DataFrame, draws: DataFrame, pairs: DataFrame, law: str = "fisher") -> DataFrame:
     """branch_id_1, branch_id_2, expected: sites that two branches' urns share on average, the sum of products of their inclusion probabilities."""
     p = inclusion(weights, draws, law)

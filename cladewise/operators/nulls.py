@@ -24,22 +24,24 @@ def log_gamma(x: pd.Series) -> pd.Series:
 def simulated_counts(df: DataFrame, keys: list[str], mean: str, rounds: int, dispersion: float = 0.0, seed: int = 1) -> DataFrame:
     """keys, round, count: draws of a Poisson law with each row's mean, or negative binomial with variance mean + dispersion * mean^2.
 
-    Each row's stream is seeded by a hash of (seed, keys), whatever the partitions.
+    Each row's stream is seeded by a hash of (seed, keys), whatever the
+    partitions; a batch's draws are one matrix, a row for each of its rows.
     """
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                rng = np.random.default_rng(row[-1] & (2**63 - 1))
-                m = max(float(row[-2]), 0.0)
-                lam = rng.gamma(1 / dispersion, m * dispersion, rounds) if dispersion > 0 and m > 0 else np.full(rounds, m)
-                out.append(pd.DataFrame({**dict(zip(keys, row[: len(keys)], strict=True)), "round": np.arange(rounds), "count": rng.poisson(lam)}))
-            if out:
-                yield pd.concat(out)
-
-    return df.select(*keys, mean, F.xxhash64(F.lit(seed), *keys).alias("_seed")).mapInPandas(run, f"{kinds}, round int, count long")
+            means = np.maximum(pdf[mean_name].to_numpy(float), 0.0)
+            counts = np.empty((len(pdf), rounds), np.int64)
+            for i, (s, m) in enumerate(zip(pdf["_seed"].to_numpy() & (2**63 - 1), means, strict=True)):
+                rng = np.random.default_rng(s)
+                counts[i] = rng.poisson(rng.gamma(1 / dispersion, m * dispersion, rounds) if dispersion > 0 and m > 0 else m, rounds)
+            at = np.repeat(np.arange(len(pdf)), rounds)
+            yield pdf[keys].iloc[at].assign(round=np.tile(np.arange(rounds, dtype=np.int32), len(pdf)), count=counts.ravel())
+
+    mean_name = mean
+
+    return df.select(*keys, mean_name, F.xxhash64(F.lit(seed), *keys).alias("_seed")).mapInPandas(run, f"{kinds}, round int, count long")
 
 
 def poisson_overlaps(weights: DataFrame, totals: DataFrame, pairs: DataFrame, rounds: int, dispersion: float = 0.0, seed: int = 1) -> DataFrame:

@@ -161,6 +161,14 @@ def permuted_summary(cb: DataFrame, k: int, rounds: DataFrame, value: str) -> Da
     return hit.groupBy("round").agg(F.count(F.lit(1)).alias("n"), F.median(number).alias("median"), F.sum(number).alias("total"))
 
 
+def summary_p(permuted: DataFrame, observed: float, value: str = "median") -> DataFrame:
+    """n, as_large, p, median, mean, sd: rounds whose ``value`` is known, those at or above the observed one, their share, and the finite values' mean and deviation."""
+    v = F.col(value)
+    known, inside = v.isNotNull() & ~F.isnan(v), v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    n, large = F.count_if(known), F.count_if(known & (v >= F.lit(float(observed))))
+    return permuted.agg(n.alias("n"), large.alias("as_large"), F.try_divide(large, n).alias("p"), F.median(F.when(known, v)).alias("median"), F.avg(F.when(inside, v)).alias("mean"), F.stddev_pop(F.when(inside, v)).alias("sd"))
+
+
 def random_combinations(spark: SparkSession, branches: list[int], dependent: set[tuple[int, int]], k: int, n: int, seed: int = 1, rounds: int = 20) -> DataFrame:
     """Up to ``n`` different random combinations of ``k`` branches of which no two depend on each other.
 

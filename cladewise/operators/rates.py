@@ -24,18 +24,20 @@ def add_rates(cb: DataFrame, stats: list[str], alpha: float = 0.0) -> DataFrame:
     return cb
 
 
-def observed_and_expected(observed: dict[str, DataFrame], vectors: dict[str, tuple[DataFrame, DataFrame]], combinations: DataFrame, k: int, stats, below_root: DataFrame | None = None) -> DataFrame:
+def observed_and_expected(observed: dict[str, DataFrame], vectors: dict[str, tuple[DataFrame, DataFrame]], combinations: DataFrame, k: int, stats, below_root: DataFrame | None = None, urns: dict[str, DataFrame] | None = None) -> DataFrame:
     """The cb table from events and state vectors of the channels: OCN, OCS, ECN and ECS of each statistic.
 
     observed: events by channel; vectors: (parent, expected child) by channel,
     as for expected.closed_form_projections, so no table of all pairs of states
     is made unless spe2spe is asked for. Site categories are groups of the
     vectors and are summed over. Expected counts of combinations with a branch
-    right below the root (``below_root``) are NaN. All channels meet in one
+    right below the root (``below_root``) are NaN. With ``urns``, projections by
+    channel as of expected.urn_projections, these give the expected counts in
+    place of the vectors, of which there may be none. All channels meet in one
     join, told apart by the statistic's name.
     """
     parts = {f"OC{channel}": projections(events, stats) for channel, events in observed.items()}
-    parts |= {f"EC{channel}": closed_form_projections(parent, child, stats) for channel, (parent, child) in vectors.items()}
+    parts |= {f"EC{channel}": closed_form_projections(parent, child, stats) for channel, (parent, child) in vectors.items()} if urns is None else {f"EC{channel}": p.where(F.col("stat").isin(list(stats))) for channel, p in urns.items()}
     every = None
     for prefix, p in parts.items():
         p = p.withColumns({"stat": F.concat(F.lit(prefix), "stat"), "grp": F.col("grp").cast("int")})

@@ -108,8 +108,9 @@ def site_rates(totals: dict[str, DataFrame], mode: str, sites: int, present: Dat
     """branch_id, site, weight by channel: how a branch's substitutions spread over the sites that it has (present: branch_id, site).
 
     totals: site, sub of each channel. Modes: 'no' (all alike), 'pool' (both
-    channels together), 'sn' (each channel's own), 'file' (given rates); alpha
-    is added to each site's share in 'sn' only. Where a branch's sites have no
+    channels together), 'sn' (each channel's own), 'file' (given rates), 'each'
+    (each feature's own: totals then have stat, grp, a and d, and so have the
+    weights); alpha is added to each site's share in 'sn' and 'each'. Where a branch's sites have no
     weight at all they are alike.
     """
     every = None
@@ -119,18 +120,22 @@ def site_rates(totals: dict[str, DataFrame], mode: str, sites: int, present: Dat
         base = {c: present.select("site").distinct().withColumn("sub", F.lit(1.0 / sites)) for c in totals}
     elif mode == "pool":
         base = dict.fromkeys(totals, every.groupBy("site").agg(F.sum("sub").alias("sub")))
-    elif mode == "sn":
+    elif mode in ("sn", "each"):
         base = totals
     elif mode == "file" and file_rates is not None:
         base = dict.fromkeys(totals, file_rates.select("site", F.col("rate").alias("sub")))
     else:
         raise ValueError(f"unknown site rate mode {mode!r}")
-    added = alpha if mode == "sn" else 0.0
-    w = Window.partitionBy("branch_id")
+    added = alpha if mode in ("sn", "each") else 0.0
+    feature = ["stat", "grp", "a", "d"] if mode == "each" else []
+    w = Window.partitionBy("branch_id", *feature)
 
     def spread(df):
-        rows = present.select("branch_id", "site").join(df.select("site", "sub"), "site", "left").fillna(0.0, ["sub"]).withColumn("_s", F.greatest(F.col("sub"), F.lit(0.0)) + added)
+        own = present.select("branch_id", "site")
+        if feature:  # a branch's sites, for each feature that its channel has (a few dozen)
+            own = own.join(F.broadcast(df.select(*feature).distinct()))
+        rows = own.join(df.select("site", *feature, "sub"), ["site", *feature], "left").fillna(0.0, ["sub"]).withColumn("_s", F.greatest(F.col("sub"), F.lit(0.0)) + added)
         rows = rows.withColumns({"_t": F.sum("_s").over(w), "_n": F.count(F.lit(1)).over(w)})
-        return rows.select("branch_id", "site", F.when(F.col("_t") > 0, F.col("_s") / F.col("_t")).otherwise(1.0 / F.col("_n")).alias("weight"))
+        return rows.select("branch_id", "site", *feature, F.when(F.col("_t") > 0, F.col("_s") / F.col("_t")).otherwise(1.0 / F.col("_n")).alias("weight"))
 
     return {c: spread(df) for c, df in base.items()}

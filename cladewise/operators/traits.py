@@ -63,6 +63,18 @@ def label_combinations(cb: DataFrame, k: int, fg: DataFrame, mg: DataFrame | Non
     return cb.withColumns({"is_fg": f == k, "is_mg": m == k, "is_mf": (f > 0) & (m > 0) & (f + m == k)})
 
 
+def label_branches(b: DataFrame, fg: DataFrame, mg: DataFrame) -> DataFrame:
+    """Adds is_fg_<trait> and is_mg_<trait> ('Y' or 'N') to a table of branches for every trait of fg and mg (trait, branch_id)."""
+    traits = sorted({r.trait for r in fg.select("trait").union(mg.select("trait")).distinct().collect()})  # a few
+    own = None
+    for kind, table in (("fg", fg), ("mg", mg)):
+        part = table.select("branch_id", F.concat(F.lit(f"is_{kind}_"), F.col("trait")).alias("c"))
+        own = part if own is None else own.unionByName(part)
+    names = [f"is_{k}_{t}" for t in traits for k in ("fg", "mg")]
+    flags = own.groupBy("branch_id").agg(*[F.bool_or(F.col("c") == n).alias(n) for n in names])
+    return b.join(flags, "branch_id", "left").withColumns({n: F.when(F.col(n), "Y").otherwise("N") for n in names})
+
+
 def summarise(cb: DataFrame, stats: list[str], passed, targets: list[str]) -> DataFrame:
     """One row: numbers of combinations, of passing ones, medians and totals of each statistic for all and each target flag.
 
