@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import combine, epistasis, events as ev, expected, omega_null, permute, pseudocounts, ranking, rates, recode_search, scan, site_tables, states as st, summaries
+from .operators import combine, epistasis, events as ev, expected, omega_null, permute, pseudocounts, ranking, rates, recode_search, scan, site_jobs, site_tables, states as st, summaries, traits
 from .plans import statistics
 from .plans.settled import settled
-from .queries import EV, FREE, SITES, _CB, _OM, branches, cb_table, channels, events, free_pairs, query, r, rate_table, t
+from .queries import EV, FREE, SITES, _CB, _OM, branches, cb_table, channels, events, free_pairs, query, r, rate_table, site_axis, t
 
 
 def tree(spark, sf):
@@ -354,3 +354,50 @@ def staged_pvalues(spark, sf):
     pairs = free_pairs(spark, sf)
     observed = pairs.join(x.join(y, "site").groupBy(*combine.ids(2)).agg(F.count(F.lit(1)).alias("overlap")), combine.ids(2), "left").fillna(0, ["overlap"])
     return rates.staged_p(observed, combine.ids(2), "overlap", lambda rows, a, b: expected.permuted_overlaps(weights, draws, rows, b, first=a), (20, 60), 1)
+
+
+@query(f"WITH {EV}, {FREE}, w AS (SELECT branch_id, site, sum(pp) / sum(sum(pp)) OVER (PARTITION BY branch_id) AS w FROM ev GROUP BY 1, 2), k AS (SELECT b1, b2, sum(x.w * y.w) AS k FROM free JOIN w x ON x.branch_id = b1 JOIN w y ON y.branch_id = b2 AND y.site = x.site GROUP BY 1, 2), n AS (SELECT branch_id, d, sum(pp) AS n FROM ev GROUP BY 1, 2), o AS (SELECT b1, b2, sum(x.v * y.v) AS o FROM free JOIN (SELECT branch_id, site, d, sum(pp) AS v FROM ev GROUP BY ALL) x ON x.branch_id = b1 JOIN (SELECT branch_id, site, d, sum(pp) AS v FROM ev GROUP BY ALL) y ON y.branch_id = b2 AND y.site = x.site AND y.d = x.d GROUP BY 1, 2) SELECT b1 AS branch_id_1, b2 AS branch_id_2, round(o, 6) AS OCNany2spe, round(k * (SELECT sum(x.n * y.n) FROM n x JOIN n y ON x.d = y.d WHERE x.branch_id = b1 AND y.branch_id = b2), 6) AS ECNany2spe FROM k JOIN o USING (b1, b2)")
+def urn_counts(spark, sf):
+    """Observed counts, and those that urns of each derived state let expect."""
+    e = events(spark, sf)
+    weights = expected.site_weights(e.groupBy("branch_id", "site").agg(F.sum("pp").alias("sub")), SITES).select("branch_id", "site", "weight")
+    urns = {"N": expected.urn_projections(weights, omega_null.feature_draws(e, ("any2spe",)))}
+    cb = rates.observed_and_expected({"N": e}, {}, free_pairs(spark, sf), 2, ("any2spe",), urns=urns)
+    return cb.select(*combine.ids(2), r("OCNany2spe"), r("ECNany2spe"))
+
+
+_SET = f"""WITH {EV}, v AS (SELECT site, d AS channel, branch_id, sum(pp) AS v FROM ev GROUP BY ALL), w AS (SELECT site, channel, coalesce(sum(v) FILTER (branch_id = 1), 0) AS v1, coalesce(sum(v) FILTER (branch_id = 2), 0) AS v2, coalesce(max(v) FILTER (branch_id NOT IN (1, 2)), 0) AS va FROM v GROUP BY 1, 2),
+ j AS (SELECT *, (round(v1, 9) >= 0.3 OR round(v2, 9) >= 0.3) AND NOT round(va, 9) >= 0.7 AS ok, greatest(CASE WHEN round(v1, 9) >= 0.3 THEN v1 ELSE 0 END, CASE WHEN round(v2, 9) >= 0.3 THEN v2 ELSE 0 END) AS p FROM w), g AS (SELECT site, max(v1) AS p1, max(v2) AS p2, bool_or(ok) AS e, max(CASE WHEN ok THEN p ELSE 0 END) AS pe, max(va) AS pa, bool_or(round(va, 9) >= 0.7) AS o FROM j GROUP BY 1)"""
+
+
+@query(f"{_SET} SELECT CAST(i AS INT) AS site, round(least(coalesce(p1, 0), 1), 6) AS n_1, round(least(coalesce(p2, 0), 1), 6) AS n_2, coalesce(e, false) AS selected, round(coalesce(pe, 0), 6) AS probability, round(coalesce(pa, 0), 6) AS other FROM range(97) x(i) LEFT JOIN g ON site = i")
+def set_columns(spark, sf):
+    """Columns of the expression (1|2)-A in each derived state; the named branches count from 0.3, the others from 0.7."""
+    e = events(spark, sf).groupBy("branch_id", "site", "grp", "a", "d").agg(F.sum("pp").alias("pp"))
+    scaled = e.withColumn("pp", F.when(F.col("branch_id").isin(1, 2), F.col("pp")).otherwise(F.col("pp") * 3 / 7))  # one threshold for both
+    out = site_jobs.set_columns(site_axis(spark), scaled, site_jobs.parse_mode("set,spe,(1|2)-A"), 0.3 - 1e-9)
+    return out.select("site", F.round("N_set_branch_1_prob", 6).alias("n_1"), F.round("N_set_branch_2_prob", 6).alias("n_2"), F.col("N_set_expr").alias("selected"), F.round("N_set_expr_prob", 6).alias("probability"), F.round(F.col("N_set_other_prob") * 7 / 3, 6).alias("other"))
+
+
+@query(f"{_CB}, rd AS (SELECT i AS round, n_nationkey AS b FROM range(1, 13) r(i), nation WHERE (n_nationkey * 5 + i * 7) % 4 = 0), x AS (SELECT x.round, median(OCNany2spe) AS median FROM cb JOIN rd x ON x.b = branch_id_1 JOIN rd y ON y.b = branch_id_2 AND y.round = x.round GROUP BY 1), o AS (SELECT median(OCNany2spe) AS m FROM cb WHERE branch_id_1 % 3 = 0 AND branch_id_2 % 3 = 0) SELECT count(*) AS n, count(*) FILTER (median >= m) AS as_large, round(count(*) FILTER (median >= m) / CAST(count(*) AS DOUBLE), 6) AS p, round(median(median), 6) AS median FROM x, o")
+def clade_permutation_p(spark, sf):
+    """Where the foreground's median lies among those of twelve permuted foregrounds."""
+    n = t(spark, sf, "nation").selectExpr("cast(n_nationkey as int) as branch_id")
+    rounds = spark.range(1, 13).selectExpr("id as round").join(F.broadcast(n), F.expr("(branch_id * 5 + round * 7) % 4 = 0"))
+    cb = settled(cb_table(spark, sf))
+    observed = permute.permuted_summary(cb, 2, n.where("branch_id % 3 = 0").select(F.lit(0).alias("round"), "branch_id"), "OCNany2spe").first()["median"]
+    out = permute.summary_p(permute.permuted_summary(cb, 2, rounds, "OCNany2spe"), observed)
+    return out.select("n", "as_large", r("p"), r("median"))
+
+
+@query("SELECT CAST(i AS BIGINT) AS codon_site_alignment, CAST(i + 1 AS BIGINT) AS codon_site_alignment_1based, coalesce(k - 1, -1) AS site, coalesce(k, 0) AS site_1based, CASE WHEN k IS NULL THEN 'N' ELSE 'Y' END AS is_retained FROM range(97) x(i) LEFT JOIN (SELECT site, row_number() OVER (ORDER BY site) AS k FROM (SELECT DISTINCT s_suppkey % 97 AS site FROM supplier)) y ON y.site = i")
+def site_index_map(spark, sf):
+    kept = ev.reindex_sites(t(spark, sf, "supplier").selectExpr("s_suppkey % 97 as site"))
+    return site_jobs.site_index_map(kept, SITES)
+
+
+@query("SELECT n_nationkey AS branch_id, CASE WHEN n_nationkey % 3 = 0 THEN 'Y' ELSE 'N' END AS is_fg_a, CASE WHEN n_nationkey % 4 = 1 THEN 'Y' ELSE 'N' END AS is_mg_a, CASE WHEN n_nationkey % 5 = 2 THEN 'Y' ELSE 'N' END AS is_fg_b, 'N' AS is_mg_b FROM nation")
+def branch_flags(spark, sf):
+    b = branches(spark, sf)
+    of = lambda trait, rule: b.where(rule).select(F.lit(trait).alias("trait"), "branch_id")
+    return traits.label_branches(b, of("a", "branch_id % 3 = 0").union(of("b", "branch_id % 5 = 2")), of("a", "branch_id % 4 = 1"))
