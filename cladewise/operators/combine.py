@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,15 +154,68 @@ def _met(projection: DataFrame, features: list[str], combinations: DataFrame, k:
     return out.select(*ids(k), "site", *features, reduce(lambda a, b: a * b, [F.col(f"v_{i}") for i in range(1, k + 1)]).alias("v"))
 
 
+def _products(projection: DataFrame, features: list[str]) -> DataFrame:
+    """branch_id_1 < branch_id_2, stat, v: sums over sites and features of the products of two branches' values.
+
+    A task holds the sites that are dealt to it and multiplies matrices of
+    branches by (site, features) columns, a block of columns at a time; what it
+    returns is a value for each pair, so no row is made for a pair at a site.
+    """
+    kind = projection.schema["branch_id"].dataType.simpleString()
+    columns = ["site", *features]
+
+    def coded(c: pa.ChunkedArray) -> tuple[np.ndarray, int]:
+        d = c.combine_chunks().dictionary_encode(null_encoding="encode")
+        return np.asarray(d.indices, np.int64), max(len(d.dictionary), 1)
+
+    def run(batches):
+        parts = list(batches)
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts)
+        branch, row = np.unique(rows.column("branch_id").to_numpy(), return_inverse=True)
+        value, column = rows.column("v").to_numpy(), np.zeros(len(rows), np.int64)
+        for c in columns:
+            number, size = coded(rows.column(c))
+            column = column * size + number
+        kind_of, names = coded(rows.column("stat"))[0], rows.column("stat").combine_chunks().dictionary_encode().dictionary.to_pylist()
+        for k, stat in enumerate(names):
+            own = np.flatnonzero(kind_of == k)
+            place = np.unique(column[own], return_inverse=True)[1]
+            order = np.argsort(place, kind="stable")
+            own, place = own[order], place[order]
+            total = np.zeros((len(branch), len(branch)))
+            for first in range(0, int(place[-1]) + 1, COLUMNS):
+                lo, hi = np.searchsorted(place, [first, first + COLUMNS])
+                block = np.zeros((len(branch), COLUMNS))
+                np.add.at(block, (row[own[lo:hi]], place[lo:hi] - first), value[own[lo:hi]])
+                total += block @ block.T
+            i, j = np.triu_indices(len(branch), 1)
+            keep = total[i, j] != 0
+            yield pa.RecordBatch.from_arrays([pa.array(branch[i[keep]]), pa.array(branch[j[keep]]), pa.array([stat] * int(keep.sum()), pa.string()), pa.array(total[i, j][keep])], ["branch_id_1", "branch_id_2", "stat", "v"])
+
+    wanted = projection.select("branch_id", *columns, "v").where(F.col("v").isNotNull()).repartition("site")
+    return wanted.mapInArrow(run, f"branch_id_1 {kind}, branch_id_2 {kind}, stat string, v double")
+
+
+#: Branches of which a task may hold all pairs, and columns that it multiplies at once.
+PAIRED_BRANCHES, COLUMNS = 2048, 4096
+
+
 def counts_of(projections: DataFrame, combinations: DataFrame, k: int = 2, prefix: str = "OCN", stats=tuple(FEATURES), by: tuple[str, ...] | None = None) -> DataFrame:
     """Convergence counts from the projections of all statistics (as events.projections gives them), one column for each, 0 where nothing meets.
 
-    One join for all statistics, which are told apart by their key, and one sum.
+    One join for all statistics, which are told apart by their key, and one sum;
+    for pairs of a tree's branches a product of matrices in its place.
     ``by``: grouping of the result; the combination's ids for the cb table, plus
     'site' for cbs, only 'site' for cs.
     """
     keys = list(by) if by else ids(k)
-    met = _met(projections, ["stat", *FEATURES["spe2spe"]], combinations, k)
+    features = ["stat", *FEATURES["spe2spe"]]
+    if k == 2 and by is None and projections.select("branch_id").distinct().count() <= PAIRED_BRANCHES:
+        met = _products(projections, features).join(combinations.select(*ids(2)), ids(2), "left_semi")
+    else:
+        met = _met(projections, features, combinations, k)
     out = met.groupBy(*keys).agg(*[F.sum(F.when(F.col("stat") == s, F.col("v"))).alias(f"{prefix}{s}") for s in stats])
     if by is None:
         out = combinations.select(*keys).join(out, keys, "left")

@@ -149,6 +149,23 @@ def cb_pairs(spark, sf):
     return cb_table(spark, sf).select(*combine.ids(2), *[r(f"OCN{s}") for s in ev.FEATURES])
 
 
+#: A tree of 140 branches and an alignment of 971 sites: branches are part keys modulo 140, of which those equal modulo 14
+#: depend on each other, and sites are order keys modulo 971.
+_BIG = """be AS (SELECT CAST(l_partkey % 140 AS INT) AS branch_id, CAST(l_orderkey % 971 AS INT) AS site, l_returnflag AS a, CAST(l_linenumber % 4 AS VARCHAR) AS d, l_discount AS pp FROM lineitem WHERE l_discount > 0)"""
+
+
+@query(f"""WITH {_BIG}, pr AS (SELECT DISTINCT x.branch_id AS b1, y.branch_id AS b2 FROM (SELECT DISTINCT branch_id FROM be) x, (SELECT DISTINCT branch_id FROM be) y WHERE x.branch_id < y.branch_id AND x.branch_id % 14 <> y.branch_id % 14),
+ {', '.join(f"b_{s} AS (SELECT branch_id, site{', ' + k if k else ''}, sum(pp) AS v FROM be GROUP BY ALL), c_{s} AS (SELECT x.branch_id AS b1, y.branch_id AS b2, sum(x.v * y.v) AS v FROM b_{s} x JOIN b_{s} y ON x.site = y.site AND x.branch_id < y.branch_id{''.join(f' AND x.{f} = y.{f}' for f in k.split(', ') if f)} GROUP BY 1, 2)" for s, k in KEYS.items())}
+ SELECT pr.b1 AS branch_id_1, pr.b2 AS branch_id_2, {', '.join(f'round(coalesce(c_{s}.v, 0), 6) AS OCN{s}' for s in KEYS)} FROM pr {' '.join(f'LEFT JOIN c_{s} ON c_{s}.b1 = pr.b1 AND c_{s}.b2 = pr.b2' for s in KEYS)}""")
+def whole_search(spark, sf):
+    """Counts of all four statistics for every independent pair of 140 branches over 971 sites: the size of a whole search."""
+    e = t(spark, sf, "lineitem").where("l_discount > 0").selectExpr("cast(l_partkey % 140 as int) as branch_id", "cast(l_orderkey % 971 as int) as site", "0 as grp", "l_returnflag as a", "cast(l_linenumber % 4 as string) as d", "l_discount as pp")
+    b = e.select("branch_id").distinct()
+    x, y = b.selectExpr("branch_id as lo", "branch_id % 14 as r"), b.selectExpr("branch_id as hi", "branch_id % 14 as r")
+    pairs = combine.constrained(b, x.join(y, "r").where("lo < hi").select("lo", "hi"), 2)
+    return combine.counts(e, pairs).select(*combine.ids(2), *[r(f"OCN{s}") for s in ev.FEATURES])
+
+
 @query(f"{_CB} SELECT branch_id_1, branch_id_2, round(OCNany2any - OCNany2spe, 6) AS OCNany2dif, round(OCNspe2any - OCNspe2spe, 6) AS OCNspe2dif, round(OCNany2any - OCNspe2any, 6) AS OCNdif2any, round(OCNany2spe - OCNspe2spe, 6) AS OCNdif2spe FROM cb")
 def dif_stats(spark, sf):
     return combine.add_differences(cb_table(spark, sf), "OCN").select(*combine.ids(2), *[r(f"OCN{s}") for s in ("any2dif", "spe2dif", "dif2any", "dif2spe")])
