@@ -120,12 +120,12 @@ def site_rates(totals: dict[str, DataFrame], mode: str, sites: int, present: Dat
         base = {c: present.select("site").distinct().withColumn("sub", F.lit(1.0 / sites)) for c in totals}
     elif mode == "pool":
         base = dict.fromkeys(totals, every.groupBy("site").agg(F.sum("sub").alias("sub")))
-    elif mode in ("sn", "each"):
+    elif mode == "sn" or mode == "each" and all({"stat", "grp", "a", "d"} <= set(df.columns) for df in totals.values()):
         base = totals
     elif mode == "file" and file_rates is not None:
         base = dict.fromkeys(totals, file_rates.select("site", F.col("rate").alias("sub")))
     else:
-        raise ValueError(f"unknown site rate mode {mode!r}")
+        raise ValueError(f"unknown site rate mode {mode!r}, or not what it needs")
     added = alpha if mode in ("sn", "each") else 0.0
     feature = ["stat", "grp", "a", "d"] if mode == "each" else []
     w = Window.partitionBy("branch_id", *feature)
