@@ -266,12 +266,12 @@ def requested_columns(spark, sf):
     return statistics.ordered(statistics.requested(cb, stats)).select(*combine.ids(2), r("OCNany2any"), r("OCNany2dif"))
 
 
-@query(f"WITH {EV}, {FREE}, w AS (SELECT branch_id, site, sum(pp) / sum(sum(pp)) OVER (PARTITION BY branch_id) AS w FROM ev WHERE branch_id < 12 GROUP BY 1, 2) SELECT x.branch_id AS branch_id_1, y.branch_id AS branch_id_2, round(sum(x.w * y.w), 9) AS expected FROM w x JOIN w y ON x.site = y.site JOIN free ON b1 = x.branch_id AND b2 = y.branch_id GROUP BY ALL")
+@query(f"WITH {EV}, {FREE}, w AS (SELECT branch_id, site, sum(pp) / sum(sum(pp)) OVER (PARTITION BY branch_id) AS w FROM ev GROUP BY 1, 2) SELECT x.branch_id AS branch_id_1, y.branch_id AS branch_id_2, round(sum(x.w * y.w), 9) AS expected FROM w x JOIN w y ON x.site = y.site JOIN free ON b1 = x.branch_id AND b2 = y.branch_id GROUP BY ALL")
 def urn_overlap(spark, sf):
     """Expected overlap of urns with one draw each, where both laws give the weights themselves."""
-    bs = events(spark, sf).where("branch_id < 12").groupBy("branch_id", "site").agg(F.sum("pp").alias("sub"))
-    one = branches(spark, sf).where("branch_id < 12").withColumn("n", F.lit(1.0))
-    return expected.urn_overlap(expected.site_weights(bs, SITES).select("branch_id", "site", "weight"), one, free_pairs(spark, sf).where("branch_id_2 < 12"), "wallenius").select(*combine.ids(2), r("expected", 9))
+    bs = events(spark, sf).groupBy("branch_id", "site").agg(F.sum("pp").alias("sub"))
+    one = branches(spark, sf).withColumn("n", F.lit(1.0))
+    return expected.urn_overlap(expected.site_weights(bs, SITES).select("branch_id", "site", "weight"), one, free_pairs(spark, sf), "wallenius").select(*combine.ids(2), r("expected", 9))
 
 
 _RATES = f"""WITH {EV}, n AS (SELECT site, sum(pp) AS v FROM ev GROUP BY 1), s AS (SELECT site, sum(pp) AS v FROM ev WHERE grp2 = 0 GROUP BY 1), p AS (SELECT DISTINCT s_nationkey AS branch_id, CAST(s_suppkey % 97 AS INT) AS site FROM supplier)"""
