@@ -110,7 +110,7 @@ class Embeddings:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """doc_id, score and predicted (score >= threshold) for every row of ``docs``.
 
     ``labels`` (doc_id, quality) are the rows to learn from; the caller leaves
@@ -118,8 +118,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sa
     gets the score of the bias; a null doc_id is kept; repeated rows score
     alike; without labelled rows every score is close to 0.5; an empty table gives
     no rows. Of a labelled doc_id that repeats one text is learned from.
+    ``sample_rows`` and ``sample_bytes`` bound what is learned from.
     """
-    shared = _fitted(docs, labels, sample_rows)
+    shared = _fitted(docs, labels, sample_rows, sample_bytes)
 
     def score(batches):
         model = Embeddings.scorer(*shared.value)
@@ -133,7 +134,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sa
     return one.mapInArrow(score, "doc_id long, score double, predicted int")
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, sample_rows: int):
+def _fitted(docs: DataFrame, labels: DataFrame, sample_rows: int, sample_bytes: int):
     """Weights by bucket and offset of a model fitted to the sample; tasks turn its texts into buckets and shares."""
 
     def run(batches):
@@ -142,15 +143,15 @@ def _fitted(docs: DataFrame, labels: DataFrame, sample_rows: int):
             columns = [pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, batch.column("label")], names=["doc_id", "bucket", "share", "label"])
 
-    sample = training_sample(docs, labels, "quality", sample_rows, SAMPLE_BYTES).mapInArrow(run, "doc_id long, bucket binary, share binary, label double").toArrow().sort_by("doc_id")
+    sample = training_sample(docs, labels, "quality", sample_rows, sample_bytes).mapInArrow(run, "doc_id long, bucket binary, share binary, label double").toArrow().sort_by("doc_id")
     texts = [(np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for b, s in zip(sample["bucket"].to_pylist(), sample["share"].to_pylist(), strict=True)]
     model = Embeddings(texts, np.asarray(sample["label"].to_numpy(), np.int64))
     return docs.sparkSession.sparkContext.broadcast((model.weight, model.offset))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores at least ``threshold``; no row moves. Cases as in score_quality."""
-    shared = _fitted(docs, labels, sample_rows)
+    shared = _fitted(docs, labels, sample_rows, sample_bytes)
 
     def keep(batches):
         model = Embeddings.scorer(*shared.value)

@@ -1,4 +1,4 @@
-"""The pipeline's stages over sf0.001: each stage's decision against a plain one."""
+"""The pipeline's stages over sf0.001, and their decisions about given rows."""
 
 import os
 import sys
