@@ -3,14 +3,15 @@
 A text is the average of learned vectors of its hashed words, word bigrams and
 character n-grams (white space counts as a character); a softmax layer on top
 gives the classes. Vectors and layer are trained by
-stochastic gradient descent in NumPy on a bounded sample. As the score is linear
+stochastic gradient descent in NumPy on a bounded sample, in one task. As the score is linear
 in the average, a task needs one number a bucket to score, and scoring is a
 gather and a sum.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +51,8 @@ def features(part: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         yield row[first], _bucket(span_hashes(codes, edge[first], edge[first + n]))
 
 
-def bags(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct buckets of each text and the share of its features in each."""
+def counts(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct buckets of each text, ascending, and the number of its features in each."""
     data, offsets = flat(column)
     for a, b in pieces(offsets):
         found = list(features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
@@ -59,13 +60,43 @@ def bags(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         key, count = np.unique(row.astype(np.int64) * BUCKETS + bucket, return_counts=True)
         edge = np.searchsorted(key, np.arange(b - a + 1) * BUCKETS)
         for x, y in zip(edge[:-1], edge[1:], strict=True):
-            yield (key[x:y] % BUCKETS).astype(np.int32), (count[x:y] / max(count[x:y].sum(), 1)).astype(np.float32)
+            yield (key[x:y] % BUCKETS).astype(np.int32), count[x:y].astype(np.int32)
+
+
+def shares(count: np.ndarray) -> np.ndarray:
+    return (count / max(count.sum(), 1)).astype(np.float32)
+
+
+def bags(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct buckets of each text and the share of its features in each."""
+    return ((bucket, shares(count)) for bucket, count in counts(column))
+
+
+def packed(bucket: np.ndarray, count: np.ndarray) -> bytes:
+    """A text's buckets and counts in few bytes: gaps between the buckets, then the counts, byte by byte of all numbers, compressed."""
+    numbers = np.concatenate([np.diff(bucket, prepend=np.int32(0)), count]).astype("<i4")
+    return zlib.compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+class Bags(Sequence):
+    """Packed bags as (buckets, share of the text's features in each); each is unpacked when it is asked for, so only one is held."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.blobs = blobs
+
+    def __len__(self) -> int:
+        return len(self.blobs)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        planes = np.frombuffer(zlib.decompress(self.blobs[i]), np.uint8).reshape(4, -1)
+        gap, count = np.ascontiguousarray(planes.T).view("<i4").reshape(2, -1)
+        return np.cumsum(gap, dtype=np.int32), shares(count)
 
 
 class Embeddings:
     """Vectors of buckets and a softmax layer over two classes."""
 
-    def __init__(self, texts: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, epochs: int = 3, rates: tuple[float, float, float] = RATES, seed: int = 7):
+    def __init__(self, texts: Sequence[tuple[np.ndarray, np.ndarray]], label: np.ndarray, epochs: int = 3, rates: tuple[float, float, float] = RATES, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
         self.layer = np.zeros((DIM, 2), np.float32)
@@ -135,18 +166,30 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sa
 
 
 def _fitted(docs: DataFrame, labels: DataFrame, sample_rows: int, sample_bytes: int):
-    """Weights by bucket and offset of a model fitted to the sample; tasks turn its texts into buckets and shares."""
+    """Weights by bucket and offset of a model fitted to the sample.
+
+    Tasks turn its texts into packed bags, one task learns from these (the
+    sample is bounded), and only the model comes to the driver.
+    """
 
     def run(batches):
         for batch in batches:
-            found = list(bags(batch.column("text")))
-            columns = [pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, batch.column("label")], names=["doc_id", "bucket", "share", "label"])
-
-    sample = training_sample(docs, labels, "quality", sample_rows, sample_bytes).mapInArrow(run, "doc_id long, bucket binary, share binary, label double").toArrow().sort_by("doc_id")
-    texts = [(np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for b, s in zip(sample["bucket"].to_pylist(), sample["share"].to_pylist(), strict=True)]
-    model = Embeddings(texts, np.asarray(sample["label"].to_numpy(), np.int64))
-    return docs.sparkSession.sparkContext.broadcast((model.weight, model.offset))
+            bag = pa.array([packed(*x) for x in counts(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), bag, batch.column("label")], names=["doc_id", "bag", "label"])
+
+    def fit(batches):
+        rows = sorted(x for b in batches for x in zip(*[b.column(c).to_pylist() for c in ("doc_id", "bag", "label")], strict=True))
+        model = Embeddings(Bags([x[1] for x in rows]), np.array([x[2] for x in rows], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.offset])], names=["weight", "offset"])
+
+    sample = training_sample(docs, labels, "quality", sample_rows, sample_bytes).mapInArrow(run, "doc_id long, bag binary, label double")
+    found = sample.repartition(1).mapInArrow(fit, "weight binary, offset double").collect()
+    if found:
+        model = np.frombuffer(bytes(found[0].weight), np.float32), found[0].offset
+    else:  # no partition: nothing to learn from
+        none = Embeddings(Bags([]), np.empty(0, np.int64))
+        model = none.weight, none.offset
+    return docs.sparkSession.sparkContext.broadcast(model)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:

@@ -159,6 +159,34 @@ def test_quality_scores_equal_plain_ones():
         assert dict(zip(bucket.tolist(), (share * len(found)).round().astype(int).tolist())) == dict(Counter(found))
 
 
+def test_quality_sample_is_packed():
+    """The sample travels and is held packed (less than a third of its buckets and shares), and the same is learned from it."""
+    texts = [f"{' '.join(str(i * j % 1009 + i) + chr(97 + j % 26) for j in range(900))}" for i in range(20)] + ["", None]
+    plain, label = list(quality.bags(pa.array(texts, pa.string()))), np.arange(len(texts)) % 2
+    blobs = [quality.packed(*x) for x in quality.counts(pa.array(texts, pa.string()))]
+    assert 3 * sum(map(len, blobs)) < sum(b.nbytes + s.nbytes for b, s in plain)
+    for (bucket, share), (own, part) in zip(plain, quality.Bags(blobs), strict=True):
+        assert (bucket == own).all() and (share == part).all() and own.dtype == np.int32 and part.dtype == np.float32
+    a, b = quality.Embeddings(plain, label), quality.Embeddings(quality.Bags(blobs), label)
+    assert (a.weight == b.weight).all() and a.offset == b.offset
+
+
+def test_quality_model_is_learned_in_a_task(spark, monkeypatch):
+    """Only the model comes to the driver: no table of the sample, whose memory the driver would keep."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    docs = spark.createDataFrame([(i, f"{'good clear prose' if i % 2 else 'spam spam junk'} {i % 7}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: pytest.fail("the sample came to the driver"))
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, labels).collect()}
+    model = quality.Embeddings(list(quality.bags(pa.array([r.text for r in docs.orderBy("doc_id").collect()], pa.string()))), np.arange(60) % 2)
+    want = model.score(pa.array([r.text for r in docs.orderBy("doc_id").collect()], pa.string()))
+    assert np.allclose([got[i] for i in range(60)], want)
+    assert {r.predicted for r in quality.score_quality(docs, labels.where("doc_id < 0")).collect()} == {0}
+
+
+
+
 def test_toxicity_votes_and_scores_equal_plain_ones():
     """Votes and linear scores against plain Python on words of a text."""
     insults = {k: set(terms) for k, terms in enumerate(toxicity.LEXICONS)}
