@@ -1,6 +1,7 @@
 """Languages, sources, traits, scan and site operators on small tables."""
 
 import gzip
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,6 +128,23 @@ def test_sites(spark):
     assert [r.category for r in c.collect()] == ["convergent", "divergent", "blank"]
 
 
+def test_contacts_of_copies(spark):
+    """Many points at few places are joined by place, and get what all pairs give."""
+    few = [(1, 0.0, 0.0, 0.0), (1, 3.0, 4.0, 0.0), (1, 0.0, 0.0, 0.0), (2, 0.0, 0.0, 0.0), (3, 90.0, 0.0, 0.0), (4, None, 0.0, 0.0), (None, 0.0, 0.0, 0.0), (5, 0.0, 0.0, 8.0)]
+    got = {r.id: (r.degree, round(r.proximity, 9)) for r in sites.contacts(spark.createDataFrame(few, "id int, x double, y double, z double")).collect()}
+    want = {}
+    for a in few:
+        n, p = want.get(a[0], (0, 0.0))
+        for b in few:
+            if None not in a + b and a[0] != b[0] and (d := math.dist(a[1:], b[1:])) <= 8:
+                n, p = n + 1, p + 1 / (1 + d)
+        want[a[0]] = n, p
+    assert got == {k: (n, round(p, 9)) for k, (n, p) in want.items()}
+    m = 30_000  # 4.5e8 pairs by rows
+    c = sites.contacts(spark.range(m).selectExpr("id", "cast(id % 2 as double) as x", "0D as y", "0D as z"))
+    assert {(r.degree, round(r.proximity, 6)) for r in c.distinct().collect()} == {(m - 1, m / 2 - 1 + m / 4)}
+
+
 def test_streaming(spark, tmp_path):
     spark.createDataFrame([(1, 0.5), (1, 0.25), (2, 1.0)], "branch_id int, pp double").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("branch_id int, pp double").parquet(str(tmp_path / "in"))
