@@ -66,6 +66,14 @@ def test_significant_digits(spark):
     assert [r[0] for r in df.select(numeric.significant(F.col("x"))).collect()] == ["%.6g" % v for v in values]
 
 
+def test_significant_digits_of_decimal_ties(spark):
+    """17820.35 lies below the tie in binary, 0.5 beyond six digits goes to the even one."""
+    values = [17820.35, 17820.45, 17820.25, 100000.5, 100001.5, 1234.565, 1234.575, 1000000.5, 12345650.0]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+    assert [r[0] for r in df.select(numeric.significant(F.col("x"))).collect()] == ["%.6g" % v for v in values] + [None]
+
+
+
 def test_fasta_headers(spark, tmp_path):
     (tmp_path / "x.fa").write_text(">a one > two\nAC\nGT\n>b\nTT\n")
     assert [(r.description, r.sequence) for r in fasta.read_fasta(spark, str(tmp_path / "x.fa")).collect()] == [("a one > two", "ACGT"), ("b", "TT")]
