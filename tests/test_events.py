@@ -1,11 +1,14 @@
 """Event tables, projections and combination counts against dense NumPy tensors."""
 
+from decimal import Decimal
 from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cladewise import queries
+from cladewise.functions import numeric
 from cladewise.operators import combine, events as ev, expected, rates, ranking
 
 
@@ -45,6 +48,23 @@ def test_counts(spark, table, dense, k):
             assert np.isclose(np.prod([p[b] for b in ids], axis=0).sum(), r[f"OCN{stat}"], atol=1e-12)
 
 
+def test_sitewise_changes_of_close_and_unknown_states(spark, tmp_path):
+    """Sums are ranked and cut as they are, not by nine digits; unknown states come last. The rows are those of the query's SQL."""
+    rows = [(1, 1, 1, 0.6000000001, "A"), (1, 1, 2, 0.6000000002, "N"), (2, 1, 1, 0.4999999996, "A"), (3, 1, 1, 0.5, "R")]
+    rows += [(4, 1, 1, 0.75, None), (4, 1, 2, 0.75, "N"), (5, 2, 1, 0.75, None)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_linenumber int, l_discount double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 4), (2, 5)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r.branch_id: r.changes for r in queries.sitewise_changes(spark, str(tmp_path)).collect()}
+    assert got == {4: "N22,R41,N52", 5: None}
+
+
+@pytest.mark.parametrize("values", [[0.1] * 10, [0.1, 0.2, 0.3], [0.3, 0.2, 0.1], [float("nan"), 0.5], [float("inf"), 1.0], [1e300, 1.0], [2.0**-40, 0.5]])
+def test_exact_sum(spark, values):
+    """The order of values doesn't matter (0.1 + 0.2 + 0.3 is 0.6000000000000001 in doubles, the other way round 0.6)."""
+    df = spark.createDataFrame([(v,) for v in values + [None]], "x double").agg(numeric.exact_sum(F.col("x")).alias("s"))
+    assert np.array_equal([df.first().s], [float(sum(map(Decimal, map(str, values))))], equal_nan=True)
+
+
 def test_differences_are_clamped(spark):
     cb = spark.createDataFrame([(1.0, 1.0 + 1e-12, 0.5, 0.25), (1.0, 2.0, 0.0, 0.0)], "OCNany2any double, OCNany2spe double, OCNspe2any double, OCNspe2spe double")
     x, y = combine.add_differences(cb, "OCN").collect()
